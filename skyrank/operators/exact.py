@@ -8,7 +8,7 @@ never meets the rim points.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo, leading
@@ -27,28 +27,29 @@ def _targets(course: DataFrame) -> DataFrame:
             .unionByName(route_values(course, "ess_ix").withColumn("target", F.lit("ess"))))
 
 
-def sampled_fixes(track: DataFrame, state: DataFrame, course: DataFrame) -> DataFrame:
+def sampled_fixes(track: DataFrame, state: DataFrame) -> DataFrame:
     """The fixes that are measured: one per five seconds from the start, and every deciding fix.
 
-    ``state`` carries start_ix, tags, dist_ix, landing_t, landing_ix, ess_t, goal_t, last_t.
+    ``state`` carries start_fix, tags, dist_ix, landing_t, landing_ix, ess_t, goal_t, last_t and c.
     """
-    chains = state.select(*KEY, F.col("landing_ix").alias("cut_ix"), F.col("start_ix").alias("cand_ix"),
-                          F.col("start_cross_t").alias("cand_t"), "tags")
-    legs = chain_legs(chains.withColumn("cut_ix", F.lit(None).cast("int")), course)
-    limits = state.join(course.select("task_id", "deadline", "speed_m"), "task_id").select(
-        *KEY, "dist_ix", "landing_ix", "tags", "goal_t", "start_cross_t", "speed_m",
-        F.least(F.coalesce("landing_t", "last_t"), "deadline").alias("state_until"),
-        F.least(F.coalesce(F.col("landing_t") + DISTANCE_STABILIZE_S, F.col("last_t")),
-                "last_seen_t", "deadline").alias("dist_until"), "ess_t")
-    rows = on_legs(track.select(*KEY, "fix_ix", "t", "x", "y", "pt"), legs.drop("tags", "cut_ix"), True)
-    rows = rows.join(limits, KEY).withColumn(
-        "lead_until", F.coalesce("ess_t", "state_until"))
-    bucket = lambda t: F.floor((t - F.col("start_cross_t")) / SAMPLE_S)
+    deadline = F.col("c.deadline")
+    limits = state.withColumns({
+        "state_until": F.least(F.coalesce("landing_t", "last_t"), deadline),
+        "dist_until": F.least(F.coalesce(F.col("landing_t") + DISTANCE_STABILIZE_S, F.col("last_t")),
+                              F.col("last_seen_t"), deadline)})
+    chains = limits.select(
+        *KEY, F.lit(None).cast("int").alias("cut_ix"), F.col("start_fix").alias("cand_ix"),
+        F.col("start_cross_t").alias("cand_t"), "tags", "c", "dist_ix", "landing_ix", "goal_t",
+        "state_until", "dist_until", F.coalesce("ess_t", "state_until").alias("lead_until"))
+    legs = chain_legs(chains, "c", "dist_ix", "landing_ix", "goal_t", "state_until", "dist_until",
+                      "lead_until")
+    rows = on_legs(track.select(*KEY, "fix_ix", "t", "x", "y", "pt"), legs)
+    bucket = lambda t: F.floor((t - F.col("cand_t")) / SAMPLE_S)
     keep = ((F.col("fix_ix") == F.col("cand_ix")) | (bucket(F.col("t")) != bucket(F.col("pt")))
             | (F.col("fix_ix") == F.col("dist_ix")) | (F.col("fix_ix") == F.col("landing_ix"))
             | F.array_contains("tags", F.col("fix_ix")))
     return rows.where(keep & (F.col("t") <= F.greatest("dist_until", "state_until"))).select(
-        *KEY, "fix_ix", "t", "x", "y", "wp_ix", "goal_ix", "speed_m",
+        *KEY, "fix_ix", "t", "x", "y", "wp_ix", "c",
         (F.col("goal_t").isNull() & (F.col("t") <= F.col("dist_until"))).alias("for_goal"),
         (F.col("t") <= F.col("lead_until")).alias("for_lead"))
 
@@ -61,15 +62,14 @@ def exact_distances(samples: DataFrame, course: DataFrame) -> DataFrame:
     """
     tables = _targets(course)
     floors = tables.groupBy("task_id", "wp_ix", "target").agg(F.min("v").alias("v_min"))
-    zones = course.select("task_id", "ess_ix", F.col("goal_ix").alias("g_ix"), "wps")
-    rows = samples.join(zones, "task_id")
+    rows = samples
     here = lambda z: geo.distance(F.col("x"), F.col("y"), z["x"], z["y"])
-    z = F.get("wps", F.col("wp_ix"))
+    z = F.get("c.wps", F.col("wp_ix"))
     before = by_time().rowsBetween(Window.unboundedPreceding, -1)
-    stops = {"goal": ("for_goal", "g_ix"), "ess": ("for_lead", "ess_ix")}
+    stops = {"goal": ("for_goal", "c.goal_ix"), "ess": ("for_lead", "c.ess_ix")}
     rows = rows.withColumn("edge", here(z) - z["measure"])
     for target, (wanted, stop) in stops.items():
-        stop_rem = F.get("wps", F.col(stop))["remaining"]
+        stop_rem = F.get("c.wps", F.col(stop))["remaining"]
         rows = rows.withColumn(f"upper_{target}", F.when(F.col(wanted), F.when(
             F.col("wp_ix") > F.col(stop), F.lit(0.0)).otherwise(
             geo.distance(F.col("x"), F.col("y"), z["opt_x"], z["opt_y"]) + z["remaining"] - stop_rem)))
@@ -78,10 +78,12 @@ def exact_distances(samples: DataFrame, course: DataFrame) -> DataFrame:
         F.when(F.col(wanted), F.struct(F.lit(t).alias("target"), F.col(stop).alias("stop"),
                                        F.col(f"reached_{t}").alias("reached")))
         for t, (wanted, stop) in stops.items()]))))
-    ahead = F.filter("wps", lambda w: (w["wp_ix"] >= F.col("wp_ix")) & (w["wp_ix"] <= F.col("g.stop"))
+    ahead = F.filter("c.wps", lambda w: (w["wp_ix"] >= F.col("wp_ix")) & (w["wp_ix"] <= F.col("g.stop"))
                      & (here(w) > w["measure"]))
     rows = rows.select(
-        *KEY, "fix_ix", "t", "x", "y", "wp_ix", "speed_m", "edge", F.col("g.target").alias("target"),
+        *KEY, "fix_ix", "t", "x", "y", "wp_ix", "edge", (F.col("c.speed_m") / 1000).alias("section_km"),
+        (F.col("t") - F.col("c.first_gate")).alias("task_time"),
+        (F.col("c.progress_curve") == "HUMP_V2A").alias("hump"), F.col("g.target").alias("target"),
         F.col("g.reached").alias("reached"),
         F.when(F.col("wp_ix") <= F.col("g.stop"), F.when(F.col("edge") > 0, F.col("wp_ix"))
                .otherwise(F.get(ahead, F.lit(0))["wp_ix"])).alias("aim"))
@@ -89,7 +91,7 @@ def exact_distances(samples: DataFrame, course: DataFrame) -> DataFrame:
                    ).otherwise(F.lit(0.0))
     kept = rows.join(floors, ["task_id", "wp_ix", "target"], "left").where(
         F.col("reached").isNull() | (lower <= F.col("reached") + GRID_SLACK_M))
-    base = [*KEY, "target", "fix_ix", "t", "speed_m"]
+    base = [*KEY, "target", "fix_ix", "t", "task_time", "section_km", "hump"]
     arrived = kept.where(F.col("aim").isNull()).select(*base, F.lit(0.0).alias("d"))
     rim = tables.withColumnRenamed("wp_ix", "aim")
     flown = (kept.where(F.col("aim").isNotNull()).select(*base, "aim", "x", "y")
@@ -99,29 +101,33 @@ def exact_distances(samples: DataFrame, course: DataFrame) -> DataFrame:
     return arrived.unionByName(flown)
 
 
-def exact_progress(distances: DataFrame) -> DataFrame:
-    """Least exact remaining distance to goal and its fix, per pilot."""
-    return (distances.where(F.col("target") == "goal").groupBy(*KEY)
-            .agg(F.min(F.struct("d", "fix_ix")).alias("m"))
-            .select(*KEY, F.col("m.d").alias("exact_remaining"), F.col("m.fix_ix").alias("exact_ix")))
+def falling_minima(distances: DataFrame) -> DataFrame:
+    """Every distance in km with the least one before it, from the section length on."""
+    w = Window.partitionBy(*KEY, "target").orderBy("t").rowsBetween(Window.unboundedPreceding, -1)
+    section = F.col("section_km")
+    return distances.withColumn("d_km", F.col("d") / 1000).withColumn(
+        "prev_km", F.least(section, F.coalesce(F.min("d_km").over(w), section)))
 
 
-def lead_samples(distances: DataFrame, course: DataFrame) -> DataFrame:
+def lead_samples(distances: DataFrame) -> DataFrame:
     """(task time, km to ESS) wherever the running minimum strictly falls."""
-    w = Window.partitionBy(*KEY).orderBy("t").rowsBetween(Window.unboundedPreceding, -1)
-    section = F.col("speed_m") / 1000
-    rows = (distances.where(F.col("target") == "ess")
-            .join(course.select("task_id", "first_gate", "progress_curve"), "task_id")
-            .withColumn("d_km", F.col("d") / 1000))
-    prev = F.least(section, F.coalesce(F.min("d_km").over(w), section))
-    return rows.withColumn("prev_km", prev).where(F.col("d_km") < F.col("prev_km")).select(
-        *KEY, "fix_ix", (F.col("t") - F.col("first_gate")).alias("task_time"), "d_km", "prev_km",
-        section.alias("section_km"), "progress_curve")
-
-
-def leading_areas(samples: DataFrame) -> DataFrame:
-    """The half of the leading coefficient that depends on one pilot only."""
+    return falling_minima(distances.where(F.col("target") == "ess")).where(
+        F.col("d_km") < F.col("prev_km")).select(
+        *KEY, "fix_ix", "task_time", "d_km", "prev_km", "section_km", "hump")
+
+
+def lead_term() -> Column:
     args = [F.col(c) for c in ("task_time", "d_km", "prev_km", "section_km")]
-    term = F.when(F.col("progress_curve") == "HUMP_V2A", leading.hump_term(*args)
-                  ).otherwise(leading.weighted_term(*args))
-    return samples.groupBy(*KEY).agg(F.sum(term).alias("lead_area"), F.min("d_km").alias("lead_min_km"))
+    return F.when(F.col("hump"), leading.hump_term(*args)).otherwise(leading.weighted_term(*args))
+
+
+def exact_progress(distances: DataFrame) -> DataFrame:
+    """Per pilot: least exact distance to goal with its fix, leading area and nearest approach to ESS."""
+    rows = falling_minima(distances)
+    falls = (F.col("target") == "ess") & (F.col("d_km") < F.col("prev_km"))
+    return rows.groupBy(*KEY).agg(
+        F.min(F.when(F.col("target") == "goal", F.struct("d", "fix_ix"))).alias("m"),
+        F.sum(F.when(falls, lead_term())).alias("lead_area"),
+        F.min(F.when(falls, F.col("d_km"))).alias("lead_min_km")).select(
+        *KEY, F.col("m.d").alias("exact_remaining"), F.col("m.fix_ix").alias("exact_ix"),
+        "lead_area", "lead_min_km")

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import gap, leading
+from .tracks import course_struct
 
 PARAMS = ["nominal_distance", "minimum_distance", "nominal_time", "nominal_goal", "nominal_launch",
-          "leading_time_ratio", "ess_no_goal_time_factor", "pilots_present"]
+          "leading_time_ratio", "pilots_present"]
 TASK_FACTS = ["first_gate", "deadline", "speed_m", "total_m", "progress_curve"]
 
 
@@ -16,30 +17,35 @@ def is_flying():
     return F.col("takeoff_t").isNotNull() | (F.col("distance_m") > 0)
 
 
+def with_course(rows: DataFrame, course: DataFrame) -> DataFrame:
+    """Rows that carry their task's course in column ``c``."""
+    return rows if "c" in rows.columns else rows.join(course_struct(course), "task_id")
+
+
 def field_totals(state: DataFrame, course: DataFrame) -> DataFrame:
     """Counts, best distance and times, distance above the minimum and the leading clock."""
     flying = is_flying()
-    rows = state.join(course.select("task_id", "minimum_distance", "first_gate"), "task_id")
     goal, ess = F.col("goal_t").isNotNull(), F.col("ess_t").isNotNull()
     timed = flying & (F.col("section_s") != 0)
-    return rows.groupBy("task_id").agg(
+    return with_course(state, course).groupBy("task_id").agg(
         F.count("*").alias("pilots_rows"), F.count_if(flying).alias("pilots_flying"),
         F.count_if(flying & ess).alias("pilots_ess"), F.count_if(flying & goal).alias("pilots_goal"),
         F.coalesce(F.max(F.when(flying, F.col("distance_m"))), F.lit(0.0)).alias("best_distance"),
         F.min(F.when(timed & goal, F.col("section_s"))).alias("best_time"),
         F.min(F.when(timed & ess, F.col("section_s"))).alias("best_ess_time"),
         F.coalesce(F.sum(F.when(flying, F.greatest(
-            F.lit(0.0), F.col("distance_m") - F.col("minimum_distance")))), F.lit(0.0)).alias("over_minimum"),
+            F.lit(0.0), F.col("distance_m") - F.col("c.minimum_distance")))), F.lit(0.0)).alias("over_minimum"),
         F.coalesce(F.max(F.when(flying & F.col("start_t").isNotNull(), F.col("last_task_time"))),
                    F.lit(0.0)).alias("last_out"),
-        F.coalesce(F.max(F.when(flying & ess, F.col("ess_t") - F.col("first_gate"))).cast("double"),
-                   F.lit(0.0)).alias("last_ess"))
+        F.coalesce(F.max(F.when(flying & ess, F.col("ess_t") - F.col("c.first_gate"))).cast("double"),
+                   F.lit(0.0)).alias("last_ess"),
+        *[F.first(f"c.{x}").alias(x) for x in [*PARAMS, *TASK_FACTS]])
 
 
-def task_validity(totals: DataFrame, course: DataFrame, integer_pots: bool = False,
+def task_validity(totals: DataFrame, integer_pots: bool = False,
                   roster: DataFrame | None = None) -> DataFrame:
     """Validity, weights, pots and the leading clock of each task."""
-    rows = totals.join(course.select("task_id", *PARAMS, *TASK_FACTS), "task_id")
+    rows = totals
     if roster is not None:
         rows = rows.join(roster.groupBy("task_id").agg(F.count("*").alias("roster_size")), "task_id", "left")
     else:
@@ -73,62 +79,59 @@ def task_validity(totals: DataFrame, course: DataFrame, integer_pots: bool = Fal
         "last_ess": F.least("last_ess", "deadline_time")})
 
 
+FIELD_FACTS = ["max_time", "last_ess", "best_time", "best_distance", "pilots_ess", "task_validity",
+               "available_distance", "available_time", "available_leading", "available_arrival"]
+
+
 def leading_coefficients(state: DataFrame, tasks: DataFrame, rule: str = "field") -> DataFrame:
-    """Finish each started pilot's coefficient with the field-wide clock."""
+    """Give each pilot the field's facts (column ``f``) and finish the leading coefficient."""
     if rule not in ("field", "code"):
         raise ValueError(f"unknown max-time rule {rule!r}")
     c = F.col
-    rows = state.join(tasks.select("task_id", "max_time", "last_ess", "best_time", "speed_m",
-                                   "progress_curve"), "task_id")
-    section = c("speed_m") / 1000
+    rows = state.join(tasks.select("task_id", F.struct(*FIELD_FACTS).alias("f")), "task_id")
+    section = c("c.speed_m") / 1000
     area, nearest = F.coalesce("lead_area", F.lit(0.0)), F.coalesce(c("lead_min_km"), section)
-    clock = c("max_time") if rule == "field" else F.greatest("last_ess", "last_task_time")
-    lc = F.when(c("progress_curve") == "HUMP_V2A", leading.finish_hump(
-        area, nearest, section, clock, c("last_task_time"), c("best_time"))).otherwise(
+    clock = c("f.max_time") if rule == "field" else F.greatest("f.last_ess", "last_task_time")
+    lc = F.when(c("c.progress_curve") == "HUMP_V2A", leading.finish_hump(
+        area, nearest, section, clock, c("last_task_time"), c("f.best_time"))).otherwise(
         leading.finish_weighted(area, nearest, section, clock))
-    return rows.withColumn("lc", F.when(c("start_t").isNotNull() & is_flying(), lc).otherwise(F.lit(0.0))
-                           ).drop("max_time", "last_ess", "best_time", "speed_m", "progress_curve")
+    return rows.withColumn("lc", F.when(c("start_t").isNotNull() & is_flying(), lc).otherwise(F.lit(0.0)))
 
 
-def least_coefficients(pilots: DataFrame, tasks: DataFrame) -> DataFrame:
+def least_coefficients(pilots: DataFrame) -> DataFrame:
     """LCmin per task: over started pilots, or over ESS pilots for the hump curve."""
-    rows = pilots.join(tasks.select("task_id", "progress_curve", "pilots_ess"), "task_id")
-    counts = (F.col("lc") > 0) & ((F.col("progress_curve") != "HUMP_V2A") | (F.col("pilots_ess") == 0)
+    counts = (F.col("lc") > 0) & ((F.col("c.progress_curve") != "HUMP_V2A") | (F.col("f.pilots_ess") == 0)
                                   | F.col("ess_t").isNotNull())
-    return rows.groupBy("task_id").agg(
+    return pilots.groupBy("task_id").agg(
         F.coalesce(F.min(F.when(counts, F.col("lc"))), F.lit(0.0)).alias("lc_min"))
 
 
-def pilot_points(pilots: DataFrame, tasks: DataFrame, course: DataFrame) -> DataFrame:
+def pilot_points(pilots: DataFrame, least: DataFrame) -> DataFrame:
     """Distance, time and leading points and their rounded total for every pilot."""
     c = F.col
-    facts = tasks.select("task_id", "best_distance", "best_time", "lc_min", "available_distance",
-                         "available_time", "available_leading", "available_arrival", "task_validity")
-    goal_alt = course.select("task_id", "goal_elevated", "goal_elevation", "ess_no_goal_time_factor",
-                             F.get("wps", F.col("goal_ix"))["alt"].alias("goal_wp_alt"))
-    rows = pilots.join(facts, "task_id").join(goal_alt, "task_id")
+    rows = pilots.join(least, "task_id")
     in_goal, at_ess = c("goal_t").isNotNull(), c("ess_t").isNotNull()
+    goal_wp_alt = F.get("c.wps", c("c.goal_ix"))["alt"]
     rows = rows.withColumns({
         "goal_altitude_factor": F.when(
-            c("goal_elevated") & in_goal & c("goal_alt").isNotNull(),
-            gap.goal_altitude_factor(c("goal_alt"), c("goal_wp_alt"), c("goal_elevation"))).otherwise(F.lit(1.0)),
-        "ess_factor": gap.ess_no_goal_factor(in_goal, at_ess, c("ess_no_goal_time_factor"))})
+            c("c.goal_elevated") & in_goal & c("goal_alt").isNotNull(),
+            gap.goal_altitude_factor(c("goal_alt"), goal_wp_alt, c("c.goal_elevation"))).otherwise(F.lit(1.0)),
+        "ess_factor": gap.ess_no_goal_factor(in_goal, at_ess, c("c.ess_no_goal_time_factor"))})
     rows = rows.withColumns({
-        "distance_points": gap.distance_points(c("distance_m"), c("best_distance"), c("available_distance")),
-        "time_points": gap.time_points(c("section_s"), c("best_time"), c("available_time"),
+        "distance_points": gap.distance_points(c("distance_m"), c("f.best_distance"), c("f.available_distance")),
+        "time_points": gap.time_points(c("section_s"), c("f.best_time"), c("f.available_time"),
                                        c("goal_altitude_factor"), c("ess_factor")),
-        "leading_points": gap.leading_points(c("lc"), c("lc_min"), c("available_leading"))})
+        "leading_points": gap.leading_points(c("lc"), c("lc_min"), c("f.available_leading"))})
     return rows.withColumn("total_points", gap.round1(
-        c("distance_points") + c("time_points") + c("leading_points") + c("available_arrival"))).drop(
-        "goal_elevated", "goal_elevation", "ess_no_goal_time_factor", "goal_wp_alt",
-        "best_distance", "best_time", "available_distance", "available_time", "available_leading",
-        "available_arrival")
+        c("distance_points") + c("time_points") + c("leading_points") + c("f.available_arrival"))
+    ).withColumn("task_validity", c("f.task_validity")).drop("c", "f")
 
 
 def score_field(state: DataFrame, course: DataFrame, max_time_rule: str = "field",
-                integer_pots: bool = False, roster: DataFrame | None = None):
+                integer_pots: bool = False, roster: DataFrame | None = None, stage=lambda df: df):
     """(pilot rows with points, task rows) for a table of pilot states."""
-    tasks = task_validity(field_totals(state, course), course, integer_pots, roster)
+    state = with_course(state, course)
+    tasks = stage(task_validity(field_totals(state, course), integer_pots, roster))
     pilots = leading_coefficients(state, tasks, max_time_rule)
-    tasks = tasks.join(least_coefficients(pilots, tasks), "task_id")
-    return pilot_points(pilots, tasks, course), tasks
+    least = least_coefficients(pilots)
+    return pilot_points(pilots, least), tasks.join(least, "task_id")

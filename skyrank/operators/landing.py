@@ -67,21 +67,26 @@ def stationary_anchors(track: DataFrame) -> DataFrame:
 def landings(track: DataFrame, search: DataFrame, anchors: DataFrame | None = None) -> DataFrame:
     """First stationary anchor met when stepping at least five seconds from ``after``.
 
-    ``search`` holds (task, pilot, after_t, before_t).  The steps depend on every
+    ``search`` holds (task, pilot, after_t, before_t) and columns to pass on.  The steps depend on every
     fix on the way, so they are folded over the pilot's own times: a long per
     second of one flying day, and only for pilots who have an anchor at all.
     """
     anchors = stationary_anchors(track) if anchors is None else anchors
+    extra = [c for c in search.columns if c not in (*KEY, "before_t")]
+    passed = [c for c in extra if c != "after_t"]
     held = anchors.join(search, KEY).where(
         (F.col("t") >= F.col("after_t")) & (F.col("close_t") <= F.col("before_t"))
     ).groupBy(*KEY).agg(F.array_sort(F.collect_list("t")).alias("held"),
-                        F.max("t").alias("last_held"), F.first("after_t").alias("after_t"))
-    times = (track.select(*KEY, "t", "fix_ix").join(held, KEY)
+                        F.max("t").alias("last_held"),
+                        *[F.first(c).alias(c) for c in extra])
+    times = (track.select(*KEY, "t", "fix_ix", F.struct("lat", "lon", F.col("alt_gps").alias("alt")).alias("at"))
+             .join(held, KEY)
              .where((F.col("t") >= F.col("after_t")) & (F.col("t") <= F.col("last_held")))
-             .groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("t", "fix_ix"))).alias("times"),
-                                F.first("held").alias("held")))
+             .groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("t", "fix_ix", "at"))).alias("times"),
+                                F.first("held").alias("held"), *[F.first(c).alias(c) for c in passed]))
     start = F.struct(F.lit(-1).cast("bigint").alias("next_t"), F.lit(None).cast("bigint").alias("t"),
-                     F.lit(None).cast("int").alias("ix"))
+                     F.lit(None).cast("int").alias("ix"),
+                     F.lit(None).cast("struct<lat:double,lon:double,alt:int>").alias("at"))
 
     def step(acc, fix):
         on_grid = acc["t"].isNull() & (fix["t"] >= acc["next_t"])
@@ -89,8 +94,10 @@ def landings(track: DataFrame, search: DataFrame, anchors: DataFrame | None = No
         return F.struct(
             F.when(on_grid, fix["t"] + SCAN_STEP_S).otherwise(acc["next_t"]).alias("next_t"),
             F.when(hit, fix["t"]).otherwise(acc["t"]).alias("t"),
-            F.when(hit, fix["fix_ix"]).otherwise(acc["ix"]).alias("ix"))
+            F.when(hit, fix["fix_ix"]).otherwise(acc["ix"]).alias("ix"),
+            F.when(hit, fix["at"]).otherwise(acc["at"]).alias("at"))
 
     return (times.withColumn("hit", F.aggregate("times", start, step))
             .where(F.col("hit.t").isNotNull())
-            .select(*KEY, F.col("hit.t").alias("landing_t"), F.col("hit.ix").alias("landing_ix")))
+            .select(*KEY, F.col("hit.t").alias("landing_t"), F.col("hit.ix").alias("landing_ix"),
+                    F.col("hit.at").alias("landing_at"), *passed))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from .tracks import KEY
+from .tracks import KEY, course_struct, track_facts
 
 MAX_START_CANDIDATES = 8
 NO_CUT = 2147483647
@@ -40,65 +40,69 @@ def zone_events(track: DataFrame, course: DataFrame) -> DataFrame:
                     (F.col("t") >= F.col("first_gate")).alias("after_gate"),
                     F.coalesce(F.col("t") > F.col("deadline"), F.lit(False)).alias("late"),
                     (F.col("wp_ix") == F.col("start_ix") + 1).alias("is_next"),
-                    "transition", "segment_only", (d1 > d0).alias("outward"), "d_prev", "d_fix"))
+                    "transition", "segment_only", (d1 > d0).alias("outward"), "d_prev", "d_fix")
+            .repartition(*KEY))
 
 
-def zone_runs(events: DataFrame) -> DataFrame:
-    """Consecutive contact fixes with one zone, compressed to [lo, hi]; the deadline ends them."""
-    w = Window.partitionBy(*KEY, "wp_ix").orderBy("fix_ix")
-    contacts = events.where(~F.col("is_sss") & ~F.col("late")).select(*KEY, "wp_ix", "fix_ix")
-    numbered = contacts.withColumn("island", F.col("fix_ix") - F.row_number().over(w))
-    return numbered.groupBy(*KEY, "wp_ix", "island").agg(
-        F.min("fix_ix").alias("lo"), F.max("fix_ix").alias("hi")).drop("island")
+def event_runs(events: DataFrame) -> DataFrame:
+    """SSS crossings one by one, and consecutive contacts with a zone compressed to [lo, hi].
 
+    Contacts after the deadline form runs of their own, so the chain can leave them out.
+    """
+    w = Window.partitionBy(*KEY, "wp_ix", "late").orderBy("fix_ix")
+    island = F.when(F.col("is_sss"), F.col("fix_ix")).otherwise(F.col("fix_ix") - F.row_number().over(w))
+    return events.withColumn("island", island).groupBy(*KEY, "wp_ix", "late", "is_sss", "is_next", "island").agg(
+        F.min("fix_ix").alias("lo"), F.max("fix_ix").alias("hi"), F.min("t").alias("t"),
+        F.max("after_gate").alias("after_gate"))
+
+
+def start_evidence(track: DataFrame, events: DataFrame, course: DataFrame) -> DataFrame:
+    """One row per pilot with everything the start and the chain depend on.
 
-def start_evidence(track: DataFrame, events: DataFrame) -> DataFrame:
-    """One row per pilot with everything the start and the chain depend on."""
-    crossings = events.groupBy(*KEY).agg(
-        F.array_sort(F.collect_list(F.when(F.col("is_sss"), F.struct("fix_ix", "t", "after_gate")))
-                     ).alias("crossings"),
-        F.min(F.when(F.col("is_next"), F.col("fix_ix"))).alias("next_ix"),
+    Both arrays are bounded by the seconds of a flying day and are short in practice:
+    one entry per crossing, and one per stay in a zone.
+    """
+    found = event_runs(events).groupBy(*KEY).agg(
+        F.array_sort(F.collect_list(F.when(F.col("is_sss"), F.struct(
+            F.col("lo").alias("fix_ix"), "t", "after_gate")))).alias("crossings"),
+        F.array_sort(F.collect_list(F.when(~F.col("is_sss") & ~F.col("late"), F.struct("wp_ix", "lo", "hi")))
+                     ).alias("runs"),
+        F.min(F.when(F.col("is_next"), F.col("lo"))).alias("next_ix"),
         F.min(F.when(F.col("is_next"), F.col("t"))).alias("next_t"))
-    runs = zone_runs(events).groupBy(*KEY).agg(
-        F.array_sort(F.collect_list(F.struct("wp_ix", "lo", "hi"))).alias("runs"))
-    from .tracks import track_facts
-    return track_facts(track).join(crossings, KEY, "left").join(runs, KEY, "left")
+    return (track_facts(track).join(found, KEY, "left")
+            .join(course_struct(course), "task_id"))
 
 
 def is_multi_start(start_type: Column, gates: Column) -> Column:
     return (F.size(gates) > 1) | ~F.upper(start_type).startswith("RACE")
 
 
-def start_candidates(evidence: DataFrame, course: DataFrame) -> DataFrame:
+def start_candidates(evidence: DataFrame) -> DataFrame:
     """Narrow the crossings after the gate to those worth playing forward.
 
     ``cut_ix`` (the landing fix, or null) ends the evidence early.
     """
     cut = F.coalesce(F.col("cut_ix"), F.lit(NO_CUT))
-    rows = evidence.join(course.select("task_id", "start_type", "gates"), "task_id")
-    usable = F.filter("crossings", lambda c: c["fix_ix"] <= cut)
-    rows = rows.withColumn("usable", F.coalesce(usable, F.array().cast(
-        "array<struct<fix_ix:int,t:bigint,after_gate:boolean>>")))
-    rows = rows.withColumns({
+    usable = F.coalesce(F.filter("crossings", lambda c: c["fix_ix"] <= cut), F.array().cast(
+        "array<struct<fix_ix:int,t:bigint,after_gate:boolean>>"))
+    rows = evidence.withColumn("usable", usable).withColumns({
         "after": F.filter("usable", lambda c: c["after_gate"]),
-        "early": F.exists("usable", lambda c: ~c["after_gate"]),
         "next_ix": F.when(F.col("next_ix") <= cut, F.col("next_ix"))})
-    rows = rows.withColumn("before", F.filter("after", lambda c: c["fix_ix"] <= F.col("next_ix")))
+    before = F.filter("after", lambda c: c["fix_ix"] <= F.col("next_ix"))
     earliest = F.slice("after", 1, MAX_START_CANDIDATES)
-    picked = (F.when(is_multi_start(F.col("start_type"), F.col("gates")), earliest)
+    picked = (F.when(is_multi_start(F.col("c.start_type"), F.col("c.gates")), earliest)
               .when(F.col("next_ix").isNotNull() & (F.size("before") > 0), F.slice("before", -1, 1))
               .otherwise(earliest))
-    return rows.withColumn("candidates", picked).drop("usable", "before", "start_type", "gates")
+    return rows.withColumn("before", before).withColumn("candidates", picked).drop("usable", "before")
 
 
-def zone_chain(candidates: DataFrame, course: DataFrame) -> DataFrame:
+def zone_chain(candidates: DataFrame) -> DataFrame:
     """Validate the zones in order after each candidate start.
 
     Tag k is the first contact with zone k at a later fix than tag k-1: the first
     run that ends after it, entered no earlier than the next fix.
     """
-    rows = (candidates.select(*KEY, "cut_ix", "runs", F.explode("candidates").alias("c"))
-            .join(course.select("task_id", "start_ix", "goal_ix"), "task_id"))
+    rows = candidates.select(*KEY, "cut_ix", "runs", "c", F.explode("candidates").alias("s"))
     cut = F.coalesce(F.col("cut_ix"), F.lit(NO_CUT))
 
     def step(acc, zone):
@@ -108,30 +112,30 @@ def zone_chain(candidates: DataFrame, course: DataFrame) -> DataFrame:
         return F.struct(ix.alias("ix"), F.concat(acc["tags"], F.array(ix)).alias("tags"))
 
     chain = F.aggregate(
-        F.sequence(F.col("start_ix") + 1, F.col("goal_ix")),
-        F.struct(F.col("c.fix_ix").alias("ix"), F.array().cast("array<int>").alias("tags")),
+        F.sequence(F.col("c.start_ix") + 1, F.col("c.goal_ix")),
+        F.struct(F.col("s.fix_ix").alias("ix"), F.array().cast("array<int>").alias("tags")),
         step, lambda acc: acc["tags"])
-    return rows.withColumn("tags", chain).select(
-        *KEY, "cut_ix", F.col("c.fix_ix").alias("cand_ix"), F.col("c.t").alias("cand_t"), "tags")
+    return rows.select(*KEY, "cut_ix", F.col("s.fix_ix").alias("cand_ix"), F.col("s.t").alias("cand_t"),
+                       chain.alias("tags"), "c")
 
 
-def chain_legs(chains: DataFrame, course: DataFrame) -> DataFrame:
+def chain_legs(chains: DataFrame, *carry: str) -> DataFrame:
     """Which fixes are measured to which zone: one row per (candidate, zone still wanted).
 
     The fix that tags a zone is already measured to the next one; one last row
     after the goal carries the goal fix itself.
     """
-    c = course.select("task_id", "wps", "start_ix", "goal_ix", "deadline", "total_m")
-    rows = chains.join(c, "task_id").withColumn("leg", F.explode(F.sequence(F.lit(0), F.size("tags"))))
+    rows = chains.withColumn("leg", F.explode(F.sequence(F.lit(0), F.size("tags"))))
     entered = F.when(F.col("leg") == 0, F.col("cand_ix")).otherwise(F.get("tags", F.col("leg") - 1))
     left = F.when(F.col("leg") == F.size("tags"), F.col("from_ix")).otherwise(
         F.coalesce(F.get("tags", F.col("leg")) - 1, F.col("cut_ix"), F.lit(NO_CUT)))
-    z = F.get("wps", F.col("wp_ix"))
+    z = F.get("c.wps", F.col("wp_ix"))
     return (rows.withColumn("from_ix", entered).where(F.col("from_ix").isNotNull())
-            .withColumn("to_ix", left).withColumn("wp_ix", F.col("start_ix") + 1 + F.col("leg"))
-            .select(*KEY, "cand_ix", "cand_t", "tags", "cut_ix", "leg", "wp_ix", "from_ix", "to_ix",
-                    "goal_ix", "deadline", "total_m", z["x"].alias("wx"), z["y"].alias("wy"),
-                    z["measure"].alias("wm"), z["remaining"].alias("w_rem")))
+            .withColumn("to_ix", left).withColumn("wp_ix", F.col("c.start_ix") + 1 + F.col("leg"))
+            .select(*KEY, "cand_ix", "cand_t", "tags", "leg", "wp_ix", "from_ix", "to_ix",
+                    F.col("c.goal_ix").alias("goal_ix"), F.col("c.deadline").alias("deadline"),
+                    F.col("c.total_m").alias("total_m"), z["x"].alias("wx"), z["y"].alias("wy"),
+                    z["measure"].alias("wm"), z["remaining"].alias("w_rem"), *carry))
 
 
 def remaining_column() -> Column:
@@ -140,48 +144,51 @@ def remaining_column() -> Column:
         geo.edge_distance(F.col("x"), F.col("y"), F.col("wx"), F.col("wy"), F.col("wm")) + F.col("w_rem"))
 
 
-def on_legs(track: DataFrame, legs: DataFrame, include_start: bool = False) -> DataFrame:
+def on_legs(track: DataFrame, legs: DataFrame) -> DataFrame:
     """Each fix joined with the leg it is flown on; both sides are clustered by pilot."""
-    lower = F.col("from_ix") if include_start else F.greatest(F.col("from_ix"), F.col("cand_ix") + 1)
     return track.join(legs, KEY).where(
-        (F.col("fix_ix") >= lower) & (F.col("fix_ix") <= F.col("to_ix"))
-        & (F.col("deadline").isNull() | (F.col("t") <= F.col("deadline"))))
+        (F.col("fix_ix") >= F.col("from_ix")) & (F.col("fix_ix") <= F.col("to_ix"))
+        & (F.col("deadline").isNull() | (F.col("t") <= F.col("deadline"))
+           | (F.col("fix_ix") == F.col("cand_ix"))))
+
 
+def replay(track: DataFrame, chains: DataFrame) -> DataFrame:
+    """Result of playing each candidate forward: tag times, least remaining distance, last time.
 
-def replay(track: DataFrame, legs: DataFrame) -> DataFrame:
-    """Result of playing each candidate forward: tag times, least remaining distance, last time."""
+    Distance counts from the fix after the start; the start fix stands for a pilot
+    who still has the whole task to fly.
+    """
+    legs = chain_legs(chains, *[F.col(f"c.{x}").alias(x) for x in ("start_ix", "ess_ix")])
     rows = on_legs(track.select(*KEY, "fix_ix", "t", "x", "y", "alt_gps", "alt_baro"), legs)
+    at_start = F.col("fix_ix") == F.col("cand_ix")
+    rem = F.when(at_start, F.col("total_m")).otherwise(remaining_column())
     per_leg = rows.groupBy(*KEY, "cand_ix", "leg").agg(
-        F.min(F.struct(remaining_column().alias("rem"), "fix_ix")).alias("best"),
-        F.min("t").alias("entered_t"), F.max("t").alias("last_t"),
-        F.min_by("alt_gps", "t").alias("entered_gps"), F.min_by("alt_baro", "t").alias("entered_baro"))
-    result = per_leg.groupBy(*KEY, "cand_ix").agg(
+        F.min(F.struct(rem.alias("rem"), "fix_ix")).alias("best"),
+        F.min("t").alias("entered_t"), F.max(F.when(~at_start, F.col("t"))).alias("last_t"),
+        F.min_by("alt_gps", "t").alias("entered_gps"), F.min_by("alt_baro", "t").alias("entered_baro"),
+        *[F.first(x).alias(x) for x in ("cand_t", "tags", "total_m", "start_ix", "ess_ix", "goal_ix")])
+    return per_leg.groupBy(*KEY, "cand_ix").agg(
         F.min("best").alias("best"), F.max("last_t").alias("last_play_t"),
         F.array_sort(F.collect_list(F.struct("leg", "entered_t", "entered_gps", "entered_baro"))
-                     ).alias("entries"))
-    heads = legs.select(*KEY, "cand_ix", "cand_t", "tags", "cut_ix", "total_m").where(
-        F.col("leg") == 0)
-    return heads.join(result, [*KEY, "cand_ix"], "left")
+                     ).alias("entries"),
+        *[F.first(x).alias(x) for x in ("cand_t", "tags", "total_m", "start_ix", "ess_ix", "goal_ix")])
 
 
-def best_start(replayed: DataFrame, course: DataFrame) -> DataFrame:
+def best_start(replayed: DataFrame) -> DataFrame:
     """The start that scores: goal beats none, the latest among goals, else the longest, earliest."""
-    c = course.select("task_id", F.col("start_ix").alias("s_ix"), F.col("ess_ix").alias("e_ix"),
-                      F.col("goal_ix").alias("g_ix"))
-    rows = replayed.join(c, "task_id")
     entry = lambda leg, field: F.get(F.filter("entries", lambda e: e["leg"] == leg), F.lit(0))[field]
     n = F.size("tags")
     goal = F.get("tags", n - 1).isNotNull()
     least = F.least(F.col("total_m"), F.col("best.rem"))
-    rows = rows.withColumns({
+    ess_leg = F.col("ess_ix") - F.col("start_ix")
+    rows = replayed.withColumns({
         "in_goal": goal,
         "raw_m": F.when(goal, F.col("total_m")).otherwise(
             F.greatest(F.lit(0.0), F.col("total_m") - least)),
-        "min_remaining": F.coalesce(least, F.col("total_m")),
+        "min_remaining": least,
         "dist_ix": F.when(F.col("best.rem") < F.col("total_m"), F.col("best.fix_ix")
                           ).otherwise(F.col("cand_ix")),
-        "ess_t": F.when(F.get("tags", F.col("e_ix") - F.col("s_ix") - 1).isNotNull(),
-                        entry(F.col("e_ix") - F.col("s_ix"), "entered_t")),
+        "ess_t": F.when(F.get("tags", ess_leg - 1).isNotNull(), entry(ess_leg, "entered_t")),
         "goal_t": F.when(goal, entry(n, "entered_t")),
         "goal_gps": F.when(goal, entry(n, "entered_gps")),
         "goal_baro": F.when(goal, entry(n, "entered_baro")),
@@ -194,5 +201,5 @@ def best_start(replayed: DataFrame, course: DataFrame) -> DataFrame:
         F.when(F.col("in_goal"), F.lit(0.0)).otherwise(F.col("raw_m")).alias("far"),
         F.when(F.col("in_goal"), F.col("cand_ix")).otherwise(-F.col("cand_ix")).alias("tie"))
     return (rows.groupBy(*KEY).agg(F.max(F.struct(order.alias("o"), "cand_ix", *payload)).alias("b"))
-            .select(*KEY, F.col("b.cand_ix").alias("start_ix"), *[F.col(f"b.{p}") for p in payload])
+            .select(*KEY, F.col("b.cand_ix").alias("start_fix"), *[F.col(f"b.{p}") for p in payload])
             .withColumnRenamed("cand_t", "start_cross_t"))

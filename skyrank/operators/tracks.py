@@ -46,6 +46,9 @@ def project_fixes(fixes: DataFrame, course: DataFrame, ellipsoid: bool = False)
 def indexed_track(fixes: DataFrame) -> DataFrame:
     """Number each pilot's fixes and carry the previous position: one sort serves every later pass."""
     w = by_time()
+    # The projection may have joined on the task alone; cluster by pilot before any window,
+    # so that a large task is spread by its pilots and the join above may split it.
+    fixes = fixes.repartition(*KEY)
     dx, dy = F.col("x") - F.first("x").over(w), F.col("y") - F.first("y").over(w)
     return fixes.select(
         *KEY, (F.row_number().over(w) - 1).alias("fix_ix"), "t", "lat", "lon", "x", "y",
@@ -61,7 +64,13 @@ def track_facts(track: DataFrame) -> DataFrame:
         F.count("*").alias("fixes_used"), F.min("t").alias("first_t"), F.max("t").alias("last_t"),
         F.max("fix_ix").alias("last_ix"),
         F.min(F.when(airborne, F.col("t"))).alias("takeoff_t"),
-        F.min(F.when(airborne, F.col("fix_ix"))).alias("takeoff_ix"))
+        F.min(F.when(airborne, F.col("fix_ix"))).alias("takeoff_ix"),
+        *[F.max_by(c, "t").alias(f"last_{n}") for c, n in (("lat", "lat"), ("lon", "lon"), ("alt_gps", "alt"))])
+
+
+def course_struct(course: DataFrame) -> DataFrame:
+    """(task_id, c): the whole course as one column, joined once and carried along."""
+    return course.select("task_id", F.struct(*[x for x in course.columns if x != "task_id"]).alias("c"))
 
 
 def drop_outliers(fixes_xy: DataFrame, limit_km: float = 200.0) -> tuple[DataFrame, DataFrame]:

@@ -48,22 +48,21 @@ class Scoring:
 
     @cached_property
     def events(self) -> DataFrame:
-        return self._stage(starts.zone_events(self.track, self.course))
+        return starts.zone_events(self.track, self.course)
 
     @cached_property
     def evidence(self) -> DataFrame:
-        return self._stage(starts.start_evidence(self.track, self.events))
+        return self._stage(starts.start_evidence(self.track, self.events, self.course))
 
     def _chains(self, evidence: DataFrame) -> DataFrame:
-        return starts.zone_chain(starts.start_candidates(evidence, self.course), self.course)
+        return starts.zone_chain(starts.start_candidates(evidence))
 
     def _play(self, chains: DataFrame) -> DataFrame:
-        return starts.best_start(
-            starts.replay(self.track, starts.chain_legs(chains, self.course)), self.course)
+        return starts.best_start(starts.replay(self.track, chains))
 
     @cached_property
     def first_choice(self) -> DataFrame:
-        """Start chosen on the whole track: (start_ix, start_cross_t, goal_ix or null).
+        """Start chosen on the whole track: (start_fix, start_cross_t, goal_ix or null).
 
         Distances decide only where several starts compete and none reached goal, so
         only those pilots' fixes are measured.
@@ -75,11 +74,11 @@ class Scoring:
             F.max(F.struct(goal.isNotNull().cast("int").alias("g"), F.col("cand_ix").alias("ix"),
                            F.col("cand_t").alias("t"), goal.alias("goal_fix"))).alias("b"))
         settled = facts.where((F.col("n") == 1) | F.col("any_goal")).select(
-            *KEY, F.col("b.ix").alias("start_ix"), F.col("b.t").alias("start_cross_t"),
+            *KEY, F.col("b.ix").alias("start_fix"), F.col("b.t").alias("start_cross_t"),
             F.col("b.goal_fix").alias("goal_fix"))
         open_ = facts.where((F.col("n") > 1) & ~F.col("any_goal")).select(*KEY)
         played = self._play(chains.join(open_, KEY, "left_semi")).select(
-            *KEY, "start_ix", "start_cross_t", F.element_at("tags", -1).alias("goal_fix"))
+            *KEY, "start_fix", "start_cross_t", F.element_at("tags", -1).alias("goal_fix"))
         return settled.unionByName(played)
 
     @cached_property
@@ -89,26 +88,26 @@ class Scoring:
         search = state.select(
             *KEY, (F.coalesce("start_cross_t", "takeoff_t") + ld.AFTER_START_DELAY_S).alias("after_t"),
             F.col("last_t").alias("before_t"), "goal_fix").where(F.col("after_t").isNotNull())
-        found = ld.landings(self.track, search.drop("goal_fix"))
-        kept = found.join(search.select(*KEY, "goal_fix"), KEY).where(
-            F.col("goal_fix").isNull() | (F.col("goal_fix") > F.col("landing_ix")))
+        found = ld.landings(self.track, search)
+        kept = found.where(F.col("goal_fix").isNull() | (F.col("goal_fix") > F.col("landing_ix")))
         return self._stage(kept.drop("goal_fix"))
 
     @cached_property
     def cut_evidence(self) -> DataFrame:
         if not self._landing:
             none = {"landing_t": F.lit(None).cast("long"), "landing_ix": F.lit(None).cast("int"),
-                    "cut_ix": F.lit(None).cast("int")}
+                    "cut_ix": F.lit(None).cast("int"),
+                    "landing_at": F.lit(None).cast("struct<lat:double,lon:double,alt:int>")}
             return self.evidence.withColumns(none)
         return self.evidence.join(self.landings, KEY, "left").withColumn("cut_ix", F.col("landing_ix"))
 
     @cached_property
     def candidates(self) -> DataFrame:
-        return starts.start_candidates(self.cut_evidence, self.course)
+        return starts.start_candidates(self.cut_evidence)
 
     @cached_property
     def scored_start(self) -> DataFrame:
-        return self._stage(self._play(starts.zone_chain(self.candidates, self.course)))
+        return self._stage(self._play(starts.zone_chain(self.candidates)))
 
     @cached_property
     def timing(self) -> DataFrame:
@@ -120,13 +119,14 @@ class Scoring:
         rows = ev.select(
             *KEY, at_cut(F.col("takeoff_t")).alias("takeoff_t"), early.alias("crossed_early"),
             F.coalesce("landing_t", "last_t").alias("last_t"), F.col("last_t").alias("last_seen_t"),
-            F.coalesce("landing_ix", "last_ix").alias("last_ix"), "landing_t", "landing_ix")
+            F.coalesce("landing_ix", "last_ix").alias("last_ix"), "landing_t", "landing_ix",
+            *[F.coalesce(f"landing_at.{n}", f"last_{n}").alias(f"last_{n}") for n in ("lat", "lon", "alt")], "c")
         return rows.join(self.scored_start, KEY, "left")
 
     @cached_property
     def samples(self) -> DataFrame:
-        started = self.timing.where(F.col("start_ix").isNotNull())
-        return ex.sampled_fixes(self.track, started, self.course)
+        started = self.timing.where(F.col("start_fix").isNotNull())
+        return ex.sampled_fixes(self.track, started)
 
     @cached_property
     def distances(self) -> DataFrame:
@@ -134,66 +134,65 @@ class Scoring:
 
     @cached_property
     def lead_samples(self) -> DataFrame:
-        return ex.lead_samples(self.distances, self.course)
+        return ex.lead_samples(self.distances)
 
     @cached_property
     def state(self) -> DataFrame:
         """Complete per-pilot state before the field pass."""
         c = F.col
-        rows = self.timing.join(self.course.select(
-            "task_id", "start_type", "gates", "first_gate", "launch_to_sss_m", "total_m", "speed_m",
-            "minimum_distance", F.col("start_ix").alias("sss_wp"), F.col("goal_ix").alias("goal_wp"),
-            *(["altitude_source"] if "altitude_source" in self.course.columns else [])), "task_id")
+        rows = self.timing
         if self._exact:
-            rows = rows.join(ex.exact_progress(self.distances), KEY, "left").join(
-                ex.leading_areas(self.lead_samples), KEY, "left")
+            rows = rows.join(ex.exact_progress(self.distances), KEY, "left")
         else:
             rows = rows.withColumns({n: F.lit(None).cast("double") for n in
                                      ("exact_remaining", "exact_ix", "lead_area", "lead_min_km")})
-        last = self.track.select(*KEY, c("fix_ix").alias("last_ix"), c("lat").alias("last_lat"),
-                                 c("lon").alias("last_lon"), c("alt_gps").alias("last_alt"))
-        rows = rows.join(last, [*KEY, "last_ix"], "left")
-        started, airborne = c("start_ix").isNotNull(), c("takeoff_t").isNotNull()
-        gate = F.coalesce(F.array_max(F.filter("gates", lambda g: g <= c("start_cross_t"))), c("first_gate"))
+        started, airborne = c("start_fix").isNotNull(), c("takeoff_t").isNotNull()
+        gate = F.coalesce(F.array_max(F.filter("c.gates", lambda g: g <= c("start_cross_t"))), c("c.first_gate"))
         early = ~started & c("crossed_early")
-        raw = (F.when(~started & early, gap.early_start_distance(c("launch_to_sss_m"), F.lit(0.0), self._early))
+        raw = (F.when(~started & early, gap.early_start_distance(c("c.launch_to_sss_m"), F.lit(0.0), self._early))
                .when(~started, F.lit(0.0))
                .when(c("goal_t").isNull() & c("exact_remaining").isNotNull(),
-                     F.greatest(F.lit(0.0), c("total_m") - c("exact_remaining")))
+                     F.greatest(F.lit(0.0), c("c.total_m") - c("exact_remaining")))
                .otherwise(c("raw_m")))
-        use_baro = (F.lower("altitude_source") == "baro" if "altitude_source" in self.course.columns
+        use_baro = (F.lower("c.altitude_source") == "baro" if "altitude_source" in self.course.columns
                     else F.lit(False))
         rows = rows.withColumns({
             "early_start": early,
-            "start_t": F.when(started, F.when(F.upper("start_type").startswith("RACE"), gate)
+            "start_t": F.when(started, F.when(F.upper("c.start_type").startswith("RACE"), gate)
                               .otherwise(c("start_cross_t"))),
             "raw_distance_m": raw,
-            "distance_m": F.when(started | airborne, F.greatest(c("minimum_distance"), raw)).otherwise(F.lit(0.0)),
+            "distance_m": F.when(started | airborne, F.greatest(c("c.minimum_distance"), raw)).otherwise(F.lit(0.0)),
             "state": F.when(c("goal_t").isNotNull(), "GOAL").when(c("ess_t").isNotNull(), "ESS")
             .when(started, "STARTED").when(airborne, "AIRBORNE").otherwise("WAITING"),
             "dist_fix_ix": F.when(c("goal_t").isNull(), F.coalesce("exact_ix", "dist_ix")).otherwise(c("dist_ix")),
             "goal_alt": F.when(use_baro, c("goal_baro")).otherwise(c("goal_gps")).cast("double"),
             "tags_done": F.size(F.filter(F.coalesce("tags", F.array().cast("array<int>")), lambda x: x.isNotNull())),
-            "last_task_time": F.coalesce((c("last_play_t") - c("first_gate")).cast("double"), F.lit(0.0))})
+            "last_task_time": F.coalesce((c("last_play_t") - c("c.first_gate")).cast("double"), F.lit(0.0))})
         rows = rows.withColumns({
-            "next_wp": F.when(started, c("sss_wp") + 1 + c("tags_done")).otherwise(F.lit(0)),
-            "tp_count": F.least(c("tags_done"), c("goal_wp") - c("sss_wp") - 1),
+            "next_wp": F.when(started, c("c.start_ix") + 1 + c("tags_done")).otherwise(F.lit(0)),
+            "tp_count": F.least(c("tags_done"), c("c.goal_ix") - c("c.start_ix") - 1),
             "section_s": (c("ess_t") - c("start_t")).cast("double")})
-        rows = rows.withColumn("speed_kmh", F.when(c("section_s") > 0, c("speed_m") / c("section_s") * 3.6))
+        rows = rows.withColumn("speed_kmh", F.when(c("section_s") > 0, c("c.speed_m") / c("section_s") * 3.6))
         return rows.select(
             *KEY, "state", "takeoff_t", "start_t", "start_cross_t", "ess_t", "goal_t", "goal_alt",
             "distance_m", "raw_distance_m", "early_start", "section_s", "speed_kmh", "next_wp", "tp_count",
-            "tags", "tag_t", "start_ix", "dist_fix_ix", "landing_t", "landing_ix", "last_t", "last_ix",
+            "tags", "tag_t", "start_fix", "dist_fix_ix", "landing_t", "landing_ix", "last_t", "last_ix",
             "last_lat", "last_lon", "last_alt", "lead_area", "lead_min_km", "last_task_time",
-            "min_remaining")
+            "min_remaining", "c")
 
     @cached_property
     def staged_state(self) -> DataFrame:
         return self._stage(self.state)
 
+    @property
+    def pilot_state(self) -> DataFrame:
+        """The staged state without the course it carries."""
+        return self.staged_state.drop("c")
+
     @cached_property
     def _field(self):
-        return score_field(self.staged_state, self.course, self._rule, self._integer_pots, self._roster)
+        return score_field(self.staged_state, self.course, self._rule, self._integer_pots, self._roster,
+                           self._stage)
 
     @property
     def scores(self) -> DataFrame:
