@@ -1,0 +1,6 @@
+"""Oracle SQL for every query that ANSI SQL can express, ready to run."""
+
+from . import race
+from .ctes import compose
+
+ORACLES = {name: compose(sql) for name, sql in {**race.SQL}.items()}

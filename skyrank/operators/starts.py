@@ -203,3 +203,12 @@ def best_start(replayed: DataFrame) -> DataFrame:
     return (rows.groupBy(*KEY).agg(F.max(F.struct(order.alias("o"), "cand_ix", *payload)).alias("b"))
             .select(*KEY, F.col("b.cand_ix").alias("start_fix"), *[F.col(f"b.{p}") for p in payload])
             .withColumnRenamed("cand_t", "start_cross_t"))
+
+
+def remaining_by_fix(track: DataFrame, scored: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Distance still to fly at every fix of the scored run, with the zone it is measured to."""
+    chains = scored.select(*KEY, F.col("start_fix").alias("cand_ix"), F.col("start_cross_t").alias("cand_t"), "tags").join(
+        evidence.select(*KEY, "cut_ix", "c"), KEY)
+    rows = on_legs(track.select(*KEY, "fix_ix", "t", "x", "y"), chain_legs(chains))
+    return rows.where(F.col("fix_ix") > F.col("cand_ix")).select(
+        *KEY, "fix_ix", "t", "wp_ix", remaining_column().alias("remaining"))

@@ -124,6 +124,18 @@ def compile_courses(tasks: DataFrame, waypoints: DataFrame, ellipsoid: bool = Fa
     return clocks.join(course, "task_id")
 
 
+def clock_epoch(clock: Column, midnight: Column) -> Column:
+    """HH:MM:SSZ on a task day as epoch seconds."""
+    part = lambda i: F.try_element_at(F.split(F.rtrim(clock, F.lit("Z")), ":"), F.lit(i)).cast("long")
+    return midnight + part(1) * 3600 + part(2) * 60 + part(3)
+
+
+def clock_gates(clocks: Column, midnight: Column) -> Column:
+    """Sorted gate epochs; a task without gates starts at midnight."""
+    gates = F.array_sort(F.transform(clocks, lambda g: clock_epoch(g, midnight)))
+    return F.when(F.size(gates) > 0, gates).otherwise(F.array(midnight))
+
+
 def waypoints_of(course: DataFrame) -> DataFrame:
     """The compiled waypoints as rows."""
     return course.select("task_id", F.inline("wps"))

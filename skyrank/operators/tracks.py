@@ -27,6 +27,11 @@ def first_reports(raw: DataFrame) -> DataFrame:
     return raw.groupBy(*KEY, "t").agg(*[F.min_by(c, "ord").alias(c) for c in PAYLOAD])
 
 
+def merge_sessions(reports: DataFrame) -> DataFrame:
+    """Merge all files of a pilot (``pilot_key``: trimmed lower-case name); first report per second wins."""
+    return reports.groupBy("task_id", "pilot_key", "t").agg(*[F.min_by(c, "ord").alias(c) for c in PAYLOAD])
+
+
 def newest_points(points: DataFrame) -> DataFrame:
     """One fix per (task, pilot, second) of a point table: the newest id wins, null altitudes are 0."""
     return points.groupBy(*KEY, F.col("epoch").alias("t")).agg(
