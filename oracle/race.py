@@ -24,7 +24,7 @@ SQL = {
         select *, lead(lat) over w lat2, lead(lon) over w lon2 from wps window w as (partition by task_id order by wp_ix)) z
         join tasks using (task_id))""",
     "project_fixes": f"select {PT}, t, round(x, 2) x, round(y, 2) y from track",
-    "unproject": f"select {PT}, t, round({ULAT}, 6) lat, round({ULON}, 6) lon from (select {PT}, t, x, y, clat, clon from track join centres using (task_id))",
+    "unproject": f"select {PT}, t, round({ULAT}, 7) lat, round({ULON}, 7) lon from (select {PT}, t, x, y, clat, clon from track join centres using (task_id))",
     "task_centre": "select task_id, round(clat, 6) lat0, round(clon, 6) lon0 from centres",
     "zone_radii": f"""select task_id, wp_ix, round(inner_r, 3) inner_m, round(outer_r, 3) outer_m, round({REL_IN}, 3) inner_rel,
         round({REL_OUT}, 3) outer_rel, round(radius, 3) measure_nominal, round({REL_OUT}, 3) measure_outer,
@@ -55,7 +55,7 @@ SQL = {
         when alt_gps not between -500 and 12000 then 'altitude' when t < gate - 9000 or t > gate + 12060 then 'time' end static
         from fixes f join task_rows using (task_id))
         window w as (partition by {PT} order by t), rr as (partition by {PT} order by t rows between 5 preceding and 1 preceding))""",
-    "merge_sessions": """select r.task_id, lower(trim(name)) pilot_key, t, round(arg_min(lat, ord), 6) lat, round(arg_min(lon, ord), 6) lon,
+    "merge_sessions": """select r.task_id, lower(trim(name)) pilot_key, t, arg_min(lat, ord) lat, arg_min(lon, ord) lon,
         arg_min(alt_gps, ord)::bigint alt_gps from raw_fixes r join pilots p on p.pilot_id = r.pilot_id group by 1, 2, 3""",
     "route_layers": """select task_id, wp_ix, count(*) points, round(min(qx), 2) min_x, round(max(qx), 2) max_x,
         round(min(qy), 2) min_y, round(max(qy), 2) max_y from rim0 group by 1, 2""",

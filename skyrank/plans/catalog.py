@@ -1,5 +1,5 @@
 """Every query by name."""
 
-from . import race
+from . import field_scores, race
 
-QUERIES = {**race.QUERIES}
+QUERIES = {**race.QUERIES, **field_scores.QUERIES}

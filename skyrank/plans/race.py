@@ -65,7 +65,7 @@ def project_fixes(c: Race) -> DataFrame:
 def unproject(c: Race) -> DataFrame:
     rows = c.s.track.select(*KEY, "t", "x", "y").join(c.s.course.select("task_id", "clat", "clon"), "task_id")
     lat, lon = geo.plane_latlon(F.col("x"), F.col("y"), F.col("clat"), F.col("clon"))
-    return rows.select(*KEY, "t", r(lat, 6, "lat"), r(lon, 6, "lon"))
+    return rows.select(*KEY, "t", r(lat, 7, "lat"), r(lon, 7, "lon"))
 
 
 def _leg_pairs(c: Race) -> DataFrame:
@@ -181,7 +181,7 @@ def merge_sessions(c: Race) -> DataFrame:
     named = c.views.raw_fixes().join(c.views.pilots().select(
         "pilot_id", F.lower(F.trim("name")).alias("pilot_key")), "pilot_id")
     return tracks.merge_sessions(named).select(
-        "task_id", "pilot_key", "t", r("lat", 6), r("lon", 6), big("alt_gps"))
+        "task_id", "pilot_key", "t", "lat", "lon", big("alt_gps"))
 
 
 def route_layers(c: Race) -> DataFrame:
