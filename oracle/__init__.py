@@ -1,6 +1,6 @@
 """Oracle SQL for every query that ANSI SQL can express, ready to run."""
 
-from . import field_scores, race
+from . import field_scores, live_tables, race
 from .ctes import compose
 
-ORACLES = {name: compose(sql) for name, sql in {**race.SQL, **field_scores.SQL}.items()}
+ORACLES = {name: compose(sql) for name, sql in {**race.SQL, **field_scores.SQL, **live_tables.SQL}.items()}

@@ -24,7 +24,7 @@ SQL = {
         select *, lead(lat) over w lat2, lead(lon) over w lon2 from wps window w as (partition by task_id order by wp_ix)) z
         join tasks using (task_id))""",
     "project_fixes": f"select {PT}, t, round(x, 2) x, round(y, 2) y from track",
-    "unproject": f"select {PT}, t, round({ULAT}, 7) lat, round({ULON}, 7) lon from (select {PT}, t, x, y, clat, clon from track join centres using (task_id))",
+    "unproject": f"select {PT}, t, cast(floor({ULAT} * 1e6 + 0.25) as bigint) lat_udeg, cast(floor({ULON} * 1e6 + 0.25) as bigint) lon_udeg from (select {PT}, t, x, y, clat, clon from track join centres using (task_id))",
     "task_centre": "select task_id, round(clat, 6) lat0, round(clon, 6) lon0 from centres",
     "zone_radii": f"""select task_id, wp_ix, round(inner_r, 3) inner_m, round(outer_r, 3) outer_m, round({REL_IN}, 3) inner_rel,
         round({REL_OUT}, 3) outer_rel, round(radius, 3) measure_nominal, round({REL_OUT}, 3) measure_outer,

@@ -108,7 +108,7 @@ PENALTY_STAGES = [
 PENALTY_COLUMNS = ["task_id", "ord", "pilot_key", "reason", "percent_own", "percent_task", "points"]
 
 POINT_STAGES = [
-    [("task_id", "concat('E', cast(user_id % 5 as string))"),
+    [("task_id", "concat('E', cast(cast(floor(user_id / 30) as bigint) as string))"),
      ("pilot_id", "concat('u', cast(user_id as string))"),
      ("batch_id", "cast(floor(event_id / 500) as bigint)"),
      ("ord", "event_id"),

@@ -1,5 +1,5 @@
 """Every query by name."""
 
-from . import field_scores, race
+from . import field_scores, live_tables, race
 
-QUERIES = {**race.QUERIES, **field_scores.QUERIES}
+QUERIES = {**race.QUERIES, **field_scores.QUERIES, **live_tables.QUERIES}

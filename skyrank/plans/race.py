@@ -65,7 +65,8 @@ def project_fixes(c: Race) -> DataFrame:
 def unproject(c: Race) -> DataFrame:
     rows = c.s.track.select(*KEY, "t", "x", "y").join(c.s.course.select("task_id", "clat", "clon"), "task_id")
     lat, lon = geo.plane_latlon(F.col("x"), F.col("y"), F.col("clat"), F.col("clon"))
-    return rows.select(*KEY, "t", r(lat, 7, "lat"), r(lon, 7, "lon"))
+    micro = lambda deg, name: F.floor(deg * 1e6 + 0.25).alias(name)   # whole micro-degrees
+    return rows.select(*KEY, "t", micro(lat, "lat_udeg"), micro(lon, "lon_udeg"))
 
 
 def _leg_pairs(c: Race) -> DataFrame:
