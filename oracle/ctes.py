@@ -15,15 +15,31 @@ def cte(name: str, sql: str) -> None:
     CTES[name] = " ".join(sql.split())
 
 
-def compose(sql: str) -> str:
-    """Prefix ``sql`` with the building blocks it needs, in definition order."""
+def needed(sql: str) -> list[str]:
     need, todo = set(), [sql]
     while todo:
         for name in set(re.findall(r"[a-z_][a-z0-9_]*", todo.pop())):
             if name in CTES and name not in need:
                 need.add(name)
                 todo.append(CTES[name])
-    parts = [f"{n} as materialized ({CTES[n]})" for n in CTES if n in need]
+    return [n for n in CTES if n in need]
+
+
+def at_moment(name: str, seconds: int) -> str:
+    """Define building block ``name`` once more as known so many seconds after the gate."""
+    names = needed(name)
+    tag = lambda text: re.sub(r"[a-z_][a-z0-9_]*", lambda m: f"{m[0]}_at{seconds}" if m[0] in names else m[0], text)
+    for n in names:
+        body = CTES[n]
+        if n == "raw_fixes":
+            body = f"select f.* from ({body}) f join task_rows k using (task_id) where f.t <= k.gate + {seconds}"
+        CTES[f"{n}_at{seconds}"] = tag(body)
+    return f"{name}_at{seconds}"
+
+
+def compose(sql: str) -> str:
+    """Prefix ``sql`` with the building blocks it needs, in definition order."""
+    parts = [f"{n} as materialized ({CTES[n]})" for n in needed(sql)]
     return (f"with {', '.join(parts)} " if parts else "") + " ".join(sql.split())
 
 

@@ -1,6 +1,6 @@
 """Oracle SQL for the geometry, route, track and pilot-state queries."""
 
-from .ctes import R, hav, plane
+from .ctes import R, at_moment, hav
 
 PT = "task_id, pilot_id"
 REL_IN, REL_OUT = "least(radius * 0.999e0, radius - 5)", "greatest(radius * 1.001e0, radius + 5)"
@@ -17,14 +17,17 @@ def unplane(x="x", y="y"):
 
 ULAT, ULON = unplane()
 
+MOMENTS = {m: at_moment("pstate", m) for m in (1800, 4500, 7200)}
+
 SQL = {
+    "as_of_now": f"select concat(task_id, '@4500') task_id, pilot_id, state, last_t, start_t, ess_t, round(distance_m, 2) distance_m from {MOMENTS[4500]}",
     "haversine_legs": f"""select task_id, wp_ix, round(leg, 3) leg_m,
         round(sum(leg) filter (wp_ix >= start_ix) over (partition by task_id), 3) centre_m from (
         select z.task_id, wp_ix, start_ix, {hav('lat', 'lon', 'lat2', 'lon2')} as leg from (
         select *, lead(lat) over w lat2, lead(lon) over w lon2 from wps window w as (partition by task_id order by wp_ix)) z
         join tasks using (task_id))""",
     "project_fixes": f"select {PT}, t, round(x, 2) x, round(y, 2) y from track",
-    "unproject": f"select {PT}, t, cast(floor({ULAT} * 1e6 + 0.25) as bigint) lat_udeg, cast(floor({ULON} * 1e6 + 0.25) as bigint) lon_udeg from (select {PT}, t, x, y, clat, clon from track join centres using (task_id))",
+    "unproject": f"select {PT}, t, cast(floor(({ULAT}) * 1e6 + 0.2718281e0) as bigint) lat_udeg, cast(floor(({ULON}) * 1e6 + 0.2718281e0) as bigint) lon_udeg from (select {PT}, t, x, y, clat, clon from track join centres using (task_id))",
     "task_centre": "select task_id, round(clat, 6) lat0, round(clon, 6) lon0 from centres",
     "zone_radii": f"""select task_id, wp_ix, round(inner_r, 3) inner_m, round(outer_r, 3) outer_m, round({REL_IN}, 3) inner_rel,
         round({REL_OUT}, 3) outer_rel, round(radius, 3) measure_nominal, round({REL_OUT}, 3) measure_outer,

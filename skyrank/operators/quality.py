@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from .ranking import spread_running_max
 from .tracks import KEY, by_time
 
 # Fixed values of the plausibility rule.
@@ -47,36 +48,38 @@ def plausibility(fixes: DataFrame, window: DataFrame) -> DataFrame:
         "static", "prev_t", "m_t", "m_lat", "m_lon", "m_alt_gps", "open_t", "now_t")
 
 
+ARRIVALS_PER_BUCKET = 1_000_000
+
+
 def classify_arrivals(points: DataFrame, order: str = "ord") -> DataFrame:
     """in_order / duplicate / conflict / late for points in order of arrival.
 
-    The time already reached is a running maximum over the pilot's arrivals; repeats
-    of a second are found by that second's first arrival, a keyed aggregate.
+    The time already reached is a running maximum taken bucket by bucket of arrivals;
+    repeats of a second are found by that second's first arrival, a keyed aggregate.
+    Neither needs all points of one pilot in one place.
     """
-    arrived = Window.partitionBy(*KEY).orderBy(order)
-    second = Window.partitionBy(*KEY, "epoch").orderBy(order)
-    rows = points.withColumns({
-        "reached": F.max("epoch").over(arrived.rowsBetween(Window.unboundedPreceding, -1)),
-        "nth": F.row_number().over(second),
-        "first_lat": F.first("lat").over(second), "first_lon": F.first("lon").over(second)})
-    same = (F.col("lat") == F.col("first_lat")) & (F.col("lon") == F.col("first_lon"))
-    kind = (F.when((F.col("nth") > 1) & same, "duplicate").when(F.col("nth") > 1, "conflict")
+    first = points.groupBy(*KEY, "epoch").agg(
+        F.min(F.struct(F.col(order).alias("o"), "lat", "lon")).alias("first"))
+    rows = spread_running_max(points, KEY, F.floor(F.col(order) / ARRIVALS_PER_BUCKET),
+                              [F.col(order)], F.col("epoch"), "reached").join(first, [*KEY, "epoch"])
+    again = F.col(order) > F.col("first.o")
+    same = (F.col("lat") == F.col("first.lat")) & (F.col("lon") == F.col("first.lon"))
+    kind = (F.when(again & same, "duplicate").when(again, "conflict")
             .when(F.col("reached") > F.col("epoch"), "late").otherwise("in_order"))
-    return rows.withColumn("arrival", kind).drop("reached", "nth", "first_lat", "first_lon")
+    return rows.withColumn("arrival", kind).drop("reached", "first")
 
 
-def tracker_priority(points: DataFrame, silence_s: int = 120) -> DataFrame:
-    """Keep a lower-priority tracker's points only while every higher one is silent.
+def tracker_priority(points: DataFrame, silence_s: int = 120, slot_s: int = 3600) -> DataFrame:
+    """Keep a lower-priority tracker's points only while the best one is silent.
 
-    Priority 1 is the best.  The last time a better tracker spoke is a running
-    maximum over the pilot's points.
+    Priority 1 is the best.  The last time it spoke is a running maximum, taken hour by
+    hour so that a talkative pilot is not one task.
     """
-    so_far = Window.partitionBy(*KEY).orderBy("epoch", "priority", "ord").rowsBetween(
-        Window.unboundedPreceding, 0)
-    best_t = F.max(F.when(F.col("priority") == 1, F.col("epoch"))).over(so_far)
-    return points.withColumn("best_t", best_t).where(
-        (F.col("priority") == 1) | F.col("best_t").isNull() | (F.col("epoch") - F.col("best_t") > silence_s)
-    ).drop("best_t")
+    order = [F.col("epoch"), F.col("priority"), F.col("ord")]
+    spoke = F.when(F.col("priority") == 1, F.col("epoch"))
+    rows = spread_running_max(points, KEY, F.floor(F.col("epoch") / slot_s), order, spoke, "best_t")
+    return rows.where((F.col("priority") == 1) | F.col("best_t").isNull()
+                      | (F.col("epoch") - F.col("best_t") > silence_s)).drop("best_t")
 
 
 def assign_active_task(points: DataFrame, windows: DataFrame, slot_s: int = 3600) -> DataFrame:

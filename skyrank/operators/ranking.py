@@ -33,6 +33,22 @@ def spread_row_number(df: DataFrame, by: list[str], buckets: list[Column], order
     return joined.withColumn(name, (F.row_number().over(within) + F.col("_off")).cast("long")).drop(*cols, "_off")
 
 
+def spread_running_max(df: DataFrame, by: list[str], bucket: Column, order: list[Column], value: Column,
+                       name: str) -> DataFrame:
+    """Maximum of ``value`` over all earlier rows of the group, without one task per group.
+
+    ``bucket`` is a coarse, order-preserving view of the sort key: the maxima of earlier
+    buckets come from one small window, the rest from a window inside the bucket.
+    """
+    keyed = df.withColumns({"_b": bucket, "_v": value})
+    tops = keyed.groupBy(*by, "_b").agg(F.max("_v").alias("_top"))
+    earlier = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    tops = tops.withColumn("_before", F.max("_top").over(earlier)).drop("_top")
+    inside = Window.partitionBy(*by, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return keyed.join(tops, [*by, "_b"]).withColumn(
+        name, F.greatest("_before", F.max("_v").over(inside))).drop("_b", "_v", "_before")
+
+
 def final_ranking(scores: DataFrame) -> DataFrame:
     """Order by total, then distance, then pilot; ranks 1..n without ties."""
     return spread_row_number(

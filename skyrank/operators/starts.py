@@ -40,7 +40,7 @@ def zone_events(track: DataFrame, course: DataFrame) -> DataFrame:
                     (F.col("t") >= F.col("first_gate")).alias("after_gate"),
                     F.coalesce(F.col("t") > F.col("deadline"), F.lit(False)).alias("late"),
                     (F.col("wp_ix") == F.col("start_ix") + 1).alias("is_next"),
-                    "transition", "segment_only", (d1 > d0).alias("outward"), "d_prev", "d_fix")
+                    "transition", "segment_only", (d1 > d0).alias("outward"), "d_prev", "d_fix", outer.alias("outer"))
             .repartition(*KEY))
 
 

@@ -1,5 +1,5 @@
 """Every query by name."""
 
-from . import field_scores, live_tables, race
+from . import evidence, field_scores, live_tables, race, task_match
 
-QUERIES = {**race.QUERIES, **field_scores.QUERIES, **live_tables.QUERIES}
+QUERIES = {**race.QUERIES, **field_scores.QUERIES, **live_tables.QUERIES, **task_match.QUERIES, **evidence.QUERIES}

@@ -26,6 +26,9 @@ def big(col, name: str | None = None) -> Column:
     return F.col(col).cast("long").alias(name or col) if isinstance(col, str) else col.cast("long").alias(name)
 
 
+MOMENTS_S = (1800, 4500, 7200)
+
+
 class Race:
     """One data directory with its views and its scoring run, shared by every query."""
 
@@ -39,11 +42,19 @@ class Race:
         v = self.views
         return Scoring(v.raw_fixes(), v.task_rows(), v.waypoint_rows())
 
-    def as_of(self, seconds_after_gate: int) -> Scoring:
-        """Scoring at a moment: nothing later than the gate plus so many seconds exists yet."""
-        v = self.views
-        return Scoring(v.raw_fixes(), v.task_rows().withColumn("now", F.col("gate") + seconds_after_gate),
-                       v.waypoint_rows())
+    @cached_property
+    def ladder(self) -> Scoring:
+        """The same races scored at several moments in one run.
+
+        A (task, moment) pair is a task of its own that knows nothing later than the
+        moment; the number of moments is a constant, so the data grow by that factor.
+        """
+        v, at = self.views, "task_id || '@' || moment"
+        moments = F.explode(F.array(*[F.lit(m) for m in MOMENTS_S]))
+        tag = lambda d: d.withColumn("moment", moments).withColumn("task_id", F.expr(at))
+        return Scoring(tag(v.raw_fixes()).drop("moment"),
+                       tag(v.task_rows()).withColumn("now", F.col("gate") + F.col("moment")).drop("moment"),
+                       tag(v.waypoint_rows()).drop("moment"))
 
     @cached_property
     def wps(self) -> DataFrame:
@@ -65,7 +76,7 @@ def project_fixes(c: Race) -> DataFrame:
 def unproject(c: Race) -> DataFrame:
     rows = c.s.track.select(*KEY, "t", "x", "y").join(c.s.course.select("task_id", "clat", "clon"), "task_id")
     lat, lon = geo.plane_latlon(F.col("x"), F.col("y"), F.col("clat"), F.col("clon"))
-    micro = lambda deg, name: F.floor(deg * 1e6 + 0.25).alias(name)   # whole micro-degrees
+    micro = lambda deg, name: F.floor(deg * 1e6 + 0.2718281).alias(name)   # whole micro-degrees
     return rows.select(*KEY, "t", micro(lat, "lat_udeg"), micro(lon, "lon_udeg"))
 
 
@@ -161,8 +172,7 @@ def task_clock(c: Race) -> DataFrame:
 
 
 def as_of_now(c: Race) -> DataFrame:
-    s = c.as_of(4500)
-    return s.pilot_state.select(*KEY, "state", "last_t", "start_t", "ess_t", r("distance_m", 2))
+    return c.ladder.pilot_state.where(F.col("task_id").endswith("@4500")).select(*KEY, "state", "last_t", "start_t", "ess_t", r("distance_m", 2))
 
 
 def drop_outlier_tracks(c: Race) -> DataFrame:
