@@ -72,3 +72,28 @@ def write_task_partitions(rows: DataFrame, path: str) -> None:
     order = [c for c in ("pilot_id", "t", "epoch") if c in rows.columns]
     out = rows.repartition("task_id", *spread).sortWithinPartitions("task_id", *order)
     out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("task_id").parquet(path)
+
+
+def snapshots(board: DataFrame, tasks: DataFrame, due: DataFrame, rows_per_page: int = PAGE_ROWS) -> DataFrame:
+    """Score snapshots of the tasks in ``due`` (task_id, sequence, status, calculated_t), paged."""
+    c = F.col
+    row = F.struct("rank", F.col("pilot_id").alias("pilot"), "state", "distance_m", F.col("start_t").alias("start"),
+                   F.col("ess_t").alias("ess"), F.col("goal_t").alias("goal"), "total_points")
+    pages = board.join(due.select("task_id"), "task_id", "left_semi").withColumn(
+        "page", F.floor((c("rank") - 1) / rows_per_page)).groupBy("task_id", "page").agg(F.array_sort(F.collect_list(row)).alias("results"))
+    facts = tasks.join(due, "task_id").select("task_id", "sequence", "status", "calculated_t", F.struct(
+        F.col("task_id").alias("name"), F.col("total_m").alias("total_distance_m"), F.col("speed_m").alias("speed_distance_m")).alias("task"),
+        F.struct(*[F.col(f"{n}_validity").alias(n) for n in ("launch", "distance", "time", "task")]).alias("validity"))
+    stamp = F.date_format(F.timestamp_seconds("calculated_t"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return pages.join(facts, "task_id").select("task_id", "sequence", "page", F.to_json(F.struct(
+        F.lit("live-score.v1").alias("schema"), c("task_id").alias("competition_id"), c("sequence").alias("source_sequence"),
+        stamp.alias("calculated_at"), (c("status") != "final").alias("provisional"), "status", "page", "task", "validity", "results"
+    )).alias("document"))
+
+
+def publish(documents: DataFrame, path: str) -> None:
+    """Versioned documents per (task, sequence), then ``latest`` replaced for the same tasks."""
+    rows = documents.select("task_id", "sequence", F.col("document").alias("value"))
+    dynamic = {"partitionOverwriteMode": "dynamic"}
+    rows.write.mode("overwrite").options(**dynamic).partitionBy("task_id", "sequence").text(f"{path}/versions")
+    rows.drop("sequence").write.mode("overwrite").options(**dynamic).partitionBy("task_id").text(f"{path}/latest")
