@@ -93,6 +93,8 @@ SQL = {
     "leading_area": f"select {PT}, round(lead_area, 4) lead_area, round(lead_min_km, 5) lead_min_km from leads",
     "leading_area_hump": f"""select {PT}, round(sum(task_time * (prev_km - d_km) * pow(1 - pow(10e0, 9 * (prev_km + d_km) / (2 * section_km) - 9), 5)
         * pow(1 - pow(10e0, -3 * (prev_km + d_km) / (2 * section_km)), 2)), 4) hump_area from lead_rows group by 1, 2""",
+    "gate_as_of": f"""select {PT}, t cross_t, case when start_type <> 'RACE' then t when gate2 <= t then gate2 else gate end start_t
+        from events_z join task_rows using (task_id) where is_sss and after_gate""",
     "is_early_start": f"""select f.task_id, f.pilot_id, last_t2 last_crossing_t, coalesce(last_t2 < gate, false) early,
         case when last_t2 < gate then round(launch_to_sss_m, 2) end early_distance_m from facts f join tasks using (task_id)
         left join (select {PT}, max(t) last_t2 from events_z where is_sss group by 1, 2) using (task_id, pilot_id)""",

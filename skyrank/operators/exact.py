@@ -21,7 +21,7 @@ SAMPLE_S = 5
 GRID_SLACK_M = 5.0    # more than the rim spacing can cost a route
 
 
-def _targets(course: DataFrame) -> DataFrame:
+def value_tables(course: DataFrame) -> DataFrame:
     """Rim points of every zone with their onward distance, for the goal and for the ESS."""
     return (route_values(course, "goal_ix").withColumn("target", F.lit("goal"))
             .unionByName(route_values(course, "ess_ix").withColumn("target", F.lit("ess"))))
@@ -54,13 +54,12 @@ def sampled_fixes(track: DataFrame, state: DataFrame) -> DataFrame:
         (F.col("t") <= F.col("lead_until")).alias("for_lead"))
 
 
-def exact_distances(samples: DataFrame, course: DataFrame) -> DataFrame:
+def exact_distances(samples: DataFrame, tables: DataFrame) -> DataFrame:
     """(task, pilot, fix, target, d): exact remaining metres to goal and to ESS.
 
     Rows that cannot lower the pilot's running minimum are left out; the minima and
     the leading samples are those of the full table.
     """
-    tables = _targets(course)
     floors = tables.groupBy("task_id", "wp_ix", "target").agg(F.min("v").alias("v_min"))
     rows = samples
     here = lambda z: geo.distance(F.col("x"), F.col("y"), z["x"], z["y"])

@@ -77,6 +77,13 @@ def is_multi_start(start_type: Column, gates: Column) -> Column:
     return (F.size(gates) > 1) | ~F.upper(start_type).startswith("RACE")
 
 
+def gate_as_of(start_type: Column, gates: Column, cross_t: Column) -> Column:
+    """Start clock of a crossing: in a race the latest gate at or before it, else the first gate;
+    the crossing itself otherwise."""
+    passed = F.array_max(F.filter(gates, lambda g: g <= cross_t))
+    return F.when(F.upper(start_type).startswith("RACE"), F.coalesce(passed, gates[0])).otherwise(cross_t)
+
+
 def start_candidates(evidence: DataFrame) -> DataFrame:
     """Narrow the crossings after the gate to those worth playing forward.
 

@@ -304,6 +304,13 @@ def leading_area_hump(c: Race) -> DataFrame:
     return c.s.lead_samples.groupBy(*KEY).agg(r(F.sum(leading.hump_term(*args)), 4, "hump_area"))
 
 
+def gate_as_of(c: Race) -> DataFrame:
+    """The start clock of every crossing after the gate."""
+    rows = c.s.events.where("is_sss and after_gate").join(c.s.course.select("task_id", "start_type", "gates"), "task_id")
+    return rows.select(*KEY, F.col("t").alias("cross_t"), starts.gate_as_of(
+        F.col("start_type"), F.col("gates"), F.col("t")).alias("start_t"))
+
+
 def is_early_start(c: Race) -> DataFrame:
     crossings = F.col("crossings")
     rows = c.s.evidence.select(*KEY, "crossings", F.col("c.first_gate").alias("gate"), F.col("c.launch_to_sss_m").alias("l"))
@@ -328,5 +335,5 @@ QUERIES = {f.__name__: f for f in (
     drop_outlier_tracks, plausibility_quarantine, merge_sessions, route_layers, route_value_table,
     route_refine, route_split_absorbed, route_distances, route_ellipsoid, task_sanity, takeoff, sss_crossings,
     next_zone_first_contact, start_candidates, zone_runs, zone_chain, best_start, progress_min,
-    exact_progress, landing, landing_rescore, pilot_state, lead_samples, leading_area, leading_area_hump,
+    exact_progress, landing, landing_rescore, pilot_state, lead_samples, leading_area, leading_area_hump, gate_as_of,
     is_early_start, track_integrity)} | {"geodesic_direct": geodesic_points, "ellipsoid_xy": ellipsoid_plane}

@@ -14,7 +14,7 @@ from ..operators import ranking, starts
 from ..operators.field import score_field
 from ..operators.tasks import compile_courses
 from ..operators.tracks import KEY, first_reports, indexed_track, project_fixes
-from ..session import cut
+from ..session import cut, table
 
 
 class Scoring:
@@ -25,17 +25,17 @@ class Scoring:
     """
 
     def __init__(self, fixes: DataFrame, tasks: DataFrame, waypoints: DataFrame, *,
-                 ellipsoid: bool = False, exact: bool = True, landing: bool = True, stage=cut,
+                 ellipsoid: bool = False, exact: bool = True, landing: bool = True, stage=cut, small=table,
                  integer_pots: bool = False, max_time_rule: str = "field",
                  roster: DataFrame | None = None, early_policy: str = "launch_to_sss"):
         self._fixes, self._tasks, self._waypoints = fixes, tasks, waypoints
         self._ellipsoid, self._exact, self._landing = ellipsoid, exact, landing
-        self._stage, self._integer_pots, self._rule = stage, integer_pots, max_time_rule
+        self._stage, self._small, self._integer_pots, self._rule = stage, small, integer_pots, max_time_rule
         self._roster, self._early = roster, early_policy
 
     @cached_property
     def course(self) -> DataFrame:
-        return self._stage(compile_courses(self._tasks, self._waypoints, self._ellipsoid))
+        return self._small(compile_courses(self._tasks, self._waypoints, self._ellipsoid))
 
     @cached_property
     def fixes(self) -> DataFrame:
@@ -130,7 +130,7 @@ class Scoring:
 
     @cached_property
     def distances(self) -> DataFrame:
-        return self._stage(ex.exact_distances(self.samples, self.course))
+        return self._stage(ex.exact_distances(self.samples, self._small(ex.value_tables(self.course))))
 
     @cached_property
     def lead_samples(self) -> DataFrame:
@@ -147,7 +147,6 @@ class Scoring:
             rows = rows.withColumns({n: F.lit(None).cast("double") for n in
                                      ("exact_remaining", "exact_ix", "lead_area", "lead_min_km")})
         started, airborne = c("start_fix").isNotNull(), c("takeoff_t").isNotNull()
-        gate = F.coalesce(F.array_max(F.filter("c.gates", lambda g: g <= c("start_cross_t"))), c("c.first_gate"))
         early = ~started & c("crossed_early")
         raw = (F.when(~started & early, gap.early_start_distance(c("c.launch_to_sss_m"), F.lit(0.0), self._early))
                .when(~started, F.lit(0.0))
@@ -158,8 +157,7 @@ class Scoring:
                     else F.lit(False))
         rows = rows.withColumns({
             "early_start": early,
-            "start_t": F.when(started, F.when(F.upper("c.start_type").startswith("RACE"), gate)
-                              .otherwise(c("start_cross_t"))),
+            "start_t": F.when(started, starts.gate_as_of(c("c.start_type"), c("c.gates"), c("start_cross_t"))),
             "raw_distance_m": raw,
             "distance_m": F.when(started | airborne, F.greatest(c("c.minimum_distance"), raw)).otherwise(F.lit(0.0)),
             "state": F.when(c("goal_t").isNotNull(), "GOAL").when(c("ess_t").isNotNull(), "ESS")
@@ -192,7 +190,7 @@ class Scoring:
     @cached_property
     def _field(self):
         return score_field(self.staged_state, self.course, self._rule, self._integer_pots, self._roster,
-                           self._stage)
+                           self._small)
 
     @property
     def scores(self) -> DataFrame:
