@@ -1,9 +1,9 @@
 """Exact progress: the shortest remaining route from a pilot's own position.
 
-A fix needs one equi-join with the rim points of the zone it flies to and a minimum;
-the onward distances come from the task's value table.  Two exact bounds decide first
-whether the fix can improve on what the pilot already reached, so most of the flight
-never meets the rim points.
+A fix needs an equi-join with its zone's rim and a minimum; the onward distances come
+from the task's value table.  Exact bounds decide first whether the fix can improve on
+what the pilot already reached, then which blocks of the rim can hold the minimum, so
+most of both is never looked at.
 """
 
 from __future__ import annotations
@@ -18,13 +18,24 @@ from .tasks import route_values
 from .tracks import KEY, by_time
 
 SAMPLE_S = 5
+BLOCK_POINTS = 12
 GRID_SLACK_M = 5.0    # more than the rim spacing can cost a route
 
 
-def value_tables(course: DataFrame) -> DataFrame:
-    """Rim points of every zone with their onward distance, for the goal and for the ESS."""
-    return (route_values(course, "goal_ix").withColumn("target", F.lit("goal"))
-            .unionByName(route_values(course, "ess_ix").withColumn("target", F.lit("ess"))))
+def rim_blocks(course: DataFrame) -> DataFrame:
+    """Rim points with their onward distance, in blocks of neighbours, per task, target and zone.
+
+    A block knows its middle point, how far its points lie from it and their least onward
+    distance: together they bound what the block can offer a fix.
+    """
+    rim = (route_values(course, "goal_ix").withColumn("target", F.lit("goal"))
+           .unionByName(route_values(course, "ess_ix").withColumn("target", F.lit("ess"))))
+    block = rim.groupBy("task_id", "target", "wp_ix", F.floor(F.col("q") / BLOCK_POINTS).alias("block")).agg(
+        F.array_sort(F.collect_list(F.struct("q", "qx", "qy", "v"))).alias("pts"))
+    mid = F.get("pts", F.floor(F.size("pts") / 2).cast("int"))
+    return block.withColumns({
+        "cx": mid["qx"], "cy": mid["qy"], "v_min": F.array_min(F.transform("pts", lambda p: p["v"]))}).withColumn(
+        "reach", F.array_max(F.transform("pts", lambda p: geo.distance(p["qx"], p["qy"], F.col("cx"), F.col("cy")))))
 
 
 def sampled_fixes(track: DataFrame, state: DataFrame) -> DataFrame:
@@ -54,13 +65,13 @@ def sampled_fixes(track: DataFrame, state: DataFrame) -> DataFrame:
         (F.col("t") <= F.col("lead_until")).alias("for_lead"))
 
 
-def exact_distances(samples: DataFrame, tables: DataFrame) -> DataFrame:
+def exact_distances(samples: DataFrame, rims: DataFrame) -> DataFrame:
     """(task, pilot, fix, target, d): exact remaining metres to goal and to ESS.
 
     Rows that cannot lower the pilot's running minimum are left out; the minima and
     the leading samples are those of the full table.
     """
-    floors = tables.groupBy("task_id", "wp_ix", "target").agg(F.min("v").alias("v_min"))
+    floors = rims.groupBy("task_id", "wp_ix", "target").agg(F.min("v_min").alias("v_min"))
     rows = samples
     here = lambda z: geo.distance(F.col("x"), F.col("y"), z["x"], z["y"])
     z = F.get("c.wps", F.col("wp_ix"))
@@ -75,7 +86,8 @@ def exact_distances(samples: DataFrame, tables: DataFrame) -> DataFrame:
     rows = rows.withColumns({f"reached_{t}": F.min(f"upper_{t}").over(before) for t in stops})
     rows = rows.withColumn("g", F.explode(F.array_compact(F.array(*[
         F.when(F.col(wanted), F.struct(F.lit(t).alias("target"), F.col(stop).alias("stop"),
-                                       F.col(f"reached_{t}").alias("reached")))
+                                       F.col(f"reached_{t}").alias("reached"),
+                                       F.col(f"upper_{t}").alias("upper")))
         for t, (wanted, stop) in stops.items()]))))
     ahead = F.filter("c.wps", lambda w: (w["wp_ix"] >= F.col("wp_ix")) & (w["wp_ix"] <= F.col("g.stop"))
                      & (here(w) > w["measure"]))
@@ -83,7 +95,7 @@ def exact_distances(samples: DataFrame, tables: DataFrame) -> DataFrame:
         *KEY, "fix_ix", "t", "x", "y", "wp_ix", "edge", (F.col("c.speed_m") / 1000).alias("section_km"),
         (F.col("t") - F.col("c.first_gate")).alias("task_time"),
         (F.col("c.progress_curve") == "HUMP_V2A").alias("hump"), F.col("g.target").alias("target"),
-        F.col("g.reached").alias("reached"),
+        F.col("g.reached").alias("reached"), F.col("g.upper").alias("upper"),
         F.when(F.col("wp_ix") <= F.col("g.stop"), F.when(F.col("edge") > 0, F.col("wp_ix"))
                .otherwise(F.get(ahead, F.lit(0))["wp_ix"])).alias("aim"))
     lower = F.when(F.col("aim") == F.col("wp_ix"), F.col("edge") + F.coalesce("v_min", F.lit(0.0))
@@ -92,11 +104,13 @@ def exact_distances(samples: DataFrame, tables: DataFrame) -> DataFrame:
         F.col("reached").isNull() | (lower <= F.col("reached") + GRID_SLACK_M))
     base = [*KEY, "target", "fix_ix", "t", "task_time", "section_km", "hump"]
     arrived = kept.where(F.col("aim").isNull()).select(*base, F.lit(0.0).alias("d"))
-    rim = tables.withColumnRenamed("wp_ix", "aim")
-    flown = (kept.where(F.col("aim").isNotNull()).select(*base, "aim", "x", "y")
-             .join(rim, ["task_id", "target", "aim"])
-             .groupBy(*base).agg(F.min(geo.distance(F.col("x"), F.col("y"), F.col("qx"), F.col("qy"))
-                                       + F.col("v")).alias("d")))
+    near = rims.select("task_id", "target", F.col("wp_ix").alias("aim"), "cx", "cy", "reach", F.col("v_min").alias("onward"), "pts")
+    offers = geo.distance(F.col("x"), F.col("y"), F.col("cx"), F.col("cy")) - F.col("reach") + F.col("onward")
+    points = (kept.where(F.col("aim").isNotNull()).select(*base, "aim", "x", "y", "upper")
+              .join(near, ["task_id", "target", "aim"]).where(offers <= F.col("upper") + GRID_SLACK_M)
+              .select(*base, "x", "y", F.explode("pts").alias("p")))
+    flown = points.groupBy(*base).agg(F.min(
+        geo.distance(F.col("x"), F.col("y"), F.col("p.qx"), F.col("p.qy")) + F.col("p.v")).alias("d"))
     return arrived.unionByName(flown)
 
 

@@ -28,25 +28,23 @@ def stationary_anchors(track: DataFrame) -> DataFrame:
     """
     w = by_time()
     near = F.lit(True)
-    rows = track.select(*KEY, "fix_ix", "t", "x", "y", F.col("alt_gps").alias("alt"),
-                        F.lead("t").over(w).alias("nt"), F.lead("x").over(w).alias("nx"),
-                        F.lead("y").over(w).alias("ny"), F.lead("alt_gps").over(w).alias("nalt"),
-                        *[F.lead(c, k).over(w).alias(f"{n}{k}") for k in PROBES
-                          for c, n in (("t", "t_"), ("x", "x_"), ("y", "y_"), ("alt_gps", "a_"))])
+    here = F.struct("t", "x", "y", F.col("alt_gps").alias("alt"))
+    rows = track.select(*KEY, "fix_ix", "t", "x", "y", F.col("alt_gps").alias("alt"), here.alias("here"))
+    rows = rows.select("*", *[F.lead("here", k).over(w).alias(f"p{k}") for k in PROBES])
     for k in PROBES:
-        dx, dy = F.col(f"x_{k}") - F.col("x"), F.col(f"y_{k}") - F.col("y")
-        inside = (dx * dx + dy * dy <= RADIUS_M ** 2) & (
-            F.abs(F.col(f"a_{k}") - F.col("alt")) <= ALTITUDE_RANGE_M)
-        in_window = F.lit(True) if k == 1 else F.col(f"t_{k}") <= F.col("t") + WINDOW_S
-        near = near & F.when(F.col(f"t_{k}").isNull(), k != 1).when(in_window, inside).otherwise(True)
+        p = F.col(f"p{k}")
+        dx, dy = p["x"] - F.col("x"), p["y"] - F.col("y")
+        inside = (dx * dx + dy * dy <= RADIUS_M ** 2) & (F.abs(p["alt"] - F.col("alt")) <= ALTITUDE_RANGE_M)
+        in_window = F.lit(True) if k == 1 else p["t"] <= F.col("t") + WINDOW_S
+        near = near & F.when(p.isNull(), k != 1).when(in_window, inside).otherwise(True)
     rows = rows.withColumn("probe", near).select(
-        *KEY, "fix_ix", "t", "x", "y", "alt", "nt", "nx", "ny", "nalt", "probe")
+        *KEY, "fix_ix", "t", "x", "y", "alt", F.col("p1").alias("next"), "probe")
     last_probe = F.max(F.when(F.col("probe"), F.col("t"))).over(
         w.rowsBetween(Window.unboundedPreceding, 0))
     rows = rows.withColumn("last_probe", last_probe).where(
         F.col("t") < F.col("last_probe") + WINDOW_S)
     ahead = w.rangeBetween(0, WINDOW_S - 1)
-    closing = F.last(F.struct("nt", "nx", "ny", "nalt")).over(ahead)
+    closing = F.last("next").over(ahead)
     rows = rows.withColumns({
         "closing": closing,
         "hi": F.max("alt").over(ahead), "lo": F.min("alt").over(ahead),
@@ -56,12 +54,12 @@ def stationary_anchors(track: DataFrame) -> DataFrame:
     x, y = F.col("x"), F.col("y")
     close = lambda px, py: (px - x) * (px - x) + (py - y) * (py - y) <= RADIUS_M ** 2
     return rows.where(
-        F.col("probe") & F.col("closing.nt").isNotNull() & (F.col("box") <= 2 * RADIUS_M)
-        & (F.greatest("hi", F.col("closing.nalt")) - F.least("lo", F.col("closing.nalt"))
+        F.col("probe") & F.col("closing.t").isNotNull() & (F.col("box") <= 2 * RADIUS_M)
+        & (F.greatest("hi", F.col("closing.alt")) - F.least("lo", F.col("closing.alt"))
            <= ALTITUDE_RANGE_M)
-        & close(F.col("closing.nx"), F.col("closing.ny"))
+        & close(F.col("closing.x"), F.col("closing.y"))
         & F.forall("path", lambda p: close(p["x"], p["y"]))
-    ).select(*KEY, "fix_ix", "t", F.col("closing.nt").alias("close_t"))
+    ).select(*KEY, "fix_ix", "t", F.col("closing.t").alias("close_t"))
 
 
 def landings(track: DataFrame, search: DataFrame, anchors: DataFrame | None = None) -> DataFrame:

@@ -37,6 +37,7 @@ def local_session(cores: str = "8", app: str = "skyrank", **extra: str) -> Spark
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
+        .config("spark.sql.codegen.cache.maxEntries", "2000")
         .config("spark.driver.memory", "12g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
@@ -76,9 +77,8 @@ def table(df: DataFrame) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` reliably and forget how it was made.
 
-    Used where several later passes read one expensive intermediate table.  The
-    partitioning and ordering of ``df`` survive, so the passes do not shuffle
-    again, and a lost executor re-reads files instead of recomputing.
+    Used where several later passes read one expensive intermediate table; a lost
+    executor re-reads files instead of recomputing.
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
