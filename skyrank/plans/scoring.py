@@ -130,7 +130,7 @@ class Scoring:
 
     @cached_property
     def distances(self) -> DataFrame:
-        return ex.exact_distances(self.samples, self._small(ex.rim_blocks(self.course)))
+        return self._stage(ex.exact_distances(self.samples, self._small(ex.rim_blocks(self.course))))
 
     @cached_property
     def lead_samples(self) -> DataFrame:
