@@ -22,7 +22,7 @@ cte("arch_tasks", "select task_id, n, strftime(make_timestamp((max(epoch) - 8640
 ERR = "event_id % 89 = 0 or event_id % 97 = 0"
 
 SQL = {
-    "points_normalise": f"""select ord, case when event_id % 89 <> 0 then pilot_id end pilot_id, epoch, round(alt_gps, 1) alt_gps, 'volandoo' source,
+    "points_normalise": f"""select ord, case when event_id % 89 <> 0 then pilot_id end pilot_id, epoch, round(alt_gps, 1) alt_gps, 'partner' source,
         case when not ({ERR}) then sha256(concat_ws('|', pilot_id, strftime(make_timestamp(epoch * 1000000), '%Y-%m-%dT%H:%M:%S+00:00'),
         printf('%.7f', round(lat, 6)), printf('%.7f', round(lon, 6)))) end fingerprint, {ERR} as bad from points_once""",
     "points_batch_reject": """select batch_id, count(*) points, case when bool_or(event_id % 3001 = 0) then 0 else count(*) end accepted

@@ -20,7 +20,7 @@ def fingerprint(pilot: Column, epoch: Column, lat: Column, lon: Column) -> Colum
     return F.sha2(F.concat_ws("|", pilot, stamp, F.format_string("%.7f", lat), F.format_string("%.7f", lon)), 256)
 
 
-def normalise_points(raw: DataFrame, whole_batch: bool = False) -> DataFrame:
+def normalise_points(raw: DataFrame, whole_batch: bool = False, default_source: str = "partner") -> DataFrame:
     """Raw JSON points (batch_id, ord, body) to typed rows with ``error`` null or a reason.
 
     ``epoch`` or ``timestamp`` may be a number or ISO text.  With ``whole_batch`` one bad
@@ -35,7 +35,7 @@ def normalise_points(raw: DataFrame, whole_batch: bool = False) -> DataFrame:
         "pilot_id": F.col("p.pilot_id"), "epoch": epoch,
         "lat": F.expr("try_cast(p.lat as double)"), "lon": F.expr("try_cast(p.lon as double)"),
         "alt_gps": F.coalesce("p.alt_gps", "p.alt"), "alt_baro": F.col("p.alt_baro"),
-        "event_id": F.coalesce("p.event_id", F.lit("")), "source": F.coalesce("p.source", F.lit("volandoo"))})
+        "event_id": F.coalesce("p.event_id", F.lit("")), "source": F.coalesce("p.source", F.lit(default_source))})
     good = (F.col("pilot_id").isNotNull() & F.col("epoch").isNotNull()
             & F.coalesce(F.col("lat").between(-90, 90) & F.col("lon").between(-180, 180), F.lit(False)))
     rows = rows.withColumn("error", F.when(~good, "each point requires pilot_id, epoch (or timestamp), lat and lon"))
