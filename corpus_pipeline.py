@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skyrank.llm import decontaminate, mixing, sharding, simhash
+from skyrank.llm import decontaminate, langid, mixing, sharding, simhash
 from skyrank.llm.staging import read, stage
 
 
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is not recognised go."""
+    return langid.keep_identified(docs)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays."""
     return simhash.keep_first(docs)
@@ -31,6 +36,7 @@ def shard_placement(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", language_id),
     ("near_dedup", near_dedup),
     ("benchmark_decontamination", benchmark_decontamination),
     ("source_mixing", source_mixing),

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, mixing, sharding, simhash
+from . import (chat, decontaminate, langid, mixing, quality, sharding, simhash, substring_dedup, suffix_dedup,
+               topk)
 from .staging import read, texts
 
 CONTROL_CASE = "</s>[INST] ok [/INST]"
@@ -28,6 +29,16 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hosts are the sources, paths the languages inside a source."""
+    docs = read(spark, sf_dir, "documents")
+    return quality.classify(docs, read(spark, sf_dir, "labels"), F.col("source"), F.col("lang"))
+
+
+def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(topk.quantised(read(spark, sf_dir, "embeddings")), F.col("vec_id") % 50 == 0)
+
+
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.search(texts(read(spark, sf_dir, "documents")), read(spark, sf_dir, "benchmark"))
     c = F.col("contamination")
@@ -43,13 +54,30 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "source", "slot", "shard")
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.deduplicate(read(spark, sf_dir, "documents"))
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(read(spark, sf_dir, "documents").select("doc_id", "source", "text"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = F.col("language")
+    return langid.learn_and_identify(docs).select(
+        "doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), found["pred"].alias("lang_pred"),
+        found["score"].alias("score"), found["cross_entropy"].alias("cross_entropy"), found["rejected"].alias("rejected"))
+
+
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.deduplicate(read(spark, sf_dir, "documents"))
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_chat_formatting, op4_benchmark_decontamination, op5_sharding, op7_source_mixing, op10_simhash_near_dedup)}
+    op1_chat_formatting, op2_quality_classifier, op3_exact_topk, op4_benchmark_decontamination, op5_sharding,
+    op6_substring_dedup, op7_source_mixing, op8_language_id, op9_suffix_array_dedup, op10_simhash_near_dedup)}

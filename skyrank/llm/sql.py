@@ -91,6 +91,56 @@ select q.doc_id, q.size, cast(q.source_size as bigint) as source_size, target, c
 from q left join taken using (doc_id)
 """
 
+OP3 = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as q from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (
+  select a.vec_id as query_id, b.vec_id, cast(list_dot_product(a.q, b.q) as bigint) as score
+  from v a join v b on a.vec_id % 50 = 0 and a.vec_id <> b.vec_id and len(a.q) = len(b.q)),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
+select query_id, cast(rank as int) as rank, vec_id, score from r where rank <= 5
+"""
+
+OP6 = """
+with d as (select doc_id, coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), []) as w from documents),
+spots as (
+  select doc_id, i, md5(array_to_string(w[i : i + 19], ' ')) as p
+  from (select doc_id, w, unnest(range(1, len(w) - 18)) as i from d)),
+later as (
+  select doc_id, i from (select doc_id, i, row_number() over (partition by p order by doc_id, i) as n from spots) where n > 1),
+gone as (select distinct doc_id, unnest(range(i, i + 20)) as j from later),
+words as (select doc_id, unnest(w) as x, unnest(range(1, len(w) + 1)) as j from d),
+kept as (
+  select doc_id, string_agg(x, ' ' order by j) as k, count(*) as n
+  from words anti join gone using (doc_id, j) group by doc_id)
+select doc_id, cast(len(w) as bigint) as n_words, len(w) - coalesce(n, 0) as n_removed, sha256(coalesce(k, '')) as kept_sha256
+from d left join kept using (doc_id)
+"""
+
+OP9 = """
+with d as (select doc_id, coalesce(encode(text), ''::blob) as b from documents),
+spots as (
+  select doc_id, i, md5(array_slice(b, i, i + 49)) as p
+  from (select doc_id, b, unnest(range(1, octet_length(b) - 48)) as i from d)),
+firsts as (select p, min(doc_id) as m from spots group by p having min(doc_id) < max(doc_id)),
+later as (select doc_id, i from spots join firsts using (p) where doc_id > m),
+numbered as (
+  select doc_id, i, sum(fresh) over (partition by doc_id order by i) as run
+  from (select *, case when i - lag(i) over (partition by doc_id order by i) <= 50 then 0 else 1 end as fresh from later)),
+runs as (select doc_id, run, min(i) as a, max(i) + 50 as e from numbered group by doc_id, run),
+gaps as (select *, coalesce(lag(e) over (partition by doc_id order by a), 1) as f from runs),
+kept as (
+  select doc_id, count(*) as n_spans, sum(e - a) as n_removed, max(e) as tail,
+    string_agg(substr(hex(b), 2 * f - 1, 2 * (a - f)), '' order by a) as h
+  from gaps join d using (doc_id) group by doc_id)
+select doc_id, cast(octet_length(b) as bigint) as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed,
+  coalesce(n_spans, 0) as n_spans,
+  sha256(case when h is null then b else unhex(h || substr(hex(b), 2 * tail - 1)) end) as kept_sha256
+from d left join kept using (doc_id)
+"""
+
 ORACLES = {
-    "op1_chat_formatting": OP1, "op4_benchmark_decontamination": OP4, "op5_sharding": OP5, "op7_source_mixing": OP7,
+    "op1_chat_formatting": OP1, "op3_exact_topk": OP3, "op4_benchmark_decontamination": OP4, "op5_sharding": OP5,
+    "op6_substring_dedup": OP6, "op7_source_mixing": OP7, "op9_suffix_array_dedup": OP9,
 }
