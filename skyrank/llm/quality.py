@@ -6,7 +6,8 @@ host's, a host's toward that of the whole corpus, the more the fewer labels ther
 from how the rates of hosts, and of paths inside hosts, spread.  The posterior combines the path's rate with
 the document's evidence.  Word counts, labels and rates are aggregates over all rows.
 
-Defined results: a null or empty text has no evidence and gets its path's rate; unlabelled or null-labelled
+Defined results: a null or empty text has no evidence and gets its path's rate; words that no labelled
+document has say nothing; unlabelled or null-labelled
 rows teach nothing; a null host or path is a site of its own; repeated label rows count as often as they
 occur; a document that has several labels counts once for each; with no labels at all every posterior is 0.5.
 """

@@ -2,7 +2,8 @@
 
 from pyspark.sql import types as T
 
-DOCS = T.StructType.fromDDL("doc_id long, text string, lang string, source string, n_chars long")
+DOCS = T.StructType([T.StructField(c, T.LongType() if c in ("doc_id", "n_chars") else T.StringType())
+                     for c in ("doc_id", "text", "lang", "source", "n_chars")])
 #: Columns whose names operators use themselves.
 EXTRA = ("size", "key", "fp", "root", "target", "slot", "shard", "language", "contamination", "n", "start", "evidence",
          "host", "gone", "mix_size", "did")

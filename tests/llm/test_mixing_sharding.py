@@ -58,7 +58,8 @@ def test_each_source_comes_near_its_target(spark):
     rows = [(i, "w " * (1 + i % 9), None, f"s{i % 4}" if i % 3 else "hot") for i in range(3000)]
     report = mixing.mix_report(docs(spark, rows))
     check(spark, rows, report)
-    for r in report.groupBy("target").agg(F.sum("taken").alias("t")).collect():
+    source = docs(spark, rows).select("doc_id", "source")
+    for r in report.join(source, "doc_id").groupBy("source", "target").agg(F.sum("taken").alias("t")).collect():
         assert abs(r["t"] - r["target"]) <= 30
 
 

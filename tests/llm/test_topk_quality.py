@@ -65,6 +65,7 @@ def slow_quality(rows, labels, top, below):
                     c[0] += q
                     c[1] += 1
     ratio = np.log((counts[1] + 1) / (counts[1].sum() + quality.FEATURES)) - np.log((counts[0] + 1) / (counts[0].sum() + quality.FEATURES))
+    ratio[counts.sum(axis=0) == 0] = 0
     rate = (whole[0] + 0.5) / (whole[1] + 1)
     host_rate = {h: (g + top * rate) / (n + top) for h, (g, n) in hosts.items()}
     path_rate = {s: (g + below * host_rate[s[0]]) / (n + below) for s, (g, n) in sites.items()}
