@@ -38,6 +38,6 @@ SQL = {
         cast(null as double) time_points from supp_pages""",
     "page_params": """select page_id, 'nominal_distance_km' as key, n % 30 + 40.5e0 as value from supp_pages union all select page_id, 'leading_time_ratio', 0.26e0 from supp_pages""",
     "page_task_config": """select page_id, k as kind, nm as name, 400e0 radius_m, n % 40 + 10.5e0 lat, 1.25e0 lon, d task_date, '13:' || lpad(cast(n % 60 as varchar), 2, '0') gate,
-        '11:' || lpad(cast(n % 60 as varchar), 2, '0') gate_utc, '16:00' deadline_utc from (select *, case when n % 4 <> 0 then '2025-06-1' || (n % 9) else '2025-06-30' end d
+        '11:' || lpad(cast(n % 60 as varchar), 2, '0') gate_utc, '16:00' deadline_utc, true gate_given, true deadline_given from (select *, case when n % 4 <> 0 then '2025-06-1' || (n % 9) else '2025-06-30' end d
         from supp_pages where n % 6 <> 5), (values ('TAKEOFF', 'A01'), ('GOAL', 'G01')) v(k, nm)""",
 }

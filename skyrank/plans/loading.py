@@ -149,7 +149,7 @@ def page_params(c: Race) -> DataFrame:
 
 def page_task_config(c: Race) -> DataFrame:
     tasks, points = pages.task_config(_pages(c), "Europe/Madrid")
-    return points.join(tasks, "page_id").select("page_id", "kind", "name", r("radius_m", 1), r("lat", 2), r("lon", 2), "task_date", "gate", "gate_utc", "deadline_utc")
+    return points.join(tasks, "page_id").select("page_id", "kind", "name", r("radius_m", 1), r("lat", 2), r("lon", 2), "task_date", "gate", "gate_utc", "deadline_utc", "gate_given", "deadline_given")
 
 
 QUERIES = {f.__name__: f for f in (igc_ingest, igc_midnight_rollover, igc_header_scan, track_date_check, task_load, params_load,
