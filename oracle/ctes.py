@@ -264,14 +264,37 @@ cte("sampled", """select f.task_id, f.pilot_id, f.fix_ix, f.t, f.x, f.y, first_g
     goal_t is null and f.t <= dist_until as for_goal, f.t <= coalesce(ess_t, state_until) as for_lead
     from limits l join track f using (task_id, pilot_id) where f.fix_ix >= cand_ix and f.fix_ix <= coalesce(g5, 2147483647)
     and (f.t <= deadline or f.fix_ix = cand_ix) and f.t <= greatest(dist_until, state_until)
-    and (f.fix_ix in (cand_ix, dist_ix, coalesce(landing_ix, -1), coalesce(g2, -1), coalesce(g3, -1), coalesce(g4, -1), coalesce(g5, -1))
-    or floor((f.t - cand_t) / 5) <> floor((f.pt - cand_t) / 5))""")
+    """)
+
+
+def way(s):
+    """Metres by the rim point ``s`` steps from the best one, with onward distances on a parabola."""
+    return (f"(sqrt(pow(x - (cx + cos(2e0 * pi() * (q + {s}) / k) * rr), 2) + pow(y - (cy + sin(2e0 * pi() * (q + {s}) / k) * rr), 2))"
+            f" + v + (v_right - v_left) / 2 * {s} + ((v_right + v_left) / 2 - v) * {s} * {s})")
+
+
+A3, B3 = "(r.lo + (r.hi - r.lo) / 3)", "(r.hi - (r.hi - r.lo) / 3)"
+SHRUNK = f"""list_reduce(list_transform(range(41), lambda i: {{'lo': -1e0, 'hi': 1e0}}), lambda r, z: case when {way(A3)} <= {way(B3)}
+    then {{'lo': r.lo, 'hi': {B3}}} else {{'lo': {A3}, 'hi': r.hi}} end)"""
+cte("rim_k", "select task_id, wp_ix, any_value(rr) rr, any_value(cx) cx, any_value(cy) cy, count(*) k from rim0 group by 1, 2")
 for target, stop, dp, want in (("goal", 5, "dpa", "for_goal"), ("ess", 4, "dpe", "for_lead")):
-    cte(f"exact_{target}", f"""select s.task_id, s.pilot_id, s.fix_ix, s.t, first_gate, speed_m, progress_curve,
-        coalesce(min(sqrt(pow(s.x - v.qx, 2) + pow(s.y - v.qy, 2)) + v.v), 0e0) as d from (
-        select s.*, (select min(wp_ix) from wps w where w.task_id = s.task_id and w.wp_ix >= s.wp_ix and w.wp_ix <= {stop}
-        and sqrt(pow(s.x - w.x, 2) + pow(s.y - w.y, 2)) > w.measure) as aim from sampled s where {want}) s
-        left join {dp}_v v on v.task_id = s.task_id and v.wp_ix = s.aim group by all""")
+    cte(f"aimed_{target}", f"""select s.*, case when s.wp_ix > {stop} then 0e0 else sqrt(pow(s.x - z.opt_x, 2) + pow(s.y - z.opt_y, 2)) + z.remaining - e.remaining end as upper,
+        (select min(wp_ix) from wps w where w.task_id = s.task_id and w.wp_ix >= s.wp_ix and w.wp_ix <= {stop}
+        and sqrt(pow(s.x - w.x, 2) + pow(s.y - w.y, 2)) > w.measure) as aim from sampled s
+        left join zones z on z.task_id = s.task_id and z.wp_ix = s.wp_ix join zones e on e.task_id = s.task_id and e.wp_ix = {stop} where {want}""")
+    cte(f"grid_{target}", f"""select s.task_id, s.pilot_id, s.fix_ix, s.t, s.x, s.y, first_gate, speed_m, progress_curve, aim, upper,
+        min(sqrt(pow(s.x - v.qx, 2) + pow(s.y - v.qy, 2)) + v.v) as d,
+        arg_min(v.q, (sqrt(pow(s.x - v.qx, 2) + pow(s.y - v.qy, 2)) + v.v, v.q)) as q
+        from aimed_{target} s left join {dp}_v v on v.task_id = s.task_id and v.wp_ix = s.aim group by all""")
+    cte(f"exact_{target}", f"""select task_id, pilot_id, fix_ix, t, first_gate, speed_m, progress_curve, case when aim is null then 0e0
+        when rr > 0 and abs(v_right + v_left - 2 * v) <= 0.1e0 * 2 * pi() * rr / k then least(upper, d, {way("((b.lo + b.hi) / 2)")})
+        else least(upper, d) end as d from (
+        select *, case when aim is not null then {SHRUNK} end as b from (
+        select g.*, m.v, l.v as v_left, n.v as v_right, k.rr, k.cx, k.cy, k.k from grid_{target} g
+        left join rim_k k on k.task_id = g.task_id and k.wp_ix = g.aim
+        left join {dp}_v m on m.task_id = g.task_id and m.wp_ix = g.aim and m.q = g.q
+        left join {dp}_v l on l.task_id = g.task_id and l.wp_ix = g.aim and l.q = (g.q + k.k - 1) % k.k
+        left join {dp}_v n on n.task_id = g.task_id and n.wp_ix = g.aim and n.q = (g.q + 1) % k.k))""")
 cte("exact_best", "select task_id, pilot_id, min(d) exact_remaining, arg_min(fix_ix, (d, fix_ix)) exact_ix from exact_goal group by 1, 2")
 cte("lead_rows", """select *, d / 1000 as d_km, speed_m / 1000 as section_km, t - first_gate as task_time from (
     select *, least(speed_m / 1000, coalesce(min(d / 1000) over (partition by task_id, pilot_id order by t

@@ -122,8 +122,8 @@ def _first_touch(opt, xs, ys, rs, path):
 
 _POINTS = T.StructType([T.StructField(n, T.ArrayType(T.DoubleType())) for n in ("ox", "oy")])
 _VALUES = T.ArrayType(T.StructType(
-    [T.StructField(n, T.IntegerType()) for n in ("wp_ix", "q")]
-    + [T.StructField(n, T.DoubleType()) for n in ("qx", "qy", "v")]))
+    [T.StructField(n, T.IntegerType()) for n in ("wp_ix", "q", "k")]
+    + [T.StructField(n, T.DoubleType()) for n in ("qx", "qy", "v", "v_left", "v_right", "zx", "zy", "zr")]))
 
 
 @F.pandas_udf(_POINTS)
@@ -135,12 +135,15 @@ def route_points(xs: pd.Series, ys: pd.Series, rs: pd.Series) -> pd.DataFrame:
 
 @F.pandas_udf(_VALUES)
 def value_table(xs: pd.Series, ys: pd.Series, rs: pd.Series, stop: pd.Series) -> pd.Series:
-    """Every rim point of every zone up to ``stop`` with its shortest distance onward."""
+    """Every rim point of every zone up to ``stop`` with its shortest distance onward, that of its
+    neighbours, the size of the rim, and the circle it lies on."""
     out = []
     for x, y, r, last in zip(xs, ys, rs, stop):
         x, y, r = (np.asarray(v, dtype=float)[:last + 1] for v in (x, y, r))
         _, points = _layers(x, y, r)
         value, _, _ = _values(points, x, y, r)
-        out.append([{"wp_ix": i, "q": q, "qx": float(p[0]), "qy": float(p[1]), "v": float(v)}
-                    for i in range(len(points)) for q, (p, v) in enumerate(zip(points[i], value[i]))])
+        out.append([{"wp_ix": i, "q": q, "k": len(value[i]), "qx": float(p[0]), "qy": float(p[1]), "v": float(v),
+                     "v_left": float(left), "v_right": float(right), "zx": float(x[i]), "zy": float(y[i]), "zr": float(max(r[i], 0.0))}
+                    for i in range(len(points))
+                    for q, (p, v, left, right) in enumerate(zip(points[i], value[i], np.roll(value[i], 1), np.roll(value[i], -1)))])
     return pd.Series(out)

@@ -12,14 +12,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo, leading
+from ..functions.route import RIM_SPACING_M
 from .landing import DISTANCE_STABILIZE_S
 from .starts import chain_legs, on_legs
 from .tasks import route_values
 from .tracks import KEY, by_time
 
-SAMPLE_S = 5
 BLOCK_POINTS = 12
-GRID_SLACK_M = 5.0    # more than the rim spacing can cost a route
+#: Between neighbouring rim points onward distances bend by at most this share of the spacing, or are not refined.
+MAX_BEND = 0.1
+#: So a refined onward distance is at most this much below that of a rim point.
+BEND_SLACK_M = MAX_BEND * RIM_SPACING_M / 8
+REFINE_STEPS = 40
 
 
 def rim_blocks(course: DataFrame) -> DataFrame:
@@ -31,15 +35,43 @@ def rim_blocks(course: DataFrame) -> DataFrame:
     rim = (route_values(course, "goal_ix").withColumn("target", F.lit("goal"))
            .unionByName(route_values(course, "ess_ix").withColumn("target", F.lit("ess"))))
     block = rim.groupBy("task_id", "target", "wp_ix", F.floor(F.col("q") / BLOCK_POINTS).alias("block")).agg(
-        F.array_sort(F.collect_list(F.struct("q", "qx", "qy", "v"))).alias("pts"))
+        F.array_sort(F.collect_list(F.struct(
+            "q", "qx", "qy", "v", "v_left", "v_right", "k", "zx", "zy", "zr"))).alias("pts"))
     mid = F.get("pts", F.floor(F.size("pts") / 2).cast("int"))
     return block.withColumns({
         "cx": mid["qx"], "cy": mid["qy"], "v_min": F.array_min(F.transform("pts", lambda p: p["v"]))}).withColumn(
-        "reach", F.array_max(F.transform("pts", lambda p: geo.distance(p["qx"], p["qy"], F.col("cx"), F.col("cy")))))
+        # a refined point lies up to one step beyond the block's own
+        "reach", F.array_max(F.transform("pts", lambda p: geo.distance(p["qx"], p["qy"], F.col("cx"), F.col("cy"))))
+        + 2 * F.pi() * mid["zr"] / mid["k"])
+
+
+def refined(x: Column, y: Column, p: Column) -> Column:
+    """Distance to fly by the best point of the arc around rim point ``p``, or null where it is not smooth.
+
+    Onward distance is the parabola through the point and its neighbours.  The sum with the way there has one
+    minimum on the arc, which shrinking thirds find.
+    """
+    turn, bend = (p["v_right"] - p["v_left"]) / 2, (p["v_right"] + p["v_left"]) / 2 - p["v"]
+
+    def total(s: Column) -> Column:
+        angle = 2 * F.pi() * (p["q"] + s) / p["k"]
+        return geo.distance(x, y, p["zx"] + F.cos(angle) * p["zr"], p["zy"] + F.sin(angle) * p["zr"]) + (
+            p["v"] + turn * s + bend * s * s)
+
+    def third(range_: Column, _: Column) -> Column:
+        low, high = range_["low"], range_["high"]
+        a, b = low + (high - low) / 3, high - (high - low) / 3
+        left = total(a) <= total(b)
+        return F.struct(F.when(left, low).otherwise(a).alias("low"), F.when(left, b).otherwise(high).alias("high"))
+
+    best = F.aggregate(F.sequence(F.lit(1), F.lit(REFINE_STEPS)), F.struct(
+        F.lit(-1.0).alias("low"), F.lit(1.0).alias("high")), third, lambda r: total((r["low"] + r["high"]) / 2))
+    smooth = F.abs(bend) * 2 <= MAX_BEND * 2 * F.pi() * p["zr"] / p["k"]
+    return F.when((p["zr"] > 0) & smooth, best)
 
 
 def sampled_fixes(track: DataFrame, state: DataFrame) -> DataFrame:
-    """The fixes that are measured: one per five seconds from the start, and every deciding fix.
+    """The fixes that are measured: every one from the start on.
 
     ``state`` carries start_fix, tags, dist_ix, landing_t, landing_ix, ess_t, goal_t, last_t and c.
     """
@@ -54,12 +86,8 @@ def sampled_fixes(track: DataFrame, state: DataFrame) -> DataFrame:
         "state_until", "dist_until", F.coalesce("ess_t", "state_until").alias("lead_until"))
     legs = chain_legs(chains, "c", "dist_ix", "landing_ix", "goal_t", "state_until", "dist_until",
                       "lead_until")
-    rows = on_legs(track.select(*KEY, "fix_ix", "t", "x", "y", "pt"), legs)
-    bucket = lambda t: F.floor((t - F.col("cand_t")) / SAMPLE_S)
-    keep = ((F.col("fix_ix") == F.col("cand_ix")) | (bucket(F.col("t")) != bucket(F.col("pt")))
-            | (F.col("fix_ix") == F.col("dist_ix")) | (F.col("fix_ix") == F.col("landing_ix"))
-            | F.array_contains("tags", F.col("fix_ix")))
-    return rows.where(keep & (F.col("t") <= F.greatest("dist_until", "state_until"))).select(
+    rows = on_legs(track.select(*KEY, "fix_ix", "t", "x", "y"), legs)
+    return rows.where(F.col("t") <= F.greatest("dist_until", "state_until")).select(
         *KEY, "fix_ix", "t", "x", "y", "wp_ix", "c",
         (F.col("goal_t").isNull() & (F.col("t") <= F.col("dist_until"))).alias("for_goal"),
         (F.col("t") <= F.col("lead_until")).alias("for_lead"))
@@ -98,20 +126,23 @@ def exact_distances(samples: DataFrame, rims: DataFrame) -> DataFrame:
         F.col("g.reached").alias("reached"), F.col("g.upper").alias("upper"),
         F.when(F.col("wp_ix") <= F.col("g.stop"), F.when(F.col("edge") > 0, F.col("wp_ix"))
                .otherwise(F.get(ahead, F.lit(0))["wp_ix"])).alias("aim"))
-    lower = F.when(F.col("aim") == F.col("wp_ix"), F.col("edge") + F.coalesce("v_min", F.lit(0.0))
+    lower = F.when(F.col("aim") == F.col("wp_ix"), F.col("edge") + F.coalesce("v_min", F.lit(0.0)) - BEND_SLACK_M
                    ).otherwise(F.lit(0.0))
     kept = rows.join(floors, ["task_id", "wp_ix", "target"], "left").where(
-        F.col("reached").isNull() | (lower <= F.col("reached") + GRID_SLACK_M))
+        F.col("reached").isNull() | (F.least(lower, F.col("upper")) <= F.col("reached")))
     base = [*KEY, "target", "fix_ix", "t", "task_time", "section_km", "hump"]
     arrived = kept.where(F.col("aim").isNull()).select(*base, F.lit(0.0).alias("d"))
     near = rims.select("task_id", "target", F.col("wp_ix").alias("aim"), "cx", "cy", "reach", F.col("v_min").alias("onward"), "pts")
     offers = geo.distance(F.col("x"), F.col("y"), F.col("cx"), F.col("cy")) - F.col("reach") + F.col("onward")
+    # ``upper`` is a way that can be flown, so a block that offers less has nothing to add
     points = (kept.where(F.col("aim").isNotNull()).select(*base, "aim", "x", "y", "upper")
-              .join(near, ["task_id", "target", "aim"]).where(offers <= F.col("upper") + GRID_SLACK_M)
-              .select(*base, "x", "y", F.explode("pts").alias("p")))
-    flown = points.groupBy(*base).agg(F.min(
-        geo.distance(F.col("x"), F.col("y"), F.col("p.qx"), F.col("p.qy")) + F.col("p.v")).alias("d"))
-    return arrived.unionByName(flown)
+              .join(near, ["task_id", "target", "aim"]).where(offers - BEND_SLACK_M <= F.col("upper"))
+              .select(*base, "x", "y", "upper", F.explode("pts").alias("p")))
+    way = geo.distance(F.col("x"), F.col("y"), F.col("p.qx"), F.col("p.qy")) + F.col("p.v")
+    flown = points.groupBy(*base, "x", "y", "upper").agg(F.min(F.struct(way.alias("d"), "p")).alias("m")).select(
+        *base, F.least("upper", "m.d", refined(F.col("x"), F.col("y"), F.col("m.p"))).alias("d"))
+    direct = kept.where(F.col("aim").isNotNull()).select(*base, F.col("upper").alias("d"))
+    return arrived.unionByName(flown.unionByName(direct).groupBy(*base).agg(F.min("d").alias("d")))
 
 
 def falling_minima(distances: DataFrame) -> DataFrame:
