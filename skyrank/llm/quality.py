@@ -4,7 +4,7 @@ A naive Bayes classifier over hashed words gives every document evidence for and
 documents give hosts, and paths inside hosts, a rate of good documents: a path's rate is shrunk toward its
 host's, a host's toward that of the whole corpus, the more the fewer labels there are; how much is estimated
 from how the rates of hosts, and of paths inside hosts, spread.  The posterior combines the path's rate with
-the document's evidence.  Word counts, labels and rates are aggregates over all rows.
+the document's evidence.  Rates are aggregates over all labels; the classifier is fitted on a bounded sample.
 
 Defined results: a null or empty text has no evidence and gets its path's rate; words that no labelled
 document has say nothing; unlabelled or null-labelled
@@ -31,6 +31,8 @@ FEATURES = 1 << 16
 BATCH_BYTES = 4_000_000
 #: Evidence is the mean log ratio of a document's words times at most this many words.
 EVIDENCE_WORDS = 40
+#: The classifier learns from at most this many labels, those of least hash; site rates use all of them.
+SAMPLE_LABELS = 50_000
 MIN_STRENGTH, MAX_STRENGTH = 1.0, 1000.0
 KEEP_FROM = 0.2
 
@@ -121,15 +123,17 @@ def site_rates(labelled: DataFrame) -> tuple[DataFrame, DataFrame, float]:
     return host_rates, path_rates, rate
 
 
-def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, keep_from: float = KEEP_FROM) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, keep_from: float = KEEP_FROM,
+             sample: int = SAMPLE_LABELS) -> DataFrame:
     """(doc_id, host, path, evidence, prior, posterior, keep) of every row of ``docs`` (doc_id, text, ...)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), host.cast("string").alias("host"),
                        path.cast("string").alias("path"), F.col("text").cast("string").alias("text"))
     known = labels.where("quality in (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"),
                                                      F.col("quality").cast("int").alias("quality"))
-    labelled = rows.join(known, "doc_id")
-    log_ratios = weights(word_counts(labelled))
-    host_rates, path_rates, rate = site_rates(labelled.select("host", "path", "quality"))
+    # texts stay where they are: the sample has a fixed size and is broadcast
+    learned = stage(known.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample))
+    log_ratios = weights(word_counts(rows.join(F.broadcast(learned), "doc_id")))
+    host_rates, path_rates, rate = site_rates(rows.select("doc_id", "host", "path").join(known, "doc_id"))
     scored = evidence(rows, log_ratios)
     scored = scored.join(host_rates.withColumnRenamed("host", "h"), F.col("host").eqNullSafe(F.col("h")), "left").drop("h")
     scored = scored.join(path_rates.toDF("h", "p", "path_rate"),
