@@ -198,11 +198,10 @@ def play_ctes(p: str, cuts: str) -> None:
     cte(f"{p}_next", f"""select task_id, pilot_id, min(fix_ix) next_ix from events_z join {cuts} using (task_id, pilot_id)
         where is_next and fix_ix <= coalesce(cut_ix, 2147483647) group by 1, 2""")
     cte(f"{p}_cand", f"""select task_id, pilot_id, fix_ix cand_ix, t cand_t, cut_ix from (
-        select c.*, row_number() over (partition by task_id, pilot_id order by fix_ix) rn,
-        max(case when fix_ix <= next_ix then fix_ix end) over (partition by task_id, pilot_id) last_before,
+        select c.*, max(case when fix_ix <= next_ix then fix_ix end) over (partition by task_id, pilot_id) last_before,
         gate2 is not null or start_type <> 'RACE' as multi
         from {p}_cross c left join {p}_next using (task_id, pilot_id) join tasks using (task_id) where after_gate)
-        where case when multi or last_before is null then rn <= 8 else fix_ix = last_before end""")
+        where multi or last_before is null or fix_ix = last_before""")
     prev = f"select task_id, pilot_id, cand_ix, cand_t, cut_ix, cand_ix as g1 from {p}_cand"
     cols = "task_id, pilot_id, cand_ix, cand_t, cut_ix, g1"
     for k in range(2, 6):

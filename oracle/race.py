@@ -101,7 +101,7 @@ SQL = {
     "track_integrity": f"""select {PT}, count(*) fixes, min(t) first_t, max(t) last_t, max(t) - min(t) span_s,
         round((count(*) - 1) / (max(t) - min(t)), 6) nominal_rate_hz, max(g) filter (g > 1) biggest_gap_s, arg_max(t - g, (g, g - t)) filter (g > 1) biggest_gap_at,
         sum(g - 1) filter (g > 1)::bigint seconds_missing, count(*) filter (g > 5) n_gaps_over_5s,
-        string_agg(concat(t - g, ':', g), ',' order by t) filter (g > 5 and n <= 20) gaps, min(alt_gps)::bigint alt_gps_min, max(alt_gps)::bigint alt_gps_max,
+        string_agg(concat(t - g, ':', g), ',' order by t) filter (g > 5) gaps, min(alt_gps)::bigint alt_gps_min, max(alt_gps)::bigint alt_gps_max,
         min(alt_baro)::bigint alt_baro_min, max(alt_baro)::bigint alt_baro_max from (
         select *, count(*) filter (g > 5) over (partition by {PT} order by t) n from (select *, t - pt as g from track)) group by 1, 2""",
 }

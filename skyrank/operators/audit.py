@@ -133,15 +133,16 @@ def invariants(scores: DataFrame, tasks: DataFrame, course: DataFrame, track: Da
         & (F.abs(c("available_distance") + c("available_time") + c("available_leading") + c("available_arrival")
                  - F.round(1000 * c("task_validity"), 0)) <= 0.5), 0).otherwise(1))
     out = out.unionByName(unpivot(sums, ["weights sum to 1, pots to the task"]))
-    # monotone: among equal keys take the range of values, then compare neighbours of a short list
-    mono = {"farther never scores less": (F.floor(c("distance_m") / 100), c("distance_points"), F.lit(True)),
-            "faster never scores less": (-F.floor(c("section_s") / 10), c("time_points") / c("goal_altitude_factor"), c("goal_t").isNotNull())}
-    from pyspark.sql import Window
-    for name, (key, value, population) in mono.items():
-        spans = rows.where(population).groupBy("task_id", key.alias("k")).agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
-        before = F.max("hi").over(Window.partitionBy("task_id").orderBy("k").rowsBetween(Window.unboundedPreceding, -1))
-        bad = spans.withColumn("prev", before).groupBy("task_id").agg(
-            F.count_if(F.coalesce(c("lo") < c("prev") - 0.05 - EPS, F.lit(False))).alias(name))
+    # monotone: pilots against the best value of all with a strictly lower key
+    mono = {"farther never scores less": (c("distance_m"), 1000, c("distance_points"), F.lit(True)),
+            "faster never scores less": (-c("section_s"), 60, c("time_points") / c("goal_altitude_factor"), c("goal_t").isNotNull())}
+    from .ranking import spread_running_max
+    for name, (key, width, value, population) in mono.items():
+        some = rows.where(population & key.isNotNull()).select("task_id", key.cast("double").alias("k"), value.alias("v"))
+        tops = some.groupBy("task_id", "k").agg(F.max("v").alias("hi"))
+        before = spread_running_max(tops, ["task_id"], F.floor(c("k") / width), [c("k")], c("hi"), "prev").select("task_id", "k", "prev")
+        bad = some.join(before, ["task_id", "k"]).groupBy("task_id").agg(
+            F.count_if(F.coalesce(c("v") < c("prev") - 0.05 - EPS, F.lit(False))).alias(name))
         out = out.unionByName(unpivot(bad, [name]))
     stamps = rows.select(*KEY, F.explode(F.array_compact(F.array_append(F.coalesce(
         "tag_t", F.array().cast("array<bigint>")), c("start_cross_t")))).alias("t"))
@@ -179,12 +180,20 @@ def geometry_assertions(course: DataFrame) -> DataFrame:
 
 
 def sorted_index_percentiles(df: DataFrame, by: str, value: str) -> DataFrame:
-    """p50 and p95 as elements n//2 and floor(0.95 n) of the sorted values, and the maximum."""
-    from .ranking import spread_row_number
-    ranked = spread_row_number(df.select(by, value), [by], [F.floor(value)], [F.col(value)], "n")
+    """p50 and p95 as elements n//2 and floor(0.95 n) of the sorted values, and the maximum.
+
+    Equal values are counted first; counts then run up over whole numbers and, inside the one
+    that holds an element, over its different values.
+    """
+    from pyspark.sql import Window
+    counts = df.groupBy(by, value).agg(F.count("*").alias("k")).withColumn("whole", F.floor(value))
+    coarse = counts.groupBy(by, "whole").agg(F.sum("k").alias("c"))
+    up = lambda *keys: Window.partitionBy(by, *keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    coarse = coarse.withColumn("below", F.coalesce(F.sum("c").over(up("whole")), F.lit(0)))
     sizes = df.groupBy(by).agg(F.count("*").alias("size"), F.max(value).alias("max"))
-    rows = ranked.join(sizes, by)
-    at = lambda ix: F.max(F.when(F.col("n") - 1 == ix, F.col(value)))
+    rows = counts.join(coarse.drop("c"), [by, "whole"]).withColumn(
+        "first", F.col("below") + F.coalesce(F.sum("k").over(up("whole", value)), F.lit(0))).join(sizes, by)
+    at = lambda ix: F.max(F.when((F.col("first") <= ix) & (ix < F.col("first") + F.col("k")), F.col(value)))
     return rows.groupBy(by, "size", "max").agg(
         at(F.floor(F.col("size") / 2)).alias("p50"),
         at(F.least(F.col("size") - 1, F.floor(F.col("size") * 0.95))).alias("p95"))

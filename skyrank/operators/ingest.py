@@ -38,7 +38,10 @@ def normalise_points(raw: DataFrame, whole_batch: bool = False, default_source:
         "event_id": F.coalesce("p.event_id", F.lit("")), "source": F.coalesce("p.source", F.lit(default_source))})
     good = (F.col("pilot_id").isNotNull() & F.col("epoch").isNotNull()
             & F.coalesce(F.col("lat").between(-90, 90) & F.col("lon").between(-180, 180), F.lit(False)))
-    rows = rows.withColumn("error", F.when(~good, "each point requires pilot_id, epoch (or timestamp), lat and lon"))
+    placed = lambda c, most: F.coalesce(F.col(c).between(-most, most), F.lit(False))
+    rows = rows.withColumn("error", F.when(F.col("pilot_id").isNull(), "no pilot_id").when(
+        F.col("epoch").isNull(), "no time").when(~placed("lat", 90), "no latitude within 90 degrees").when(
+        ~placed("lon", 180), "no longitude within 180 degrees"))
     rows = rows.withColumn("fingerprint", F.when(good, fingerprint(
         F.col("pilot_id"), F.col("epoch"), F.col("lat"), F.col("lon")))).drop("p")
     if whole_batch:
@@ -54,12 +57,13 @@ POINT_FIELDS = ["lat", "lon", "alt_gps", "alt_baro", "event_id", "source", "raw"
 
 def last_of_batch(batch: DataFrame) -> DataFrame:
     """Latest version of each (task, pilot, second) inside a batch, by ordinal."""
-    return batch.groupBy(*POINT_KEY).agg(*[F.max_by(c, "ord").alias(c) for c in POINT_FIELDS])
+    return batch.groupBy(*POINT_KEY).agg(F.max(F.struct("ord", *POINT_FIELDS)).alias("r")).select(
+        *POINT_KEY, *[f"r.{c}" for c in POINT_FIELDS])
 
 
 def merge_raw(old: Column, new: Column) -> Column:
-    """JSON object merge: keys of the new document win."""
-    as_map = lambda c: F.coalesce(F.from_json(c, "map<string,string>"), F.create_map().cast("map<string,string>"))
+    """JSON object merge: keys of the new document win, and every value keeps its type."""
+    as_map = lambda c: F.coalesce(F.from_json(c, "map<string,variant>"), F.create_map().cast("map<string,variant>"))
     kept = F.map_filter(as_map(old), lambda k, v: ~F.map_contains_key(as_map(new), k))
     return F.to_json(F.map_concat(kept, as_map(new)))
 

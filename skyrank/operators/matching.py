@@ -149,8 +149,8 @@ def reconstruct(track: DataFrame, course: DataFrame, sizes: DataFrame) -> DataFr
         "task_id", F.col("wp_ix").alias("goal_wp"))
     order = reach.groupBy("task_id").agg(F.array_sort(F.collect_list(F.struct("mid_t", "wp_ix"))).alias("o")).join(
         goal, "task_id").withColumn("seq", F.transform("o", lambda e: e["wp_ix"]))
-    route = order.where(F.array_contains(F.slice("seq", 2, 64), F.col("goal_wp"))).select(
-        "task_id", F.concat(F.filter(F.slice("seq", 2, 64), lambda i: i != F.col("goal_wp")), F.array("goal_wp")).alias("ixs"),
+    route = order.where(F.array_contains(F.slice("seq", F.lit(2), F.size("seq")), F.col("goal_wp"))).select(
+        "task_id", F.concat(F.filter(F.slice("seq", F.lit(2), F.size("seq")), lambda i: i != F.col("goal_wp")), F.array("goal_wp")).alias("ixs"),
         F.col("seq")[0].alias("takeoff_wp"))
     best = longest_subroute(entries, route.select("task_id", "ixs"), sizes).join(
         route.select("task_id", "takeoff_wp"), "task_id")

@@ -75,7 +75,7 @@ def progress_ranking(scores: DataFrame) -> DataFrame:
             F.when(has, -F.col("distance_m")).otherwise(F.col("pk_at")),
             F.when(has, F.lit(0.0)).otherwise(F.col("pk_far"))]
     return spread_row_number(
-        rows, ["task_id"], [F.floor(keys[0]), F.floor(keys[1] / 1000)],
+        rows, ["task_id"], [F.floor(keys[0]), F.floor(keys[1] / 1000), F.floor(keys[2] / 1000)],
         [*keys, F.col("pilot_id")], "rank").drop("pk_group", "pk_at", "pk_far", "has_points")
 
 

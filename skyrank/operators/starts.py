@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..functions import geo
 from .tracks import KEY, course_struct, track_facts
 
-MAX_START_CANDIDATES = 8
 NO_CUT = 2147483647
 
 
@@ -84,10 +83,11 @@ def gate_as_of(start_type: Column, gates: Column, cross_t: Column) -> Column:
     return F.when(F.upper(start_type).startswith("RACE"), F.coalesce(passed, gates[0])).otherwise(cross_t)
 
 
-def start_candidates(evidence: DataFrame) -> DataFrame:
+def start_candidates(evidence: DataFrame, most: int | None = None) -> DataFrame:
     """Narrow the crossings after the gate to those worth playing forward.
 
-    ``cut_ix`` (the landing fix, or null) ends the evidence early.
+    ``cut_ix`` (the landing fix, or null) ends the evidence early.  ``most`` limits the crossings that
+    are played; by default all are, since the last start that reaches goal may be any of them.
     """
     cut = F.coalesce(F.col("cut_ix"), F.lit(NO_CUT))
     usable = F.coalesce(F.filter("crossings", lambda c: c["fix_ix"] <= cut), F.array().cast(
@@ -96,7 +96,7 @@ def start_candidates(evidence: DataFrame) -> DataFrame:
         "after": F.filter("usable", lambda c: c["after_gate"]),
         "next_ix": F.when(F.col("next_ix") <= cut, F.col("next_ix"))})
     before = F.filter("after", lambda c: c["fix_ix"] <= F.col("next_ix"))
-    earliest = F.slice("after", 1, MAX_START_CANDIDATES)
+    earliest = F.col("after") if most is None else F.slice("after", 1, most)
     picked = (F.when(is_multi_start(F.col("c.start_type"), F.col("c.gates")), earliest)
               .when(F.col("next_ix").isNotNull() & (F.size("before") > 0), F.slice("before", -1, 1))
               .otherwise(earliest))

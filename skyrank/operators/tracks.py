@@ -23,20 +23,25 @@ def by_time() -> Window:
 
 
 def first_reports(raw: DataFrame) -> DataFrame:
-    """One fix per (task, pilot, second): the first in file order (``ord``)."""
-    return raw.groupBy(*KEY, "t").agg(*[F.min_by(c, "ord").alias(c) for c in PAYLOAD])
+    """One fix per (task, pilot, second): the first in file order (``ord``), as a whole row."""
+    return _least_row(raw, [*KEY, "t"])
 
 
 def merge_sessions(reports: DataFrame) -> DataFrame:
     """Merge all files of a pilot (``pilot_key``: trimmed lower-case name); first report per second wins."""
-    return reports.groupBy("task_id", "pilot_key", "t").agg(*[F.min_by(c, "ord").alias(c) for c in PAYLOAD])
+    return _least_row(reports, ["task_id", "pilot_key", "t"])
+
+
+def _least_row(rows: DataFrame, by: list[str]) -> DataFrame:
+    """The row of least ``ord`` per key; rows that share it are told apart by what they hold, never mixed."""
+    return rows.groupBy(*by).agg(F.min(F.struct("ord", *PAYLOAD)).alias("r")).select(*by, *[f"r.{c}" for c in PAYLOAD])
 
 
 def newest_points(points: DataFrame) -> DataFrame:
     """One fix per (task, pilot, second) of a point table: the newest id wins, null altitudes are 0."""
-    return points.groupBy(*KEY, F.col("epoch").alias("t")).agg(
-        *[F.max_by(c, "id").alias(c) for c in ("lat", "lon")],
-        *[F.coalesce(F.max_by(c, "id").cast("int"), F.lit(0)).alias(c) for c in ("alt_baro", "alt_gps")])
+    newest = points.groupBy(*KEY, F.col("epoch").alias("t")).agg(F.max(F.struct("id", *PAYLOAD)).alias("r"))
+    return newest.select(*KEY, "t", "r.lat", "r.lon", *[
+        F.coalesce(F.col(f"r.{c}").cast("int"), F.lit(0)).alias(c) for c in ("alt_baro", "alt_gps")])
 
 
 def project_fixes(fixes: DataFrame, course: DataFrame, ellipsoid: bool = False) -> DataFrame:
@@ -85,13 +90,18 @@ def drop_outliers(fixes_xy: DataFrame, limit_km: float = 200.0) -> tuple[DataFra
     return nearest.where(F.col("closest_km") <= limit_km), nearest.where(F.col("closest_km") > limit_km)
 
 
-def track_integrity(fixes: DataFrame, listed_gaps: int = 20) -> DataFrame:
-    """What a point list looks like before scoring: span, rate, gaps and altitude ranges."""
+def track_integrity(fixes: DataFrame, listed_gaps: int | None = None) -> DataFrame:
+    """What a point list looks like before scoring: span, rate, gaps and altitude ranges.
+
+    All gaps over five seconds are listed, or the first ``listed_gaps`` of them for display.
+    """
     gap = F.col("t") - F.lag("t").over(by_time())
     rows = fixes.withColumn("gap", gap).withColumn("at", F.col("t") - F.col("gap"))
     ranked = rows.withColumn("gap_no", F.sum(F.when(F.col("gap") > 5, 1).otherwise(0)).over(
         by_time().rowsBetween(Window.unboundedPreceding, 0)))
-    listed = (F.col("gap") > 5) & (F.col("gap_no") <= listed_gaps)
+    listed = F.col("gap") > 5
+    if listed_gaps is not None:
+        listed &= F.col("gap_no") <= listed_gaps
     span = F.max("t") - F.min("t")
     return ranked.groupBy(*KEY).agg(
         F.count("*").alias("fixes"), F.min("t").alias("first_t"), F.max("t").alias("last_t"),

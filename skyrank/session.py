@@ -52,13 +52,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder lineage cuts are written to.
 
     The cluster names it in ``spark.checkpoint.dir``; only where that is unset
-    (tests, a laptop) do we pick a temporary folder ourselves.
+    (tests, a laptop) and everything runs in one process do we pick a temporary folder ourselves.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
+        if not sc.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir is to name a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="skyrank-checkpoint-"))
     return sc.getCheckpointDir()
 

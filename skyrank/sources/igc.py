@@ -9,7 +9,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-HEADER_BYTES = 8192
 ROLLOVER_S = 43200
 
 
@@ -95,9 +94,10 @@ def read_igc(spark: SparkSession, path: str) -> DataFrame:
 
 
 def header_lines(files: DataFrame) -> DataFrame:
-    """Lines of the first 8 KB of each file; the fixes are not split."""
-    head = files.select("path", F.substring("content", 1, HEADER_BYTES).alias("content"))
-    return file_lines(head)
+    """Lines before the first fix of each file, however many; the fixes are not split."""
+    whole = decode_text(F.col("content"))
+    head = F.when(whole.startswith("B"), F.lit("")).otherwise(F.substring_index(whole, "\nB", 1))
+    return files.select("path", F.posexplode(F.split(head, "\n")).alias("line_no", "line"))
 
 
 def scan_headers(lines: DataFrame) -> DataFrame:
