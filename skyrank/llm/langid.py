@@ -28,7 +28,7 @@ from .staging import stage
 ORDER = 4
 #: The most (language, 4-gram) entries a model keeps; beyond, the rarest go.  It bounds the broadcast.
 MAX_ENTRIES = 1_000_000
-BATCH_BYTES = 3_000_000
+BATCH_BYTES = 1_000_000
 #: Bits above a language's own cross-entropy, and standard errors, that a text may have.
 SLACK_BITS, SLACK_ERRORS = 1.5, 6.0
 #: Symbols that count as evidence in a score; more add no certainty.

@@ -9,22 +9,31 @@ from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir, tune
 
+#: Rows of text in one Arrow batch: a Python worker holds a few megabytes at a time.
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "1000"
 #: Once a staged table is written nothing reads the shuffle files behind it, so Spark may drop them.
 RELEASE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+def prepared(spark: SparkSession) -> SparkSession:
+    """The session with the settings these operators rely on."""
+    if spark.conf.get(ARROW_ROWS[0], None) != ARROW_ROWS[1]:
+        spark.conf.set(*ARROW_ROWS)
+    return tune(spark)
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     This cuts the lineage: a lost executor re-reads files.  The size of the table is known to
     the plans that follow.
     """
-    spark = tune(df.sparkSession)
+    spark = prepared(df.sparkSession)
     path = f"{ensure_checkpoint_dir(spark)}/stage-{uuid.uuid4().hex}"
     before = spark.conf.get(RELEASE_SHUFFLES, None)
     spark.conf.set(RELEASE_SHUFFLES, "true")
     try:
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
     finally:
         if before is None:
             spark.conf.unset(RELEASE_SHUFFLES)
@@ -35,7 +44,7 @@ def stage(df: DataFrame) -> DataFrame:
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table."""
-    return tune(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return prepared(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
