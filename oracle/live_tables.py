@@ -66,5 +66,6 @@ SQL = {
         (partition by {PT} order by t, priority, ord rows unbounded preceding) best from (select *, case when ord % 3 = 0 then 2 else 1 end priority from raw_fixes))
         where priority = 1 or best is null or t - best > 40 group by 1, 2, 3""",
     "active_task_assign": """select pilot_id, active_task, count(*) n from (select f.pilot_id, f.ord, f.t, min(k.task_id) active_task from raw_fixes f
-        left join task_rows k on f.t between k.gate - 900 and k.deadline group by 1, 2, 3) group by 1, 2""",
+        join task_rows own using (task_id)
+        left join task_rows k on k.task_no // 3 = own.task_no // 3 and f.t between k.gate - 900 and k.deadline group by 1, 2, 3) group by 1, 2""",
 }

@@ -10,6 +10,7 @@ from .tracks import KEY
 
 REPLAY_FIELDS = ["start_t", "start_cross_t", "ess_t", "goal_t", "distance_m", "raw_distance_m", "state",
                  "lead_area", "lead_min_km"]
+# The fields of a published field summary.
 FIELD_SUMMARY = [
     "present", "pilots_flying", "pilots_goal", "pilots_ess", "nominal_distance", "minimum_distance", "nominal_time",
     "nominal_goal", "nominal_launch", "leading_time_ratio", "launch_validity", "distance_validity", "time_validity",
@@ -20,11 +21,22 @@ EPS = 1e-6
 
 
 def replay_agreement(stored: DataFrame, replayed: DataFrame) -> DataFrame:
-    """Fields on which a stored result and its recomputation differ, exactly and null-safely."""
+    """Fields on which a stored result and its recomputation differ, null-safely.
+
+    Numbers may differ by rounding only: sums over fixes have no fixed order.
+    """
     s = stored.select(*KEY, *[F.col(c).alias(f"s_{c}") for c in REPLAY_FIELDS])
     rows = replayed.select(*KEY, *REPLAY_FIELDS).join(s, KEY)
-    differs = F.array_compact(F.array(*[
-        F.when(~F.col(c).eqNullSafe(F.col(f"s_{c}")), F.lit(c)) for c in REPLAY_FIELDS]))
+    kinds = dict(replayed.dtypes)
+
+    def same(c: str) -> Column:
+        a, b = F.col(c), F.col(f"s_{c}")
+        equal = a.eqNullSafe(b)
+        if kinds[c] == "double":
+            equal |= F.coalesce(F.abs(a - b) <= 1e-9 * F.greatest(F.abs(a), F.abs(b), F.lit(1.0)), F.lit(False))
+        return equal
+
+    differs = F.array_compact(F.array(*[F.when(~same(c), F.lit(c)) for c in REPLAY_FIELDS]))
     return rows.select(*KEY, (F.size(differs) == 0).alias("agrees"), F.array_join(differs, ",").alias("mismatches"))
 
 

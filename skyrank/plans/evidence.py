@@ -102,12 +102,12 @@ def comparison_export(c: Race) -> DataFrame:
 
 
 def replay_agreement(c: Race) -> DataFrame:
-    """Stored results, some of them altered, against the state recomputed from the fixes."""
+    """Stored results, some of them altered, against the state scored again from the raw reports."""
     n = F.col("pilot_id").cast("long")
     stored = c.s.pilot_state.withColumns({
         "distance_m": F.col("distance_m") + F.when(n % 9 == 0, 1.0).otherwise(0.0),
         "state": F.when(n % 14 == 0, "ESS").otherwise(F.col("state"))})
-    return audit.replay_agreement(stored, c.s.pilot_state)
+    return audit.replay_agreement(stored, c.replayed.pilot_state)
 
 
 def points_derivation(c: Race) -> DataFrame:

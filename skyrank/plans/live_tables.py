@@ -180,10 +180,11 @@ def tracker_priority_merge(c: Race) -> DataFrame:
 
 
 def active_task_assign(c: Race) -> DataFrame:
+    competition = F.floor(F.col("task_no") / 3).alias("competition_id")
     windows = c.views.task_rows().select(
-        F.lit("all").alias("competition_id"), F.col("task_id").alias("active_task"), (F.col("gate") - 900).alias("open_t"),
-        F.col("deadline").alias("close_t"))
-    pts = c.views.raw_fixes().select(F.lit("all").alias("competition_id"), "pilot_id", F.col("t").alias("epoch"), "ord")
+        competition, F.col("task_id").alias("active_task"), (F.col("gate") - 900).alias("open_t"), F.col("deadline").alias("close_t"))
+    entered = c.views.task_rows().select("task_id", competition)
+    pts = c.views.raw_fixes().join(entered, "task_id").select("competition_id", "pilot_id", F.col("t").alias("epoch"), "ord")
     stamped = quality.assign_active_task(pts, windows)
     best = stamped.groupBy("pilot_id", "ord", "epoch").agg(F.min(F.when(F.col("inside"), F.col("active_task"))).alias("active_task"))
     return best.groupBy("pilot_id", "active_task").agg(F.count("*").alias("n"))

@@ -42,6 +42,12 @@ class Race:
         v = self.views
         return Scoring(v.raw_fixes(), v.task_rows(), v.waypoint_rows())
 
+    @cached_property
+    def replayed(self) -> Scoring:
+        """A second run from the raw reports, dealt out by arrival instead of by file."""
+        v = self.views
+        return Scoring(v.raw_fixes().repartition("ord"), v.task_rows(), v.waypoint_rows())
+
     @cached_property
     def ladder(self) -> Scoring:
         """The same races scored at several moments in one run.

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PAGE_ROWS = 500
+# The column titles of the published board.
 HEADERS = ["pilot_id", "name", "official_rank", "server_rank", "official_score", "server_score", "score_delta",
            "official_distance_km", "server_distance_km", "official_distance_points", "server_distance_points",
            "official_time_points", "server_time_points", "official_leading_points", "server_leading_points",
