@@ -40,7 +40,7 @@ SQL = {
         where accepted > 0 and cast(regexp_extract(task_id, '(\\d+)', 1) as bigint) % 11 <> 10""",
     "tracking_lost": f"select {PT}, t + 120 as lost_t, nt as back_t from (select *, lead(t) over (partition by {PT} order by t) nt from fixes) where nt - t > 120",
     "late_recompute": f"select {PT}, rank, state, round(distance_m, 2) distance_m, total_points from board",
-    "replay_equals_live": "select 'batch only' as side, 0 as n union all select 'stream only', 0",
+    "replay_equals_live": "select 'batch only' as side, 0 as n union all select 'stream only', 0 union all select 'micro-batches', 5",
     "events_export": """select comp competition_id, 100 + row_number() over (partition by comp order by k, t, pilot_id) as sequence, kind as type, pilot_id, t from export_rows""",
     "partition_layout": "select task_id, count(*) fixes, count(distinct pilot_id) pilots from fixes group by 1",
 }

@@ -116,14 +116,19 @@ def late_recompute(c: Race) -> DataFrame:
 def replay_equals_live(c: Race) -> DataFrame:
     """The log as a stream of several micro-batches and as one batch: rows on one side only."""
     root = f"{ensure_checkpoint_dir(c.spark)}/live-{uuid.uuid4().hex}"
-    lines = event_lines(c).where(F.col("arrival") < 1000000000)
-    lines.repartitionByRange(4, "arrival").select("value").write.text(f"{root}/log")
+    lines = event_lines(c)
+    cuts = lines.selectExpr("approx_percentile(arrival, array(0.2, 0.4, 0.6, 0.8)) as q").first()["q"]
+    for low, high in zip([None, *cuts], [*cuts, None]):    # two files after the other, in order of arrival
+        part = lines if low is None else lines.where(F.col("arrival") > low)
+        part = part if high is None else part.where(F.col("arrival") <= high)
+        part.repartition(2).select("value").write.mode("append").text(f"{root}/log")
     tables = live.LiveTables(c.spark, root)
-    live.run_available(ev.read_log(c.spark, f"{root}/log", 4), tables, f"{root}/checkpoint")
+    live.run_available(ev.read_log(c.spark, f"{root}/log", 2), tables, f"{root}/checkpoint")
     streamed, batch = tables.read("fixes", live.FIXES), live.batch_tables(lines)
-    cols = batch.columns
+    cols, count = batch.columns, tables.batches("events", live.EVENTS)
+    batches = c.spark.range(1).select(F.lit(count).cast("long").alias("n"), F.lit("micro-batches").alias("side"))
     return (batch.exceptAll(streamed.select(*cols)).agg(F.count("*").alias("n")).withColumn("side", F.lit("batch only"))
-            .unionByName(streamed.select(*cols).exceptAll(batch).agg(F.count("*").alias("n")).withColumn("side", F.lit("stream only"))))
+            .unionByName(streamed.select(*cols).exceptAll(batch).agg(F.count("*").alias("n")).withColumn("side", F.lit("stream only"))).unionByName(batches))
 
 
 def snapshot_publish(c: Race) -> DataFrame:

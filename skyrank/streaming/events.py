@@ -62,15 +62,43 @@ def drop_repeats(events: DataFrame) -> DataFrame:
         "competition_id", "event_id", F.col("f.s").alias("sequence"), *[F.col(f"f.{c}").alias(c) for c in cols if c != "sequence"])
 
 
-def guard_batch(events: DataFrame, reached: DataFrame) -> DataFrame:
-    """Mark one micro-batch: accepted above the competition's last sequence, else out of order.
+TAKEN = "competition_id string, low bigint, high bigint"
 
-    Disorder inside the batch heals by sorting; a repeated sequence is refused.
+
+def guard_batch(events: DataFrame, taken: DataFrame) -> DataFrame:
+    """Mark one micro-batch: a sequence belongs to the first event that has it, whenever it arrives.
+
+    ``taken`` holds the sequences of earlier batches as ranges.  A late event is accepted; what comes a
+    second time, in the batch or after it, is not.
     """
     first = events.groupBy("competition_id", "sequence").agg(F.min("event_id").alias("first_id"))
-    rows = events.join(first, ["competition_id", "sequence"]).join(reached, "competition_id", "left")
-    ok = (F.col("sequence") > F.coalesce("last_sequence", F.lit(-1))) & (F.col("event_id") == F.col("first_id"))
-    return rows.withColumn("accepted", ok).drop("first_id", "last_sequence")
+    ranges = taken.groupBy("competition_id").agg(F.array_sort(F.collect_list(F.struct("low", "high"))).alias("ranges"))
+    rows = events.join(first, ["competition_id", "sequence"]).join(ranges, "competition_id", "left")
+    again = F.coalesce(F.exists("ranges", lambda r: F.col("sequence").between(r["low"], r["high"])), F.lit(False))
+    return rows.withColumn("accepted", ~again & (F.col("event_id") == F.col("first_id"))).drop("first_id", "ranges")
+
+
+def taken_after(taken: DataFrame, accepted: DataFrame) -> DataFrame:
+    """Ranges of taken sequences with those of a batch, neighbours put together."""
+    new = accepted.select("competition_id", F.col("sequence").alias("low"), F.col("sequence").alias("high"))
+    from pyspark.sql import Window
+    order = Window.partitionBy("competition_id").orderBy("low", "high")
+    reach = F.max("high").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    rows = taken.unionByName(new).withColumn("fresh", F.coalesce(F.col("low") > reach + 1, F.lit(True)).cast("int"))
+    rows = rows.withColumn("run", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return rows.groupBy("competition_id", "run").agg(F.min("low").alias("low"), F.max("high").alias("high")).drop("run")
+
+
+KNOWN = "competition_id string, kind string, pilot_id string, known_at bigint"
+
+
+def known_after(known: DataFrame, accepted: DataFrame) -> DataFrame:
+    """The first sequence of every pilot, task and parameter set, one row per key."""
+    new = accepted.where(F.col("type").isin("pilot.upsert", "task.upsert", "competition.upsert")).select(
+        "competition_id", F.col("type").alias("kind"), F.when(
+            F.col("type") == "pilot.upsert", F.get_json_object("data", "$.pilot_id")).alias("pilot_id"),
+        F.col("sequence").alias("known_at"))
+    return known.unionByName(new).groupBy("competition_id", "kind", "pilot_id").agg(F.min("known_at").alias("known_at"))
 
 
 def guard_log(events: DataFrame, batch: str = "batch") -> DataFrame:
@@ -99,11 +127,15 @@ def positions(events: DataFrame) -> DataFrame:
 
 def gate_positions(rows: DataFrame, events: DataFrame) -> DataFrame:
     """``refused``: null, unknown pilot, or before task and parameters exist, as of each sequence."""
-    pilots = events.where("type = 'pilot.upsert'").groupBy(
-        "competition_id", F.get_json_object("data", "$.pilot_id").alias("pilot_id")).agg(F.min("sequence").alias("known_at"))
-    setup = events.groupBy("competition_id").agg(
-        F.min(F.when(F.col("type") == "task.upsert", F.col("sequence"))).alias("task_at"),
-        F.min(F.when(F.col("type") == "competition.upsert", F.col("sequence"))).alias("params_at"))
+    none = events.sparkSession.createDataFrame([], KNOWN)
+    return gate_known(rows, known_after(none, events))
+
+
+def gate_known(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """The same by what is ``known``, see :func:`known_after`."""
+    pilots = known.where("kind = 'pilot.upsert'").select("competition_id", "pilot_id", "known_at")
+    at = lambda kind: F.min(F.when(F.col("kind") == kind, F.col("known_at")))
+    setup = known.groupBy("competition_id").agg(at("task.upsert").alias("task_at"), at("competition.upsert").alias("params_at"))
     joined = rows.join(pilots, ["competition_id", "pilot_id"], "left").join(setup, "competition_id", "left")
     late = lambda c: F.coalesce(F.col(c) > F.col("sequence"), F.lit(True))
     return joined.withColumn("refused", F.when(late("known_at"), "unknown pilot").when(

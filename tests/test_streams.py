@@ -36,7 +36,7 @@ def test_micro_batches_store_what_one_batch_stores(spark, log, tmp_path):
     stored = tables.read("fixes", live.FIXES)
     assert sorted(r.t for r in stored.collect()) == [100, 101, 103]
     reasons = {r.reason for r in tables.read("dead_letters", "value string, reason string").collect()}
-    assert {"not an object", "data is not an object", "out of order", "unknown pilot"} <= reasons
+    assert {"not an object", "data is not an object", "sequence already taken", "unknown pilot"} <= reasons
     batch = live.batch_tables(spark.createDataFrame([(x,) for x in lines], "value string"))
     assert batch.exceptAll(stored.select(*batch.columns)).count() == 0
     assert stored.select(*batch.columns).exceptAll(batch).count() == 0
@@ -44,6 +44,43 @@ def test_micro_batches_store_what_one_batch_stores(spark, log, tmp_path):
     assert tables.read("fixes", live.FIXES).count() == 3
 
 
+def test_late_rows_and_late_setup_arrive_in_the_end(spark, tmp_path):
+    pos = lambda n, p, t: line(n, "position", {"pilot_id": p, "timestamp": t, "lat": 42.0, "lon": 1.0, "alt_gps": 900})
+    batches = [[line(1, "competition.upsert", {}), line(2, "task.upsert", {}), pos(9, "a", 109), pos(12, "a", 112)],
+               [pos(10, "a", 110), pos(9, "a", 109)], [line(3, "pilot.upsert", {"pilot_id": "a"})],
+               [pos(11, "a", 111), pos(4, "z", 104), pos(10, "a", 110)], [pos(12, "a", 112), pos(13, "a", 113)]]
+    folder = tmp_path / "log"
+    folder.mkdir()
+    tables, touched = live.LiveTables(spark, str(tmp_path / "tables")), {}
+    for i, rows in enumerate(batches):
+        (folder / f"{i}.txt").write_text("\n".join(rows) + "\n")
+        live.run_available(ev.read_log(spark, str(folder)), tables, str(tmp_path / "checkpoint"),
+                           lambda who, n: touched.update({n: [tuple(r) for r in who.collect()]}))
+    assert tables.batches("events", live.EVENTS) == 5
+    assert sorted(r.t for r in tables.read("fixes", live.FIXES).collect()) == [109, 110, 111, 112, 113]
+    assert touched == {0: [], 1: [], 2: [("C", "a")], 3: [("C", "a")], 4: [("C", "a")]}
+    assert [r.t for r in tables.last("waiting", live.FIXES, 5).collect()] == [104]
+    assert sorted((r.low, r.high) for r in tables.last("taken", ev.TAKEN, 5).collect()) == [(1, 4), (9, 13)]
+    letters = tables.read("dead_letters", "value string, reason string").where("reason = 'sequence already taken'").collect()
+    assert sorted(json.loads(r.value)["sequence"] for r in letters) == [9, 10, 12]
+
+
+def test_a_stream_publishes_the_tasks_it_touches(spark, tmp_path):
+    from skyrank.fixtures import Views
+    v = Views(spark, "/root/testdata/sf0.001")
+    task = v.task_rows().orderBy("task_id").first()["task_id"]
+    some = v.raw_fixes().where(F.col("task_id") == task)
+    fixes = some.select(F.col("task_id").alias("competition_id"), F.col("ord").alias("sequence"), "pilot_id", "t", "lat", "lon",
+                        F.col("alt_gps").cast("int").alias("alt_gps"), F.col("alt_baro").cast("int").alias("alt_baro"))
+    tables = live.LiveTables(spark, str(tmp_path / "tables"))
+    tables.write(fixes, "fixes", 0)
+    publish = live.publish_touched(tables, v.task_rows(), v.waypoint_rows(), str(tmp_path / "out"))
+    publish(fixes.select("competition_id", "pilot_id").distinct(), 0)
+    docs = [json.loads(r.value) for r in spark.read.text(str(tmp_path / "out" / "versions")).collect()]
+    assert docs and {d["competition_id"] for d in docs} == {task}
+    assert sum(len(d["results"]) for d in docs) == fixes.select("pilot_id").distinct().count()
+
+
 def test_stream_drops_repeats_and_watches_silence(spark, log, tmp_path):
     folder, _ = log
     good, _ = ev.split_log(ev.read_log(spark, str(folder), 10))
