@@ -29,8 +29,9 @@ from .staging import stage
 #: Hashed words: the classifier has this many weights whatever the corpus.
 FEATURES = 1 << 16
 BATCH_BYTES = 4_000_000
-#: Evidence is the mean log ratio of a document's words times at most this many words.
-EVIDENCE_WORDS = 40
+#: Evidence is the mean log ratio of a document's words times at most this many words: words of one
+#: document are far from independent, and more would leave a site's rate no say.
+EVIDENCE_WORDS = 4
 #: The classifier learns from at most this many labels, those of least hash; site rates use all of them.
 SAMPLE_LABELS = 50_000
 MIN_STRENGTH, MAX_STRENGTH = 1.0, 1000.0
