@@ -12,18 +12,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo, leading
-from ..functions.route import RIM_SPACING_M
+from ..functions.route import MAX_BEND, RIM_SPACING_M, arc_minimum
 from .landing import DISTANCE_STABILIZE_S
 from .starts import chain_legs, on_legs
 from .tasks import route_values
 from .tracks import KEY, by_time
 
 BLOCK_POINTS = 12
-#: Between neighbouring rim points onward distances bend by at most this share of the spacing, or are not refined.
-MAX_BEND = 0.1
-#: So a refined onward distance is at most this much below that of a rim point.
+#: A refined onward distance is at most this much below that of a rim point.
 BEND_SLACK_M = MAX_BEND * RIM_SPACING_M / 8
-REFINE_STEPS = 40
 
 
 def rim_blocks(course: DataFrame) -> DataFrame:
@@ -46,28 +43,8 @@ def rim_blocks(course: DataFrame) -> DataFrame:
 
 
 def refined(x: Column, y: Column, p: Column) -> Column:
-    """Distance to fly by the best point of the arc around rim point ``p``, or null where it is not smooth.
-
-    Onward distance is the parabola through the point and its neighbours.  The sum with the way there has one
-    minimum on the arc, which shrinking thirds find.
-    """
-    turn, bend = (p["v_right"] - p["v_left"]) / 2, (p["v_right"] + p["v_left"]) / 2 - p["v"]
-
-    def total(s: Column) -> Column:
-        angle = 2 * F.pi() * (p["q"] + s) / p["k"]
-        return geo.distance(x, y, p["zx"] + F.cos(angle) * p["zr"], p["zy"] + F.sin(angle) * p["zr"]) + (
-            p["v"] + turn * s + bend * s * s)
-
-    def third(range_: Column, _: Column) -> Column:
-        low, high = range_["low"], range_["high"]
-        a, b = low + (high - low) / 3, high - (high - low) / 3
-        left = total(a) <= total(b)
-        return F.struct(F.when(left, low).otherwise(a).alias("low"), F.when(left, b).otherwise(high).alias("high"))
-
-    best = F.aggregate(F.sequence(F.lit(1), F.lit(REFINE_STEPS)), F.struct(
-        F.lit(-1.0).alias("low"), F.lit(1.0).alias("high")), third, lambda r: total((r["low"] + r["high"]) / 2))
-    smooth = F.abs(bend) * 2 <= MAX_BEND * 2 * F.pi() * p["zr"] / p["k"]
-    return F.when((p["zr"] > 0) & smooth, best)
+    """Distance to fly by the best point of the arc around rim point ``p``, or null where it is not smooth."""
+    return arc_minimum(x, y, *[p[c].cast("double") for c in ("q", "k", "zx", "zy", "zr", "v", "v_left", "v_right")])
 
 
 def sampled_fixes(track: DataFrame, state: DataFrame) -> DataFrame:
@@ -132,17 +109,22 @@ def exact_distances(samples: DataFrame, rims: DataFrame) -> DataFrame:
         F.col("reached").isNull() | (F.least(lower, F.col("upper")) <= F.col("reached")))
     base = [*KEY, "target", "fix_ix", "t", "task_time", "section_km", "hump"]
     arrived = kept.where(F.col("aim").isNull()).select(*base, F.lit(0.0).alias("d"))
-    near = rims.select("task_id", "target", F.col("wp_ix").alias("aim"), "cx", "cy", "reach", F.col("v_min").alias("onward"), "pts")
+    near = rims.select(F.col("task_id").alias("n_task"), F.col("target").alias("n_target"), F.col("wp_ix").alias("n_aim"),
+                       "cx", "cy", "reach", F.col("v_min").alias("onward"), "pts")
     offers = geo.distance(F.col("x"), F.col("y"), F.col("cx"), F.col("cy")) - F.col("reach") + F.col("onward")
     # ``upper`` is a way that can be flown, so a block that offers less has nothing to add
-    points = (kept.where(F.col("aim").isNotNull()).select(*base, "aim", "x", "y", "upper")
-              .join(near, ["task_id", "target", "aim"]).where(offers - BEND_SLACK_M <= F.col("upper"))
-              .select(*base, "x", "y", "upper", F.explode("pts").alias("p")))
+    useful = ((F.col("task_id") == F.col("n_task")) & (F.col("target") == F.col("n_target")) & (F.col("aim") == F.col("n_aim"))
+              & (offers - BEND_SLACK_M <= F.col("upper")))
+    points = (kept.where(F.col("aim").isNotNull()).select(*base, "aim", "x", "y", "upper").join(near, useful, "left")
+              .select(*base, "x", "y", "upper", F.explode_outer("pts").alias("p")))
     way = geo.distance(F.col("x"), F.col("y"), F.col("p.qx"), F.col("p.qy")) + F.col("p.v")
-    flown = points.groupBy(*base, "x", "y", "upper").agg(F.min(F.struct(way.alias("d"), "p")).alias("m")).select(
-        *base, F.least("upper", "m.d", refined(F.col("x"), F.col("y"), F.col("m.p"))).alias("d"))
-    direct = kept.where(F.col("aim").isNotNull()).select(*base, F.col("upper").alias("d"))
-    return arrived.unionByName(flown.unionByName(direct).groupBy(*base).agg(F.min("d").alias("d")))
+    best = points.withColumn("way", way).groupBy(*base, "x", "y", "upper").agg(
+        F.min("way").alias("way_m"), *[F.min_by(f"p.{c}", "way").alias(c) for c in ("q", "v", "v_left", "v_right")],
+        *[F.max(f"p.{c}").alias(c) for c in ("k", "zx", "zy", "zr")])
+    point = F.struct("q", "k", "zx", "zy", "zr", "v", "v_left", "v_right")
+    flown = best.withColumn("arc", refined(F.col("x"), F.col("y"), point)).select(
+        *base, F.least("upper", "way_m", "arc").alias("d"))
+    return arrived.unionByName(flown)
 
 
 def falling_minima(distances: DataFrame) -> DataFrame:
