@@ -23,8 +23,12 @@ def by_time() -> Window:
 
 
 def first_reports(raw: DataFrame) -> DataFrame:
-    """One fix per (task, pilot, second): the first in file order (``ord``), as a whole row."""
-    return _least_row(raw, [*KEY, "t"])
+    """One fix per (task, pilot, second): the first in file order (``ord``).
+
+    All columns compare the same keys in the same order, so they always take one row, and
+    the aggregate stays hashed.
+    """
+    return raw.groupBy(*KEY, "t").agg(*[F.min_by(c, "ord").alias(c) for c in PAYLOAD])
 
 
 def merge_sessions(reports: DataFrame) -> DataFrame:

@@ -66,7 +66,7 @@ def test_every_gap_is_listed(spark):
 def test_equal_order_never_mixes_rows(spark):
     rows = [("T", "p", 1, 1.0, 9.0, 1, 9, 7), ("T", "p", 1, 2.0, 8.0, 2, 8, 7)]
     df = spark.createDataFrame(rows, "task_id string, pilot_id string, t bigint, lat double, lon double, alt_baro int, alt_gps int, ord int")
-    assert tuple(tracks.first_reports(df).select("lat", "lon", "alt_baro", "alt_gps").first()) == (1.0, 9.0, 1, 9)
+    assert tuple(tracks.first_reports(df).select("lat", "lon", "alt_baro", "alt_gps").first()) in {(1.0, 9.0, 1, 9), (2.0, 8.0, 2, 8)}
 
 
 def test_merged_documents_keep_their_types(spark):
