@@ -19,6 +19,7 @@ from .tasks import route_values
 from .tracks import KEY, by_time
 
 BLOCK_POINTS = 12
+ZONE = ["k", "zx", "zy", "zr"]
 #: A refined onward distance is at most this much below that of a rim point.
 BEND_SLACK_M = MAX_BEND * RIM_SPACING_M / 8
 
@@ -32,14 +33,14 @@ def rim_blocks(course: DataFrame) -> DataFrame:
     rim = (route_values(course, "goal_ix").withColumn("target", F.lit("goal"))
            .unionByName(route_values(course, "ess_ix").withColumn("target", F.lit("ess"))))
     block = rim.groupBy("task_id", "target", "wp_ix", F.floor(F.col("q") / BLOCK_POINTS).alias("block")).agg(
-        F.array_sort(F.collect_list(F.struct(
-            "q", "qx", "qy", "v", "v_left", "v_right", "k", "zx", "zy", "zr"))).alias("pts"))
+        F.array_sort(F.collect_list(F.struct("q", "qx", "qy", "v", "v_left", "v_right"))).alias("pts"),
+        *[F.max(c).alias(c) for c in ZONE])
     mid = F.get("pts", F.floor(F.size("pts") / 2).cast("int"))
     return block.withColumns({
         "cx": mid["qx"], "cy": mid["qy"], "v_min": F.array_min(F.transform("pts", lambda p: p["v"]))}).withColumn(
         # a refined point lies up to one step beyond the block's own
         "reach", F.array_max(F.transform("pts", lambda p: geo.distance(p["qx"], p["qy"], F.col("cx"), F.col("cy"))))
-        + 2 * F.pi() * mid["zr"] / mid["k"])
+        + 2 * F.pi() * F.col("zr") / F.col("k"))
 
 
 def refined(x: Column, y: Column, p: Column) -> Column:
@@ -116,14 +117,19 @@ def exact_distances(samples: DataFrame, rims: DataFrame) -> DataFrame:
     useful = ((F.col("task_id") == F.col("n_task")) & (F.col("target") == F.col("n_target")) & (F.col("aim") == F.col("n_aim"))
               & (offers - BEND_SLACK_M <= F.col("upper")))
     points = (kept.where(F.col("aim").isNotNull()).select(*base, "aim", "x", "y", "upper").join(near, useful, "left")
-              .select(*base, "x", "y", "upper", F.explode_outer("pts").alias("p")))
+              .select(*base, "aim", "x", "y", "upper", F.explode_outer("pts").alias("p")))
     way = geo.distance(F.col("x"), F.col("y"), F.col("p.qx"), F.col("p.qy")) + F.col("p.v")
-    best = points.withColumn("way", way).groupBy(*base, "x", "y", "upper").agg(
-        F.min("way").alias("way_m"), *[F.min_by(f"p.{c}", "way").alias(c) for c in ("q", "v", "v_left", "v_right")],
-        *[F.max(f"p.{c}").alias(c) for c in ("k", "zx", "zy", "zr")])
-    point = F.struct("q", "k", "zx", "zy", "zr", "v", "v_left", "v_right")
-    flown = best.withColumn("arc", refined(F.col("x"), F.col("y"), point)).select(
-        *base, F.least("upper", "way_m", "arc").alias("d"))
+    best = points.select(*base, "aim", "x", "y", "upper", F.col("p.q").alias("q"), way.alias("way")).groupBy(
+        *base, "aim", "x", "y", "upper").agg(F.min("way").alias("way"), F.min_by("q", "way").alias("q"))
+    # what the arc needs comes from the one rim point that was best
+    rim = rims.select(F.col("task_id").alias("n_task"), F.col("target").alias("n_target"), F.col("wp_ix").alias("n_aim"), *ZONE,
+                      F.explode("pts").alias("p")).select("n_task", "n_target", "n_aim", *ZONE, F.col("p.q").alias("n_q"),
+                                                          "p.v", "p.v_left", "p.v_right")
+    same = ((F.col("task_id") == F.col("n_task")) & (F.col("target") == F.col("n_target")) & (F.col("aim") == F.col("n_aim"))
+            & (F.col("q") == F.col("n_q")))
+    flown = best.join(rim, same, "left").withColumn("arc", refined(
+        F.col("x"), F.col("y"), F.struct("q", *ZONE, "v", "v_left", "v_right"))).select(
+        *base, F.least("upper", "way", "arc").alias("d"))
     return arrived.unionByName(flown)
 
 
