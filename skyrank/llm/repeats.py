@@ -86,7 +86,7 @@ class Words:
 class Bytes:
     """Units are bytes."""
 
-    window, gram = 50, 16
+    window, gram = 50, 24
 
     def units(self, data, bounds):
         at = np.arange(len(data))
@@ -96,7 +96,11 @@ class Bytes:
         x = data.astype(np.uint64)
         for k in (1, 2, 4):
             x = x[:-k] | (x[k:] << np.uint64(8 * k)) if len(x) > k else x[:0]
-        return mixed(mixed(x[:-8]) * STEP + x[8:]) if len(x) > 8 else x[:0]
+        n = max(0, len(data) - self.gram + 1)
+        total = np.zeros(n, np.uint64)
+        for k in range(0, self.gram, 8):
+            total = mixed(total * STEP + x[k:k + n])
+        return total
 
     def body(self, text: bytes) -> bytes:
         return text
@@ -149,6 +153,10 @@ class Segments:
         fits = at + width <= self.begin[doc + 1]
         new = np.diff(place, prepend=-1) != 0
         new |= np.diff(doc, prepend=-1) != 0
+        # where the 16 bits of a place run over, a tie may go to a later gram: no two such windows share a segment
+        over = at >> 16 != (at + span - 1) >> 16
+        new |= over
+        new[1:] |= over[:-1]
         new |= np.diff(fits, prepend=False)
         edge = np.flatnonzero(new)
         size = np.diff(edge, append=len(least))
@@ -191,7 +199,9 @@ def candidates(docs: DataFrame, units, own: bool) -> DataFrame:
     rows = docs.select("did", "th", "text").mapInArrow(run, "key long, did long, th long, twice boolean")
     twice = F.max(F.col("twice")) if own else F.lit(False)
     shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), twice.alias("t")).where("n > 1 or t").select("key")
-    return rows.join(shared, "key", "left_semi").groupBy("did", "th").agg(F.collect_set("key").alias("keys"))
+    # shared keys are different and evenly dealt, so each task can hold its part; no side is sorted
+    return rows.join(shared.hint("shuffle_hash"), "key", "left_semi").groupBy("did", "th").agg(
+        F.collect_list("key").alias("keys"))
 
 
 def segments(held: DataFrame, units, bodies: bool) -> DataFrame:
@@ -241,41 +251,73 @@ def run_lists(row: np.ndarray, offset: np.ndarray, n: int) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.searchsorted(row[fresh], np.arange(n + 1)), pa.int32()), runs)
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bool, pa.RecordBatch]]:
+    """Rows sorted by key as (alone, rows): all rows of one key, or many rows that each are alone with theirs."""
+    def together(parts: list[pa.RecordBatch]) -> tuple[bool, pa.RecordBatch]:
+        group = parts[0] if len(parts) == 1 else pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+        return group.num_rows == 1, group
+
+    open_, last = [], None
+    for batch in batches:
+        key = np.asarray(batch.column("key"))
+        if not len(key):
+            continue
+        edges = np.append(np.flatnonzero(np.diff(key, prepend=key[0] - 1)), len(key))
+        if open_ and key[0] != last:
+            yield together(open_)
+            open_ = []
+        # the first and the last group may go on in the neighbouring batches
+        open_.append(batch.slice(0, int(edges[1])))
+        if len(edges) > 2:
+            yield together(open_)
+            size = np.diff(edges)[1:-1]
+            begin = edges[1:-2]
+            if (size == 1).any():
+                yield True, batch.take(pa.array(begin[size == 1]))
+            for at, n in zip(begin[size > 1].tolist(), size[size > 1].tolist()):
+                yield False, batch.slice(at, n)
+            open_ = [batch.slice(int(edges[-2]))]
+        last = key[-1]
+    if open_:
+        yield together(open_)
+
+
 def shard_runs(distinct: DataFrame, shard: Callable, limit: int) -> DataFrame:
     """``RUNS`` of the segments whose windows occur earlier, found shard by shard.
 
     ``shard(bodies, order, start)`` gives (row, offset) of the windows of its segments that occur earlier;
-    ``order`` numbers documents by place.  A shard holds whole groups and about ``limit`` bytes.
+    ``order`` numbers documents by place.  A shard holds whole groups and about ``limit`` bytes.  The windows
+    of one segment all differ (each has the minimizer elsewhere), or are in one place that is no earlier, so a
+    group of one segment has nothing to be compared with and is in no index.
     """
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, last = [], 0, None
-
-        def flush(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
-            table = pa.Table.from_batches(rows).combine_chunks().to_batches()[0]
-            did, th = np.asarray(table.column("did")), np.asarray(table.column("th"))
-            by = np.lexsort((th, did))
-            new = (np.diff(did[by], prepend=did[by[0]]) != 0) | (np.diff(th[by], prepend=th[by[0]]) != 0)
-            order = np.empty(len(by), np.int64)
-            order[by] = np.cumsum(new)
-            row, offset = shard(table.column("body").to_pylist(), order, np.asarray(table.column("start")))
-            pair = np.unique(np.stack([row, offset]), axis=1)
-            return pa.RecordBatch.from_arrays(
-                [table.column(c) for c in ("key", "sid", "did", "th", "start")] + [run_lists(*pair, table.num_rows)],
-                ["key", "sid", "did", "th", "start", "runs"])
+    place = ["key", "sid", "did", "th", "start"]
 
-        for batch in batches:
-            key = np.asarray(batch.column("key"))
-            sizes = np.diff(raw(batch.column("body"))[1])
-            edges = np.flatnonzero(np.diff(key, prepend=key[:1] - 1)).tolist() + [len(key)]
-            for a, b in zip(edges[:-1], edges[1:]):
-                if held and size > limit and key[a] != last:
-                    yield flush(held)
-                    held, size = [], 0
-                held.append(batch.slice(a, b - a))
-                size += int(sizes[a:b].sum())
-                last = key[a]
+    def indexed(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(rows).combine_chunks().to_batches()[0]
+        did, th = np.asarray(table.column("did")), np.asarray(table.column("th"))
+        by = np.lexsort((th, did))
+        new = (np.diff(did[by], prepend=did[by[0]]) != 0) | (np.diff(th[by], prepend=th[by[0]]) != 0)
+        order = np.empty(len(by), np.int64)
+        order[by] = np.cumsum(new)
+        row, offset = shard(table.column("body").to_pylist(), order, np.asarray(table.column("start")))
+        pair = np.unique(np.stack([row, offset]), axis=1)
+        return pa.RecordBatch.from_arrays(
+            [table.column(c) for c in place] + [run_lists(*pair, table.num_rows)], [*place, "runs"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, none = [], 0, np.zeros(0, np.int64)
+        for alone, group in whole_groups(batches):
+            if alone:
+                yield pa.RecordBatch.from_arrays(
+                    [group.column(c) for c in place] + [run_lists(none, none, group.num_rows)], [*place, "runs"])
+                continue
+            held.append(group)
+            size += len(raw(group.column("body"))[0])
+            if size > limit:
+                yield indexed(held)
+                held, size = [], 0
         if held:
-            yield flush(held)
+            yield indexed(held)
 
     return distinct.repartition("key").sortWithinPartitions("key").mapInArrow(run, RUNS)
 
@@ -315,7 +357,7 @@ def removals(held: DataFrame, units, runs: DataFrame, own: bool) -> DataFrame:
     gone = F.when(first, F.transform("runs", lambda r: F.struct(
         (F.col("start") + r["a"]).alias("a"), (F.col("start") + r["b"] + units.window - 1).alias("b")))).otherwise(
         F.array(F.struct(F.col("start").alias("a"), (F.col("start") + F.col("windows") + units.window - 1).alias("b"))))
-    return (here.join(there, ["key", "sid"]).select("did", "th", gone.alias("gone")).where(F.size("gone") > 0)
+    return (here.join(there.hint("shuffle_hash"), ["key", "sid"]).select("did", "th", gone.alias("gone")).where(F.size("gone") > 0)
             .groupBy("did", "th").agg(F.flatten(F.collect_list("gone")).alias("gone")))
 
 
@@ -336,7 +378,7 @@ def remove_repeats(docs: DataFrame, units, shard: Callable, own: bool, shard_byt
     Documents meet their candidates once; from then on only those with candidates carry their text.
     """
     rows = placed(docs)
-    found = candidates(rows, units, own)
+    found = stage(candidates(rows, units, own))
     names = schema.replace(",", " ").split()[::2]
 
     def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -374,7 +416,7 @@ def remove_repeats(docs: DataFrame, units, shard: Callable, own: bool, shard_byt
     runs = shard_runs(distinct.join(crowded, "key", "left_anti"), shard, shard_bytes)
     if not crowded.isEmpty():
         runs = runs.unionByName(crowded_windows(distinct.join(crowded, "key", "left_semi"), units).select(*place, "runs"))
-    gone = removals(open_docs, units, stage(runs), own)
+    gone = stage(removals(open_docs, units, stage(runs), own))
     done = held.where("keys is null").select("doc_id", *names)
     changed = open_docs.select("doc_id", "did", "th", "text").join(gone, ["did", "th"], "left").select(
         "doc_id", "text", "gone").mapInArrow(rest, f"doc_id long, {schema}")
