@@ -114,3 +114,28 @@ def test_small_batches_change_nothing(spark, monkeypatch):
     monkeypatch.setattr(langid, "BATCH_BYTES", 900)
     after = langid.identify(given, models).select("doc_id", "language.pred", F.round("language.cross_entropy", 6).alias("c"))
     assert before.exceptAll(after).isEmpty()
+
+
+def test_blocks_keep_every_gram(spark, monkeypatch):
+    given = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    whole = langid.train(given)
+    monkeypatch.setattr(langid, "BLOCK_ENTRIES", 2000)
+    monkeypatch.setattr(langid, "ROUND_GRAMS", 50_000)
+    models = langid.train(given)
+    assert isinstance(models, langid.Blocks) and list(models) == list(whole) and len(models.parts) > 3
+    assert np.allclose(models.means, [m.mean for m in whole.values()], rtol=1e-5)
+    assert np.allclose(models.deviations, [m.deviation for m in whole.values()], rtol=1e-4)
+    seen = [np.frombuffer(f"x{i}{c}ab ".encode("utf-16-le")[:8], np.uint64)[0] for i in range(10) for c in "eqz"]
+    seen += [r[0] % 2 ** 64 for r in langid.gram_counts(given).select("gram").distinct().limit(3000).collect()]
+    seen = np.array(seen, np.uint64)
+    assert np.allclose(models.bits(seen), [m.bits(seen) for m in whole.values()], rtol=1e-5)
+    columns = ["doc_id", "language.pred", "language.rejected", F.round("language.cross_entropy", 3).alias("c")]
+    assert langid.identify(given, models).select(columns).exceptAll(langid.identify(given, whole).select(columns)).isEmpty()
+
+
+def test_a_small_language_stays_beside_a_large_one(spark, monkeypatch):
+    monkeypatch.setattr(langid, "BLOCK_ENTRIES", 60)
+    large = [(i, "the cat sat on the mat and the dog sat on the log", "en") for i in range(9)]
+    models = langid.train(docs(spark, large + [(99, "ωραία μέρα", "el")]))
+    assert set(models) == {"el", "en"}
+    assert [r["language"]["pred"] for r in langid.identify(docs(spark, [(1, "ωραία μέρα")]), models).collect()] == ["el"]
