@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,8 +11,9 @@ from ..functions import geo
 from .ranking import spread_row_number
 from .tracks import KEY
 
-MAX_BODY_ZONES = 14
 MIN_REACH = 0.08
+#: Bytes of search states that are remembered; beyond, a state may be met twice.
+REMEMBERED = 64_000_000
 
 
 def field_sizes(track: DataFrame) -> DataFrame:
@@ -102,31 +105,75 @@ def completers(entries: DataFrame, route: DataFrame) -> DataFrame:
     return entry_times(entries, route).groupBy("task_id").agg(F.count_if(_in_order(F.col("times"))).alias("completed"))
 
 
+def longest_chain(orders: np.ndarray, weights: np.ndarray, least: int) -> tuple[int, int, list[int]] | None:
+    """Length, pilots and zones of the longest part of a route that ``least`` pilots flew in order.
+
+    ``orders`` has a row per signature: the rank of each zone's entry time, 0 where it was not entered, the
+    goal last.  Zones are taken or left in route order, taken first.  What is left is given up where no part
+    of enough signatures' own longest chains can be longer, or as long with more pilots.
+    """
+    goal = orders[:, -1:]
+    alive = goal[:, 0] > 0
+    orders, weights = np.where(orders[alive] <= goal[alive], orders[alive], 0), weights[alive]
+    rows, zones = len(orders), orders.shape[1] - 1
+    if weights.sum() < least:
+        return None
+    ranks = np.arange(orders.max() + 1)
+    longest = np.zeros((zones + 1, rows, len(ranks)), np.int16)    # zones from i on, entered at rank v or later
+    for i in range(zones - 1, -1, -1):
+        rank = orders[:, i]
+        taken = 1 + longest[i + 1][np.arange(rows), rank]
+        fits = (rank > 0)[:, None] & (ranks <= rank[:, None])
+        longest[i] = np.where(fits, np.maximum(longest[i + 1], taken[:, None]), longest[i + 1])
+    best, route, seen, held = (0, 0), None, {}, 0
+    stack = [(0, np.arange(rows), np.zeros(rows, np.int64), ())]
+    while stack:
+        i, mine, last, picked = stack.pop()
+        reach = np.bincount(longest[i][mine, last], weights[mine])[::-1].cumsum()[::-1]
+        more = int(np.flatnonzero(reach >= least)[-1])
+        if (len(picked) + 1 + more, int(reach[more])) <= best:
+            continue
+        if i == zones:
+            best, route = (len(picked) + 1, int(reach[0])), picked
+            continue
+        state = i, mine.tobytes(), last.tobytes()
+        if seen.get(state, -1) >= len(picked):
+            continue
+        if held < REMEMBERED:
+            held += len(state[1]) + len(state[2])
+            seen[state] = len(picked)
+        stack.append((i + 1, mine, last, picked))
+        rank = orders[mine, i]
+        fits = (rank > 0) & (rank >= last)
+        if weights[mine[fits]].sum() >= least:
+            stack.append((i + 1, mine[fits], rank[fits], (*picked, i)))
+    return *best, [*route, zones]
+
+
 def longest_subroute(entries: DataFrame, route: DataFrame, sizes: DataFrame) -> DataFrame:
     """The longest part of the route, goal included, that enough pilots flew in order.
 
-    Pilots who entered the zones in the same order are one signature; every subset is
-    tried per signature.  Among equals the most flown, then the earliest zones win.
+    Pilots who entered the zones in the same order are one signature, counted by Spark; the search
+    over a task's signatures has no limit of zones.  Among equals the most flown, then the earliest
+    zones win.
     """
-    times = entry_times(entries, route).where(F.size("ixs").between(1, MAX_BODY_ZONES + 1))
-    rank_of = F.transform("times", lambda t: F.array_position(F.array_sort(F.array_distinct(F.array_compact("times"))), t))
-    kinds = times.groupBy("task_id", "ixs", rank_of.alias("order")).agg(F.count("*").alias("n"))
-    body = F.size("ixs") - 1
-    masks = kinds.withColumn("mask", F.explode(F.sequence(F.lit(0), F.expr("shiftleft(1, size(ixs) - 1) - 1")))
-                             ).withColumn("body", body)
-    used = F.transform(F.sequence(F.lit(0), F.col("body")), lambda i: (i == F.col("body")) | (
-        F.call_function("getbit", F.col("mask").cast("int"), F.greatest(F.lit(0), F.col("body") - 1 - i)) == 1))
-    picked = F.transform(F.filter(F.arrays_zip(F.col("order").alias("o"), used.alias("u")), lambda p: p["u"]), lambda p: p["o"])
-    flown = masks.withColumn("picked", picked).where(
-        ~F.exists("picked", lambda o: F.coalesce(o, F.lit(0)) == 0) & (F.col("picked") == F.array_sort("picked")))
-    counts = flown.groupBy("task_id", "ixs", "mask", "body").agg(
-        F.sum("n").alias("completed"), F.max(F.size("picked")).alias("length"))
-    enough = counts.join(sizes, "task_id").where(
-        F.col("completed") >= F.greatest(F.lit(3), F.bround(F.col("pilots") * 0.05, 0)))
-    best = enough.groupBy("task_id").agg(F.max(F.struct("length", "completed", "mask", "body", "ixs")).alias("b"))
-    keep = F.filter("b.ixs", lambda w, i: (i == F.col("b.body")) | (F.call_function(
-        "getbit", F.col("b.mask").cast("int"), F.greatest(F.lit(0), F.col("b.body") - 1 - i)) == 1))
-    return best.select("task_id", F.col("b.length").alias("length"), F.col("b.completed").alias("completed"), keep.alias("ixs"))
+    times = entry_times(entries, route).where("size(ixs) > 0")
+    rank_of = F.transform("times", lambda t: F.coalesce(F.array_position(
+        F.array_sort(F.array_distinct(F.array_compact("times"))), t), F.lit(0)))
+    kinds = times.groupBy("task_id", "ixs", rank_of.alias("order")).agg(F.count("*").alias("n")).where(
+        F.element_at("order", -1) > 0)
+    least = F.greatest(F.lit(3), F.bround(F.col("pilots") * 0.05, 0)).cast("long")
+    schema = f"task_id {route.schema['task_id'].dataType.simpleString()}, length int, completed long, ixs array<int>"
+
+    def search(rows: pd.DataFrame) -> pd.DataFrame:
+        found = longest_chain(np.stack(rows["order"].to_numpy()).astype(np.int64), rows["n"].to_numpy(), int(rows["least"].iloc[0]))
+        if found is None:
+            return pd.DataFrame({"task_id": [], "length": [], "completed": [], "ixs": []})
+        length, completed, picked = found
+        return pd.DataFrame({"task_id": rows["task_id"].iloc[:1].tolist(), "length": [length], "completed": [completed],
+                             "ixs": [[int(rows["ixs"].iloc[0][i]) for i in picked]]})
+
+    return kinds.join(sizes.select("task_id", least.alias("least")), "task_id").groupBy("task_id").applyInPandas(search, schema)
 
 
 def last_exits(events: DataFrame, before: DataFrame) -> DataFrame:

@@ -1,13 +1,15 @@
 """Nothing is dropped beyond the sizes that used to be limits, and exact distances are exact."""
 
+import itertools
 import json
+import random
 
 import numpy as np
 import pytest
 
 from pyspark.sql import functions as F
 from skyrank.functions import route
-from skyrank.operators import audit, exact, ingest, ranking, starts, tracks
+from skyrank.operators import audit, exact, ingest, matching, ranking, starts, tracks
 from skyrank.session import ensure_checkpoint_dir
 from skyrank.sources import igc, pages
 
@@ -115,3 +117,36 @@ class _Elsewhere:
 def test_a_cluster_without_a_shared_folder_is_refused():
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         ensure_checkpoint_dir(_Elsewhere())
+
+
+def _tries_every_subset(orders, weights, least):
+    """(length, pilots, zones) by trying all; among equals the earliest zones."""
+    goal, best = len(orders[0]) - 1, None
+    for used in itertools.product((1, 0), repeat=goal):
+        picked = [i for i in range(goal) if used[i]] + [goal]
+        n = sum(w for o, w in zip(orders, weights) if all(o[i] for i in picked) and [o[i] for i in picked] == sorted(o[i] for i in picked))
+        if n >= least and (best is None or (len(picked), n) > best[:2]):
+            best = (len(picked), n, picked)
+    return best
+
+
+def test_longest_chain_against_every_subset():
+    rng = random.Random(5)
+    for _ in range(150):
+        zones, rows = rng.randrange(1, 8), rng.randrange(1, 25)
+        orders = [[rng.choice([0, *range(1, zones + 1)]) if rng.random() < 0.5 else i + 1 for i in range(zones)] for _ in range(rows)]
+        weights = [rng.randrange(1, 4) for _ in range(rows)]
+        got = matching.longest_chain(np.array(orders), np.array(weights), 3)
+        assert got == _tries_every_subset(orders, weights, 3)
+
+
+def test_a_task_of_more_than_fifteen_zones_is_matched(spark):
+    """24 zones; all fly them in order, but each of 30 pilots misses zone 5 and enters zone 9 late."""
+    zones, rng = 24, random.Random(6)
+    rows = [("T", p, z, 10 * z if z != 9 else 10 * zones - 5) for p in range(30) for z in range(zones) if z != 5]
+    rows += [("T", 30 + p, z, rng.randrange(10 * zones)) for p in range(40) for z in range(zones) if rng.random() < 0.8]
+    entries = spark.createDataFrame(rows, "task_id string, pilot_id int, wp_ix int, entry_t bigint")
+    route = spark.createDataFrame([("T", list(range(zones)))], "task_id string, ixs array<int>")
+    sizes = spark.createDataFrame([("T", 70)], "task_id string, pilots bigint")
+    got = [tuple(r) for r in matching.longest_subroute(entries, route, sizes).collect()]
+    assert got == [("T", zones - 2, 30, [z for z in range(zones) if z not in (5, 9)])]
