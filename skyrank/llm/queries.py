@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (chat, decontaminate, langid, mixing, quality, sharding, simhash, substring_dedup, suffix_dedup,
+from . import (chat, decontaminate, fill_in_middle, langid, mixing, quality, sharding, simhash, substring_dedup, suffix_dedup,
                topk)
 from .staging import read, texts
 
@@ -78,6 +78,14 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = fill_in_middle.fill_in_middle(texts(read(spark, sf_dir, "documents")))
+    back = fill_in_middle.restored(F.col("output"), F.col("form"))
+    return done.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                       F.sha2(back, 256).alias("restored_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_chat_formatting, op2_quality_classifier, op3_exact_topk, op4_benchmark_decontamination, op5_sharding,
-    op6_substring_dedup, op7_source_mixing, op8_language_id, op9_suffix_array_dedup, op10_simhash_near_dedup)}
+    op6_substring_dedup, op7_source_mixing, op8_language_id, op9_suffix_array_dedup, op10_simhash_near_dedup,
+    op13_fill_in_middle)}

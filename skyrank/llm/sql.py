@@ -140,7 +140,29 @@ select doc_id, cast(octet_length(b) as bigint) as n_bytes, cast(coalesce(n_remov
 from d left join kept using (doc_id)
 """
 
+OP13 = """
+with d as (
+  select doc_id, coalesce(text, '') as t, cast(length(coalesce(text, '')) as bigint) as n,
+    sha256('1:' || coalesce(cast(doc_id as varchar), '')) as h
+  from documents),
+e as (
+  select *, cast('0x' || substr(h, 1, 8) as bigint) % (n + 1) as c1, cast('0x' || substr(h, 9, 8) as bigint) % (n + 1) as c2,
+    cast('0x' || substr(h, 17, 8) as bigint) % 100 as c3, cast('0x' || substr(h, 25, 8) as bigint) % 100 as c4
+  from d),
+f as (
+  select doc_id, t, n, least(c1, c2) as a, greatest(c1, c2) as b,
+    case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or c3 >= 90 then 'plain'
+         when c4 < 20 then 'spm' else 'psm' end as form
+  from e),
+g as (select *, substr(t, 1, a) as p, substr(t, a + 1, b - a) as m, substr(t, b + 1) as s from f)
+select doc_id, n, form, case when form <> 'plain' then a end as prefix_chars, case when form <> 'plain' then b - a end as middle_chars,
+  sha256(case form when 'plain' then t when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m
+         else '<S>' || s || '<P>' || p || '<M>' || m end) as output_sha256, sha256(t) as restored_sha256
+from g
+"""
+
 ORACLES = {
     "op1_chat_formatting": OP1, "op3_exact_topk": OP3, "op4_benchmark_decontamination": OP4, "op5_sharding": OP5,
     "op6_substring_dedup": OP6, "op7_source_mixing": OP7, "op9_suffix_array_dedup": OP9,
+    "op13_fill_in_middle": OP13,
 }
