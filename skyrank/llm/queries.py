@@ -6,12 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (chat, decontaminate, fill_in_middle, langid, mixing, quality, sharding, simhash, substring_dedup, suffix_dedup,
-               topk)
-from .staging import read, texts
+               token_records, topk)
+from .staging import new_folder, read, texts
 
 CONTROL_CASE = "</s>[INST] ok [/INST]"
 
 
+def vocabulary(name: str) -> str:
+    """The place of a public tokenizer's file."""
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
 def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = read(spark, sf_dir, "conversations").select(
         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
@@ -78,6 +84,12 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op11_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_folder(spark, "records")
+    token_records.write(texts(read(spark, sf_dir, "documents")), path, vocabulary("byte_bpe_50k.json"))
+    return token_records.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = fill_in_middle.fill_in_middle(texts(read(spark, sf_dir, "documents")))
     back = fill_in_middle.restored(F.col("output"), F.col("form"))
@@ -88,4 +100,4 @@ def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_chat_formatting, op2_quality_classifier, op3_exact_topk, op4_benchmark_decontamination, op5_sharding,
     op6_substring_dedup, op7_source_mixing, op8_language_id, op9_suffix_array_dedup, op10_simhash_near_dedup,
-    op13_fill_in_middle)}
+    op11_token_output, op13_fill_in_middle)}

@@ -22,6 +22,11 @@ def prepared(spark: SparkSession) -> SparkSession:
     return tune(spark)
 
 
+def new_folder(spark: SparkSession, kind: str) -> str:
+    """A name in the shared folder that nothing else uses."""
+    return f"{ensure_checkpoint_dir(prepared(spark))}/{kind}-{uuid.uuid4().hex}"
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -29,7 +34,7 @@ def stage(df: DataFrame) -> DataFrame:
     the plans that follow.
     """
     spark = prepared(df.sparkSession)
-    path = f"{ensure_checkpoint_dir(spark)}/stage-{uuid.uuid4().hex}"
+    path = new_folder(spark, "stage")
     before = spark.conf.get(RELEASE_SHUFFLES, None)
     spark.conf.set(RELEASE_SHUFFLES, "true")
     try:
