@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (chat, decontaminate, fill_in_middle, langid, mixing, quality, sharding, simhash, substring_dedup, suffix_dedup,
+from . import (alignment, chat, decontaminate, fill_in_middle, langid, mixing, quality, sharding, simhash, substring_dedup, suffix_dedup,
                token_records, topk)
 from .staging import new_folder, read, texts
 
@@ -90,6 +90,12 @@ def op11_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_records.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = alignment.align(texts(read(spark, sf_dir, "documents")), vocabulary("byte_bpe_50k.json"),
+                           vocabulary("piece_bpe_32k.model"), digest=True)
+    return done.withColumnRenamed("groups", "groups_sha256")
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = fill_in_middle.fill_in_middle(texts(read(spark, sf_dir, "documents")))
     back = fill_in_middle.restored(F.col("output"), F.col("form"))
@@ -100,4 +106,4 @@ def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_chat_formatting, op2_quality_classifier, op3_exact_topk, op4_benchmark_decontamination, op5_sharding,
     op6_substring_dedup, op7_source_mixing, op8_language_id, op9_suffix_array_dedup, op10_simhash_near_dedup,
-    op11_token_output, op13_fill_in_middle)}
+    op11_token_output, op12_tokenizer_alignment, op13_fill_in_middle)}
