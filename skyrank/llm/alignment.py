@@ -27,13 +27,14 @@ from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
-from .arrow import gathered, repeat_ranges
+from .arrow import gathered, raw, repeat_ranges
 from .staging import stage
 
 CHUNK_BYTES = 4_000_000
@@ -73,13 +74,19 @@ def unpack(blob: bytes) -> list[np.ndarray]:
 
 @lru_cache(2)
 def _spellings(path_a: str, path_b: str) -> tuple:
-    return tokens.byte_level_lengths(path_a), tokens.piece_lengths(path_b)
+    return tokens.byte_level_spellings(path_a), tokens.piece_spellings(path_b)
 
 
 @lru_cache(1)
-def _numerals(limit: int) -> list[bytes]:
+def _numerals(limit: int) -> pa.Array:
     """Every id in decimal, in front of each separator."""
-    return [b"%d%s" % (i, mark) for mark in (b",", b"|", b";", b"") for i in range(limit)]
+    return pa.array([b"%d%s" % (i, mark) for mark in (b",", b"|", b";", b"") for i in range(limit)], pa.large_binary())
+
+
+def _text(array: pa.Array) -> tuple[bytes, np.ndarray]:
+    """The bytes of all entries of a binary array, and the n + 1 offsets into them."""
+    _, offsets, data = array.buffers()
+    return data.to_pybytes() if data is not None else b"", np.frombuffer(offsets, np.int64)[array.offset:array.offset + len(array) + 1]
 
 
 def part_of(b: np.ndarray) -> np.ndarray:
@@ -87,52 +94,50 @@ def part_of(b: np.ndarray) -> np.ndarray:
     return ((b.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % PARTS
 
 
-def aligned_chunk(texts: list[str | None], path_a: str, path_b: str) -> dict:
+def _spelled(ids: np.ndarray, sizes: np.ndarray, entries: pa.Array, data: bytes, bounds: np.ndarray) -> np.ndarray:
+    """Which documents are spelled exactly by their tokens."""
+    written, offsets = _text(entries.take(pa.array(ids)))
+    at = offsets[np.concatenate([[0], np.cumsum(sizes)])].tolist()
+    return np.array([written[a:b] == data[c:d] for a, b, c, d in zip(at[:-1], at[1:], bounds[:-1].tolist(), bounds[1:].tolist())], bool)
+
+
+def aligned_chunk(text: pa.Array, path_a: str, path_b: str) -> dict:
     """Groups and links of some documents: columns per document and the pair-document records."""
     (entry_a, long_a), (entry_b, long_b) = _spellings(path_a, path_b)
-    n = len(texts)
-    spaced = [" " + t if t else "" for t in texts]
-    given = [s.encode() for s in spaced]
-    some = [i for i, s in enumerate(spaced) if s]
-    found = []
-    for memo, entries in ((tokens.byte_bpe(path_a, True), entry_a), (tokens.pieces(path_b), entry_b)):
-        ids = [np.zeros(0, np.int64)] * n
-        for i, packed in zip(some, memo.encode([spaced[i] for i in some])):
-            ids[i] = np.frombuffer(packed, "<u4").astype(np.int64)
-        found.append((ids, [b"".join(map(entries.__getitem__, x.tolist())) == g for x, g in zip(ids, given)]))
-    good = np.array([bool(g) and a and b for g, a, b in zip(given, found[0][1], found[1][1])], bool)
-    nothing = np.zeros(0, np.int64)
-    sides, sizes = [], []
-    for (ids, _), lengths in zip(found, (long_a, long_b)):
-        kept = [x if ok else nothing for x, ok in zip(ids, good)]
-        sizes.append(np.array([len(x) for x in kept], np.int64))
-        flat = np.concatenate([*kept, nothing])
-        sides.append((flat, np.cumsum(lengths[flat])))    # ends in the bytes of all good documents together
-    (a, end_a), (b, end_b) = sides
-    n_a, n_b = sizes
-    ends = np.union1d(end_a, end_b)
-    link_a, link_b = a[np.searchsorted(end_a, ends)], b[np.searchsorted(end_b, ends)]
-    link_doc = np.repeat(np.arange(n), n_a)[np.searchsorted(end_a, ends)]
-    both = np.intersect1d(end_a, end_b)
+    n = len(text)
+    text = pc.fill_null(text.cast(pa.large_string()), "")
+    none, space = pa.scalar("", pa.large_string()), pa.scalar(" ", pa.large_string())
+    data, bounds = raw(pc.if_else(pc.equal(text, none), none, pc.binary_join_element_wise(space, text, none)))
+    given, good = data.tobytes(), np.diff(bounds) > 0
+    found = [memo.encode(data, bounds) for memo in (tokens.byte_bpe(path_a, True), tokens.pieces(path_b))]
+    for (ids, sizes), entries in zip(found, (entry_a, entry_b)):
+        good &= _spelled(ids, sizes, entries, given, bounds)
+    (a, n_a), (b, n_b) = [(ids[np.repeat(good, sizes)], np.where(good, sizes, 0)) for ids, sizes in found]
+    end_a, end_b = np.cumsum(long_a[a]), np.cumsum(long_b[b])    # in the bytes of all good documents together
+    doc_a, doc_b = np.repeat(np.arange(n), n_a), np.repeat(np.arange(n), n_b)
+    ends = np.concatenate([end_a, end_b])
+    ends.sort(kind="stable")
+    twice = np.diff(ends, append=-1) == 0
+    both, ends = ends[twice], ends[~twice]
+    at_a = np.searchsorted(end_a, ends)    # the token over each link
+    link_a, link_b, link_doc = a[at_a], b[np.searchsorted(end_b, ends)], doc_a[at_a]
     group_a, group_b = np.searchsorted(both, end_a), np.searchsorted(both, end_b)    # the group of every token
-    doc_of_group = np.repeat(np.arange(n), n_a)[np.searchsorted(end_a, both)]
-    n_groups = np.bincount(doc_of_group, minlength=n)
-    # a1,a2|b1,b2; with the mark that stands behind each id
+    # a1,a2|b1,b2; - every id with the mark behind it, at its place
     limit = max(len(entry_a), len(entry_b))
-    last_a = np.diff(group_a, append=-1) != 0
-    last_b = np.diff(group_b, append=-1) != 0
-    doc_b = np.repeat(np.arange(n), n_b)
-    final = np.diff(doc_b, append=-1) != 0
-    mark = np.concatenate([np.where(last_a, 1, 0), np.where(final, 3, np.where(last_b, 2, 0))])
-    code = (np.concatenate([a, b]) + mark * limit)[np.argsort(np.concatenate([2 * group_a, 2 * group_b + 1]), kind="stable")]
-    written = list(map(_numerals(limit).__getitem__, code.tolist()))
-    at = np.concatenate([[0], np.cumsum(n_a + n_b)]).tolist()
-    groups = [b"".join(written[x:y]) for x, y in zip(at[:-1], at[1:])]
-    # pair-document records
-    pair = link_b * _A_LIMIT + link_a
-    record, links = np.unique(pair * n + link_doc, return_counts=True) if n else (nothing, nothing)
-    return {"n_a": n_a, "n_b": n_b, "n_groups": n_groups, "n_links": np.bincount(link_doc, minlength=n), "groups": groups,
-            "pair": record // max(n, 1), "doc": record % max(n, 1), "links": links}
+    mark_a = np.where(np.diff(group_a, append=-1) != 0, 1, 0)
+    mark_b = np.where(np.diff(doc_b, append=-1) != 0, 3, np.where(np.diff(group_b, append=-1) != 0, 2, 0))
+    code = np.zeros(len(a) + len(b), np.int64)
+    code[np.arange(len(a)) + np.searchsorted(group_b, group_a)] = a + mark_a * limit
+    code[np.arange(len(b)) + np.searchsorted(group_a, group_b, "right")] = b + mark_b * limit
+    written, offsets = _text(_numerals(limit).take(pa.array(code)))
+    at = offsets[np.concatenate([[0], np.cumsum(n_a + n_b)])].tolist()
+    record = (link_b * _A_LIMIT + link_a) * n + link_doc    # pair-document records
+    record.sort()
+    first = np.flatnonzero(np.diff(record, prepend=-1) != 0)
+    links = np.diff(first, append=len(record))
+    record = record[first]
+    return {"n_a": n_a, "n_b": n_b, "n_groups": np.bincount(doc_a[mark_a == 1], minlength=n), "n_links": np.bincount(link_doc, minlength=n),
+            "groups": [written[x:y] for x, y in zip(at[:-1], at[1:])], "pair": record // n, "doc": record % n, "links": links}
 
 
 def runs_of(done: dict, block: int = BLOCK) -> Iterator[tuple[int, int, bytes, bytes]]:
@@ -157,7 +162,7 @@ def _encode(path_a: str, path_b: str, digest: bool, chunk_bytes: int, block: int
         task = TaskContext.get().partitionId()
         for number, batch in enumerate(gathered(batches, chunk_bytes)):
             chunk, n = f"{task}-{number}", batch.num_rows
-            done = aligned_chunk(batch.column("text").to_pylist(), path_a, path_b)
+            done = aligned_chunk(batch.column("text"), path_a, path_b)
             text = [hashlib.sha256(g).hexdigest() if g else "" for g in done["groups"]] if digest else [g.decode() for g in done["groups"]]
             none = lambda kind, k: pa.nulls(k, kind)
             yield pa.RecordBatch.from_arrays(

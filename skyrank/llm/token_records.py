@@ -1,7 +1,8 @@
 """Token ids as files of length-delimited records, with a separate offset index.
 
 A record is framed as: length (8 bytes), masked CRC-32C of those 8 bytes, the data, masked CRC-32C of the data;
-all numbers are little-endian.  The data of a record are the ids of one document, 4 bytes each.  Beside every
+all numbers are little-endian.  The data of a record are the ids of one document, 2 bytes each where the vocabulary
+allows it and 4 otherwise; the manifest tells which.  Beside every
 record file lies an index of fixed-width entries (doc_id, whether it is null, offset, ids), so single
 records can be read in any order.
 
@@ -30,17 +31,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from . import crc, tokens
-from .arrow import slices
+from .arrow import gathered, raw, slices
 
 FILE_BYTES = 128_000_000
 READ_BYTES = 8_000_000
-TEXT_BYTES = 4_000_000
+TEXT_BYTES = 8_000_000
 END_ID = 0
 MANIFEST = "manifest.json"
 INDEX = np.dtype([("doc_id", "<i8"), ("is_null", "<i8"), ("offset", "<i8"), ("n_tokens", "<i8")])
 HEAD, TAIL = 12, 4    # bytes of a frame before and behind the data
 RECORDS = "doc_id long, start long, n_tokens long, ids binary"
-ENTRIES = "doc_id long, start long, n_tokens long, file string, offset long"
+ENTRIES = "doc_id long, start long, n_tokens long, file string, offset long, width int"
 
 
 def opened(path: str) -> tuple[fs.FileSystem, str]:
@@ -81,16 +82,22 @@ def unframed(block: bytes, offsets: np.ndarray, sizes: np.ndarray) -> list[bytes
     return [block[a:a + n] for a, n in zip((offsets + HEAD).tolist(), sizes.tolist())]
 
 
+def widened(data: list[bytes], width: int) -> pa.Array:
+    """The ids of records as 4 bytes each."""
+    return pa.array([np.frombuffer(x, f"<u{width}").astype("<u4").tobytes() for x in data], pa.binary())
+
+
 @dataclass
 class _Written(WriterCommitMessage):
-    """The files of one task in order: [partition, number, name, records, ids, bytes]."""
+    """The files of one task in order: [partition, number, name, records, ids, bytes], and the bytes of an id."""
 
     files: list[list]
+    width: int
 
 
 class _Writer(DataSourceArrowWriter):
     def __init__(self, options: dict):
-        self.root, self.limit = options["path"], int(options.get("file_bytes", FILE_BYTES))
+        self.root, self.limit, self.width = options["path"], int(options["file_bytes"]), int(options["width"])
         self.run = uuid.uuid4().hex
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> _Written:
@@ -120,7 +127,7 @@ class _Writer(DataSourceArrowWriter):
                 index["doc_id"] = ids.fill_null(0).to_numpy(zero_copy_only=False)
                 index["is_null"] = ids.is_null().to_numpy(zero_copy_only=False)
                 index["offset"] = at + np.cumsum(sizes) - sizes
-                index["n_tokens"] = (sizes - HEAD - TAIL) // 4
+                index["n_tokens"] = (sizes - HEAD - TAIL) // self.width
                 entries.append(index)
                 out.write(b"".join(pieces))
                 at += int(sizes.sum())
@@ -129,7 +136,7 @@ class _Writer(DataSourceArrowWriter):
                     out = None
         if out is not None:
             close()
-        return _Written(files)
+        return _Written(files, self.width)
 
     def commit(self, messages: list) -> None:
         """One small entry per file; they become visible together."""
@@ -140,7 +147,7 @@ class _Writer(DataSourceArrowWriter):
             start += ids
         where.create_dir(root, recursive=True)
         with where.open_output_stream(f"{root}/{MANIFEST}.{self.run}") as f:
-            f.write(json.dumps({"files": files, "ids": start}).encode())
+            f.write(json.dumps({"files": files, "ids": start, "width": self.width}).encode())
         where.move(f"{root}/{MANIFEST}.{self.run}", f"{root}/{MANIFEST}")
 
     def abort(self, messages: list) -> None:
@@ -155,6 +162,7 @@ class _Writer(DataSourceArrowWriter):
 class _File(InputPartition):
     name: str
     start: int
+    width: int
 
 
 class _Reader(DataSourceReader):
@@ -164,8 +172,8 @@ class _Reader(DataSourceReader):
     def partitions(self) -> list[_File]:
         where, root = opened(self.root)
         with where.open_input_stream(f"{root}/{MANIFEST}") as f:
-            files = json.loads(f.read())["files"]
-        return [_File(x["name"], x["start"]) for x in files]
+            manifest = json.loads(f.read())
+        return [_File(x["name"], x["start"], manifest["width"]) for x in manifest["files"]]
 
     def read(self, partition: _File | None) -> Iterator[pa.RecordBatch]:
         if partition is None:
@@ -179,16 +187,18 @@ class _Reader(DataSourceReader):
         if self.entries:
             yield pa.RecordBatch.from_arrays(
                 [doc(0, len(n)), pa.array(start), pa.array(n), pa.array([partition.name] * len(n), pa.string()),
-                 pa.array(index["offset"].astype(np.int64))], names=["doc_id", "start", "n_tokens", "file", "offset"])
+                 pa.array(index["offset"].astype(np.int64)), pa.array([partition.width] * len(n), pa.int32())],
+                names=["doc_id", "start", "n_tokens", "file", "offset", "width"])
             return
-        ends = index["offset"] + 4 * n + HEAD + TAIL
+        sizes = partition.width * n
+        ends = index["offset"] + sizes + HEAD + TAIL
         with where.open_input_stream(f"{root}/{partition.name}.rec") as f:
             a = 0
             while a < len(n):
                 base = int(index["offset"][a])
                 b = max(a + 1, int(np.searchsorted(ends, base + READ_BYTES, "right")))
-                data = unframed(f.read(int(ends[b - 1]) - base), index["offset"][a:b].astype(np.int64) - base, 4 * n[a:b])
-                yield pa.RecordBatch.from_arrays([doc(a, b), pa.array(start[a:b]), pa.array(n[a:b]), pa.array(data, pa.binary())],
+                data = unframed(f.read(int(ends[b - 1]) - base), index["offset"][a:b].astype(np.int64) - base, sizes[a:b])
+                yield pa.RecordBatch.from_arrays([doc(a, b), pa.array(start[a:b]), pa.array(n[a:b]), widened(data, partition.width)],
                                                  names=["doc_id", "start", "n_tokens", "ids"])
                 a = b
 
@@ -210,16 +220,19 @@ class TokenRecords(DataSource):
         return _Writer(self.options)
 
 
-def encoded(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
-    """(doc_id, ids) of (doc_id, text): the ids of each whole text and the end id, as bytes."""
-    end = np.array([end_id], "<u4").tobytes()
+def encoded(docs: DataFrame, tokenizer: str, end_id: int, width: int) -> DataFrame:
+    """(doc_id, ids) of (doc_id, text): the ids of each whole text and the end id, ``width`` bytes each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = tokens.byte_bpe(tokenizer)
-        for part in slices(batches, TEXT_BYTES):
-            found = memo.encode([t or "" for t in part.column("text").to_pylist()])
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([x + end for x in found], pa.binary())],
-                                             names=["doc_id", "ids"])
+        for part in gathered(batches, TEXT_BYTES):
+            ids, sizes = memo.encode(*raw(part.column("text")))
+            n = len(sizes)
+            ended = np.full(len(ids) + n, end_id, f"<u{width}")
+            ended[np.arange(len(ids)) + np.repeat(np.arange(n), sizes)] = ids
+            bounds = np.concatenate([[0], np.cumsum(sizes + 1)]) * width
+            records = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(bounds), pa.py_buffer(ended)]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), records], names=["doc_id", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary")
 
@@ -234,8 +247,9 @@ def in_order(docs: DataFrame) -> DataFrame:
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, file_bytes: int = FILE_BYTES) -> None:
     """Encode (doc_id, text) and write the record files."""
     docs.sparkSession.dataSource.register(TokenRecords)
-    encoded(in_order(docs), tokenizer, end_id).write.format("token_records").mode("append").option(
-        "file_bytes", str(file_bytes)).save(path)
+    width = 2 if max(tokens.largest_id(tokenizer), end_id) < 1 << 16 else 4
+    encoded(in_order(docs), tokenizer, end_id, width).write.format("token_records").mode("append").options(
+        file_bytes=str(file_bytes), width=str(width)).save(path)
 
 
 def read(spark: SparkSession, path: str, part: str = "records") -> DataFrame:
@@ -252,7 +266,7 @@ def shuffled(spark: SparkSession, path: str, seed: int) -> DataFrame:
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where, root = opened(path)
         for batch in batches:
-            names, at, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("file", "offset", "n_tokens"))
+            names, at, n, width = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("file", "offset", "n_tokens", "width"))
             begin = 0
             while begin < len(n):    # as many records as fit in memory; each file is read front to back
                 end = max(begin + 1, begin + int(np.searchsorted(np.cumsum(4 * n[begin:]), READ_BYTES, "right")))
@@ -262,9 +276,10 @@ def shuffled(spark: SparkSession, path: str, seed: int) -> DataFrame:
                     with where.open_input_file(f"{root}/{name}.rec") as f:
                         for i in sorted(some[names[begin:end] == name].tolist(), key=lambda i: at[i]):
                             f.seek(int(at[i]))
-                            data[i - begin] = unframed(f.read(int(4 * n[i]) + HEAD + TAIL), np.zeros(1, np.int64), 4 * n[i:i + 1])[0]
+                            size = width[i:i + 1].astype(np.int64) * n[i]
+                            data[i - begin] = unframed(f.read(int(size[0]) + HEAD + TAIL), np.zeros(1, np.int64), size)[0]
                 part = batch.slice(begin, end - begin)
-                yield pa.RecordBatch.from_arrays([part.column(c) for c in ("doc_id", "start", "n_tokens")] + [pa.array(data, pa.binary())],
+                yield pa.RecordBatch.from_arrays([part.column(c) for c in ("doc_id", "start", "n_tokens")] + [widened(data, int(width[0]))],
                                                  names=["doc_id", "start", "n_tokens", "ids"])
                 begin = end
 
