@@ -14,7 +14,6 @@ cte("ev_gate", """select o.*, case when coalesce(k.known_at > o.seq, true) then
     then 'before setup' else 'accepted' end outcome from ev_one o left join (select comp, pilot_id, min(seq) known_at from ev_one where kind = 'pilot.upsert' group by 1, 2) k using (comp, pilot_id)
     left join (select comp, min(seq) filter (kind = 'task.upsert') task_at, min(seq) filter (kind = 'competition.upsert') params_at from ev_one group by 1) s using (comp)
     where kind = 'position'""")
-cte("ev_batch", "select comp, cast(floor(arrival / 1000) as bigint) batch, max(seq) top from ev_ok group by 1, 2")
 cte("export_rows", f"""select task_id comp, 0 k, 'competition.upsert' as kind, null as pilot_id, midnight as t from task_rows union all
     select task_id, 1, 'task.upsert', null, midnight from task_rows union all select task_id, 2, 'pilot.upsert', pilot_id, midnight from pilots join task_rows using (task_id)
     union all select task_id, 3, 'position', pilot_id, t from fixes union all select task_id, 4, 'competition.status', null, max(t) from fixes group by 1""")
@@ -22,10 +21,11 @@ cte("export_rows", f"""select task_id comp, 0 k, 'competition.upsert' as kind, n
 SQL = {
     "event_stream_read": "select arrival, comp competition_id, eid event_id, case when event_id % 53 <> 3 then seq end as sequence, kind as type from ev_all",
     "event_validate": "select reason, count(*) n from ev_reason group by 1",
-    "event_dedupe": "select comp competition_id, eid event_id, seq as sequence, kind as type from ev_one",
-    "sequence_guard": """select comp competition_id, batch, count(*) filter (reached is null or seq > reached) accepted, count(*) filter (seq <= reached) refused from (
-        select e.comp, b.batch, e.seq, b.reached from ev_ok e join (select *, max(top) over (partition by comp order by batch rows between unbounded preceding and 1 preceding) reached
-        from ev_batch) b on b.comp = e.comp and b.batch = cast(floor(e.arrival / 1000) as bigint)) group by 1, 2""",
+    "event_dedupe": """select comp competition_id, eid event_id, seq as sequence, kind as type, arrival, observed_at, alt_gps from (select *,
+        strftime(to_timestamp(epoch) at time zone 'UTC', '%Y-%m-%dT%H:%M:%SZ') observed_at, row_number() over (partition by comp, eid order by arrival, alt_gps) n
+        from (select * replace (cast(trunc(coalesce(alt_gps, 0)) as bigint) as alt_gps) from ev_ok)) where n = 1""",
+    "sequence_guard": """select comp competition_id, count(distinct eid) accepted, count(*) - count(distinct eid) refused, max(seq) top
+        from ev_ok group by 1""",
     "setup_state": """select comp competition_id, kind as type, case when kind = 'pilot.upsert' then pilot_id else '' end as key, max(seq) as sequence
         from ev_ok where kind <> 'position' group by 1, 2, 3""",
     "position_gate": "select comp competition_id, outcome, count(*) n from ev_gate group by 1, 2",

@@ -35,7 +35,7 @@ class Race:
     def __init__(self, spark: SparkSession, sf_dir: str):
         tune(spark)
         ensure_checkpoint_dir(spark)
-        self.spark, self.views = spark, Views(spark, sf_dir)
+        self.spark, self.sf_dir, self.views = spark, sf_dir, Views(spark, sf_dir)
 
     @cached_property
     def s(self) -> Scoring:

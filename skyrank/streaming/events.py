@@ -6,6 +6,7 @@ one micro-batch alike; only maxima per key are carried from batch to batch.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,8 +23,17 @@ ROWS_PER_BUCKET = 1_000_000
 
 
 def read_log(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
-    """Tail a folder of JSON-lines files; the checkpoint remembers what was read."""
-    return spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(path)
+    """Tail a folder of JSON-lines files; the checkpoint remembers what was read.
+
+    Lines of plain text have no offsets of their own; those of one file arrive together.
+    """
+    return spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(path).select(
+        "value", F.unix_millis("_metadata.file_modification_time").alias("arrival"))
+
+
+def read_offset_log(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
+    """Tail a folder of (arrival, value) files, where ``arrival`` is the line's offset in the log."""
+    return spark.readStream.schema("arrival bigint, value string").option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
 def checked(lines: DataFrame) -> DataFrame:
@@ -48,18 +58,55 @@ def split_log(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.where("reason is null").drop("reason"), rows.where("reason is not null").select("value", "reason")
 
 
-def drop_repeats_stream(events: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Ignore an event id already seen within the delay (state is bounded by the watermark)."""
-    timed = events.withColumn("observed", F.try_to_timestamp("observed_at"))
-    return timed.withWatermark("observed", delay).dropDuplicatesWithinWatermark(["competition_id", "event_id"])
+#: What decides between events that claim the same id or sequence: the first to arrive, then the lesser line.
+ORDER = ["arrival", "sequence", "observed_at", "type", "data"]
 
 
 def drop_repeats(events: DataFrame) -> DataFrame:
-    """First event per id, by sequence: a keyed aggregate."""
-    cols = [c for c in events.columns if c not in ("competition_id", "event_id")]
-    return events.groupBy("competition_id", "event_id").agg(
-        F.min(F.struct(F.col("sequence").alias("s"), *[c for c in cols if c != "sequence"])).alias("f")).select(
-        "competition_id", "event_id", F.col("f.s").alias("sequence"), *[F.col(f"f.{c}").alias(c) for c in cols if c != "sequence"])
+    """First event per id, by arrival: a keyed aggregate."""
+    rest = [c for c in events.columns if c not in ("competition_id", "event_id", *ORDER)]
+    return events.groupBy("competition_id", "event_id").agg(F.min(F.struct(*ORDER, *rest)).alias("f")).select(
+        "competition_id", "event_id", *[F.col(f"f.{c}").alias(c) for c in (*ORDER, *rest)])
+
+
+def first_of_sequence(events: DataFrame) -> DataFrame:
+    """(competition_id, sequence, event_id): the event a sequence belongs to, by arrival."""
+    return events.groupBy("competition_id", "sequence").agg(F.min_by("event_id", F.struct(*ORDER, "event_id")).alias("event_id"))
+
+
+REMEMBERED = "value string, arrival bigint, " + ENVELOPE[7:-1].replace(":", " ").replace(",", ", ") + ", reason string, repeated boolean"
+
+
+def _remember(ttl_s: int):
+    """One state row per event id: the id was met.  It is forgotten ``ttl_s`` after its last arrival."""
+
+    def step(key, batches, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(batches)).sort_values(ORDER, kind="stable")
+        rows["repeated"] = True
+        if not state.exists:
+            rows.iloc[0, rows.columns.get_loc("repeated")] = False
+        state.update((1,))
+        state.setTimeoutTimestamp(max(int(rows.pop("heard").max().timestamp() * 1000), state.getCurrentWatermarkMs()) + ttl_s * 1000)
+        yield rows.drop(columns=["key_competition", "key_event"])[[c.split()[0] for c in REMEMBERED.split(", ")]]
+
+    return step
+
+
+def remember_ids(lines: DataFrame, ttl_s: int = 86_400) -> DataFrame:
+    """A stream of lines, checked, with ``repeated`` set where an event id was met in this batch or an earlier one.
+
+    Ids live in keyed state, one group each, in the checkpoint; the clock that forgets them is that of arrival, so
+    no event is ever too late.  A malformed line has no id and is a group of its own.
+    """
+    rows = checked(lines).withColumns({
+        "key_competition": F.coalesce("competition_id", F.lit("")),
+        "key_event": F.when(F.col("reason").isNull(), F.coalesce("event_id", F.lit(""))).otherwise(F.concat(F.lit("?"), F.sha2("value", 256))),
+        "heard": F.current_timestamp()})
+    return rows.withWatermark("heard", "1 second").groupBy("key_competition", "key_event").applyInPandasWithState(
+        _remember(ttl_s), REMEMBERED, "met int", "append", "EventTimeTimeout")
 
 
 TAKEN = "competition_id string, low bigint, high bigint"
@@ -71,7 +118,7 @@ def guard_batch(events: DataFrame, taken: DataFrame) -> DataFrame:
     ``taken`` holds the sequences of earlier batches as ranges.  A late event is accepted; what comes a
     second time, in the batch or after it, is not.
     """
-    first = events.groupBy("competition_id", "sequence").agg(F.min("event_id").alias("first_id"))
+    first = first_of_sequence(events).withColumnRenamed("event_id", "first_id")
     ranges = taken.groupBy("competition_id").agg(F.array_sort(F.collect_list(F.struct("low", "high"))).alias("ranges"))
     rows = events.join(first, ["competition_id", "sequence"]).join(ranges, "competition_id", "left")
     again = F.coalesce(F.exists("ranges", lambda r: F.col("sequence").between(r["low"], r["high"])), F.lit(False))
@@ -101,15 +148,6 @@ def known_after(known: DataFrame, accepted: DataFrame) -> DataFrame:
     return known.unionByName(new).groupBy("competition_id", "kind", "pilot_id").agg(F.min("known_at").alias("known_at"))
 
 
-def guard_log(events: DataFrame, batch: str = "batch") -> DataFrame:
-    """The guard over a log cut into numbered batches: the maximum of all earlier batches decides."""
-    tops = events.groupBy("competition_id", batch).agg(F.max("sequence").alias("top"))
-    before = spread_running_max(tops, ["competition_id"], F.floor(F.col(batch) / 10000), [F.col(batch)], F.col("top"), "reached"
-                                ).select("competition_id", batch, "reached")
-    return events.join(before, ["competition_id", batch]).withColumn(
-        "accepted", F.col("reached").isNull() | (F.col("sequence") > F.col("reached"))).drop("reached")
-
-
 def setup_state(events: DataFrame) -> DataFrame:
     """Latest competition, task, pilot and status document per key."""
     rows = events.where("type <> 'position'").withColumn("key", F.when(

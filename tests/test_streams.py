@@ -36,7 +36,7 @@ def test_micro_batches_store_what_one_batch_stores(spark, log, tmp_path):
     stored = tables.read("fixes", live.FIXES)
     assert sorted(r.t for r in stored.collect()) == [100, 101, 103]
     reasons = {r.reason for r in tables.read("dead_letters", "value string, reason string").collect()}
-    assert {"not an object", "data is not an object", "sequence already taken", "unknown pilot"} <= reasons
+    assert {"not an object", "data is not an object", "event id already seen", "unknown pilot"} <= reasons
     batch = live.batch_tables(spark.createDataFrame([(x,) for x in lines], "value string"))
     assert batch.exceptAll(stored.select(*batch.columns)).count() == 0
     assert stored.select(*batch.columns).exceptAll(batch).count() == 0
@@ -61,7 +61,7 @@ def test_late_rows_and_late_setup_arrive_in_the_end(spark, tmp_path):
     assert touched == {0: [], 1: [], 2: [("C", "a")], 3: [("C", "a")], 4: [("C", "a")]}
     assert [r.t for r in tables.last("waiting", live.FIXES, 5).collect()] == [104]
     assert sorted((r.low, r.high) for r in tables.last("taken", ev.TAKEN, 5).collect()) == [(1, 4), (9, 13)]
-    letters = tables.read("dead_letters", "value string, reason string").where("reason = 'sequence already taken'").collect()
+    letters = tables.read("dead_letters", "value string, reason string").where("reason = 'event id already seen'").collect()
     assert sorted(json.loads(r.value)["sequence"] for r in letters) == [9, 10, 12]
 
 
@@ -81,15 +81,30 @@ def test_a_stream_publishes_the_tasks_it_touches(spark, tmp_path):
     assert sum(len(d["results"]) for d in docs) == fixes.select("pilot_id").distinct().count()
 
 
-def test_stream_drops_repeats_and_watches_silence(spark, log, tmp_path):
-    folder, _ = log
-    good, _ = ev.split_log(ev.read_log(spark, str(folder), 10))
-    kept = ev.drop_repeats_stream(good)
-    q = kept.writeStream.format("memory").queryName("kept").option(
-        "checkpointLocation", str(tmp_path / "c1")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    ids = [r.event_id for r in spark.table("kept").collect()]
-    assert len(ids) == len(set(ids)) == 8
+def test_ids_and_sequences_are_remembered_over_batches_and_restarts(spark, tmp_path):
+    """The first arrival decides, inside a batch and between batches, however the log is cut."""
+    pos = lambda n, eid, alt: line(n, "position", {"pilot_id": "a", "timestamp": 100 + n, "lat": 42.0, "lon": 1.0, "alt_gps": alt}, eid=eid)
+    rows = [line(1, "competition.upsert", {}), line(2, "task.upsert", {}), line(3, "pilot.upsert", {"pilot_id": "a"}),
+            pos(10, "x", 900), pos(10, "x", 777), pos(11, "y", 888), pos(11, "y", 111), pos(20, "x", 905), pos(11, "z", 100),
+            pos(21, "z", 906), pos(12, "w", 907), "no json", "no json", pos(12, "w", 1)]
+    want = [(10, 900), (11, 888), (12, 907)]
+    for size in (4, len(rows)):
+        root = tmp_path / f"by{size}"
+        schema = "arrival bigint, value string"
+        for i in range(0, len(rows), size):
+            spark.createDataFrame(list(enumerate(rows))[i:i + size], schema).coalesce(1).write.mode("append").parquet(str(root / "log"))
+            if size == 4:    # each batch is a restart from the checkpoint
+                live.run_available(ev.read_offset_log(spark, str(root / "log")), live.LiveTables(spark, str(root)), str(root / "checkpoint"))
+        tables = live.LiveTables(spark, str(root))
+        live.run_available(ev.read_offset_log(spark, str(root / "log")), tables, str(root / "checkpoint"))
+        assert sorted((r.sequence, r.alt_gps) for r in tables.read("fixes", live.FIXES).collect()) == want
+        reasons = sorted(r.reason for r in tables.read("dead_letters", "value string, reason string").collect())
+        assert reasons == ["event id already seen"] * 5 + ["not an object"] * 2 + ["sequence already taken"]
+        batch = live.batch_tables(spark.createDataFrame(list(enumerate(rows)), schema))
+        assert sorted((r.sequence, r.alt_gps) for r in batch.collect()) == want
+
+
+def test_stream_watches_silence(spark, tmp_path):
     data = tmp_path / "fixes"
     schema = "task_id string, pilot_id string, t bigint"
     for i, rows in enumerate([[("T", "a", 1000), ("T", "b", 1000)], [("T", "a", 1060)], [("T", "a", 1500)]]):
