@@ -21,12 +21,14 @@ cte("arch_pts", f"select ord as id, {PT}, epoch, {N} as n from points_all")
 cte("arch_tasks", "select task_id, n, strftime(make_timestamp((max(epoch) - 86400 * (n % 7)) * 1000000), '%Y-%m-%d') task_date from arch_pts group by 1, 2")
 ERR = "event_id % 89 = 0 or event_id % 97 = 0"
 
+cte("saved", f"select *, {N} n from state0")
+
 SQL = {
     "points_normalise": f"""select ord, case when event_id % 89 <> 0 then pilot_id end pilot_id, epoch, round(alt_gps, 1) alt_gps, 'partner' source,
         case when not ({ERR}) then sha256(concat_ws('|', pilot_id, strftime(make_timestamp(epoch * 1000000), '%Y-%m-%dT%H:%M:%S+00:00'),
-        printf('%.7f', round(lat, 6)), printf('%.7f', round(lon, 6)))) end fingerprint, {ERR} as bad from points_once""",
+        printf('%.7f', round(lat, 6)), printf('%.7f', round(lon, 6)))) end fingerprint, {ERR} as bad from points_all""",
     "points_batch_reject": """select batch_id, count(*) points, case when bool_or(event_id % 3001 = 0) then 0 else count(*) end accepted
-        from points_once group by 1""",
+        from points_all group by 1""",
     "points_upsert": f"""select {PT}, epoch, round(lat, 4) lat, round(alt_gps, 1) alt_gps, round(alt_baro, 1) alt_baro, cast(event_id as varchar) event_id,
         source, change, json_extract_string(raw, '$.k') raw_k from merged_pts""",
     "ingest_counts": "select task_id, received, accepted, duplicates, processed_epoch from counted",
@@ -37,7 +39,14 @@ SQL = {
         from points_all group by {PT}, epoch""",
     "tasks_to_score": f"""select task_id, 'ext-' || task_id external_id, point_count, latest_epoch from (select *, {N} n from state0)
         where n % 11 <> 10 and point_count > 0 and n % 5 <> 1""",
-    "score_save": f"select task_id, latest_epoch, point_count, n % 5 in (0, 2) as dirty from (select *, {N} n from state0)",
+    "score_save": """select 'pilot' as kind, task_id, pilot_id, rank, case when n % 5 in (1, 2, 4) then points_received else -1 end as score, cast(null as bigint) processed_epoch,
+            cast(null as bigint) point_count, cast(null as varchar) status, cast(null as varchar) summary, cast(null as varchar) error, cast(null as boolean) dirty
+        from (select task_id, pilot_id, row_number() over (partition by task_id order by pilot_id) rank, count(*) points_received from points_all group by 1, 2)
+        join saved using (task_id)
+        union all select 'summary', task_id, null, null, null, case when n % 5 = 0 then 0 else latest_epoch end, case n % 5 when 0 then 1 when 2 then point_count - 1 else point_count end,
+            case when n % 5 = 3 then 'error' else 'ok' end, case n % 5 when 0 then 'old' when 3 then '{}' else 'new' end,
+            case when n % 5 = 3 then 'no fix inside the task' else '' end, null from saved
+        union all select 'state', task_id, null, null, null, null, null, null, null, null, n % 5 in (0, 2, 3) from saved""",
     "pending_board": f"""select {PT}, row_number() over (partition by task_id order by pilot_id) rank, points_received, last_epoch, lat from (
         select {PT}, count(*) points_received, max(epoch) last_epoch, round(arg_max(lat, (epoch, ord)), 4) lat from points_all group by 1, 2)""",
     "latest_classification": f"""select {PT}, rank, state, total_points score, round(distance_m, 2) distance_m, cast(null as bigint) points_received, 'ok' status

@@ -123,14 +123,6 @@ def tasks_to_score(tasks: DataFrame, state: DataFrame, snapshot: DataFrame, forc
     return rows.where(stale)
 
 
-def clear_dirty(state: DataFrame, scored: DataFrame) -> DataFrame:
-    """State after a save: dirty is cleared only where epoch and count are still those scored."""
-    s = scored.select("task_id", F.col("processed_epoch").alias("p_epoch"), F.col("point_count").alias("p_count"))
-    same = (F.col("p_epoch") == F.col("latest_epoch")) & (F.col("p_count") == F.col("point_count"))
-    return state.join(s, "task_id", "left").withColumn(
-        "dirty", F.col("dirty") & ~F.coalesce(same, F.lit(False))).drop("p_epoch", "p_count")
-
-
 # --- boards from points ---------------------------------------------------------------
 
 def pending_board(points: DataFrame) -> DataFrame:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import ingest, quality, tracks
 from ..operators.tracks import KEY
+from ..session import ensure_checkpoint_dir
+from ..sinks.results import ResultTables
 from .race import Race, big, r
 
 
@@ -33,7 +37,7 @@ def points_normalise(c: Race) -> DataFrame:
         F.when(e % 97 == 0, F.lit(95.0)).otherwise(F.round("lat", 6)).alias("lat"), F.round("lon", 6).alias("lon"),
         F.when(e % 2 == 0, F.col("alt_gps")).alias("alt_gps"), F.when(e % 2 == 1, F.col("alt_gps")).alias("alt"),
         e.cast("string").alias("event_id")))
-    raw = _once(c).select("batch_id", "ord", body.alias("body"))
+    raw = c.views.points().select("batch_id", "ord", body.alias("body"))
     return ingest.normalise_points(raw).select(
         big("ord"), "pilot_id", "epoch", r("alt_gps", 1), "source", "fingerprint", F.col("error").isNotNull().alias("bad"))
 
@@ -41,7 +45,7 @@ def points_normalise(c: Race) -> DataFrame:
 def points_batch_reject(c: Race) -> DataFrame:
     e = F.col("event_id")
     body = F.to_json(F.struct("pilot_id", "epoch", F.when(e % 3001 == 0, F.lit(95.0)).otherwise(F.col("lat")).alias("lat"), "lon"))
-    rows = ingest.normalise_points(_once(c).select("batch_id", "ord", body.alias("body")), whole_batch=True)
+    rows = ingest.normalise_points(c.views.points().select("batch_id", "ord", body.alias("body")), whole_batch=True)
     return rows.groupBy("batch_id").agg(F.count("*").alias("points"), F.count_if(F.col("error").isNull()).alias("accepted"))
 
 
@@ -90,8 +94,22 @@ def tasks_to_score(c: Race) -> DataFrame:
 
 
 def score_save(c: Race) -> DataFrame:
+    """Results of an earlier run, then a save in which some tasks fail and some have got new points meanwhile."""
     _, state, snapshot = _scoring_tables(c)
-    return ingest.clear_dirty(state.withColumn("dirty", F.lit(True)), snapshot)
+    tables = ResultTables(c.spark, f"{ensure_checkpoint_dir(c.spark)}/results-{uuid.uuid4().hex}")
+    tables.put_state(state.withColumn("dirty", F.lit(True)))
+    board = ingest.pending_board(c.views.points().withColumnRenamed("ord", "id")).select(
+        *KEY, "rank", F.lit("TRACKING").alias("state"), F.col("points_received").cast("double").alias("score"), F.lit(0.0).alias("distance_m"))
+    text = lambda x: F.lit(x).cast("string")
+    before = state.select("task_id", F.lit(0).cast("long").alias("processed_epoch"), F.lit(1).cast("long").alias("point_count"),
+                          text("ok").alias("status"), text("old").alias("summary"), text("").alias("error"))
+    tables.save(before, board.withColumn("score", F.lit(-1.0)))
+    tables.save(snapshot.withColumns({"summary": text("new"), "error": text("no fix inside the task")}), board)
+    wide = lambda d, kind: d.withColumn("kind", F.lit(kind))
+    rows = wide(tables.pilots().select(*KEY, "rank", r("score", 1)), "pilot").unionByName(
+        wide(tables.summaries(), "summary"), allowMissingColumns=True).unionByName(
+        wide(tables.state().select("task_id", "dirty"), "state"), allowMissingColumns=True)
+    return rows
 
 
 def pending_board(c: Race) -> DataFrame:

@@ -67,11 +67,11 @@ def write_documents(pages: DataFrame, path: str) -> None:
 def write_task_partitions(rows: DataFrame, path: str) -> None:
     """Replace exactly the tasks present in ``rows``; other tasks' partitions stay.
 
-    Rows are clustered by pilot inside a task, so a large task is written by many tasks.
+    Rows are rebalanced by task: Spark puts small tasks together and splits a large one by its measured size, so a task
+    has one file for every advisory partition size it fills.
     """
-    spread = [c for c in ("pilot_id",) if c in rows.columns]
     order = [c for c in ("pilot_id", "t", "epoch") if c in rows.columns]
-    out = rows.repartition("task_id", *spread).sortWithinPartitions("task_id", *order)
+    out = rows.hint("rebalance", "task_id").sortWithinPartitions("task_id", *order)
     out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("task_id").parquet(path)
 
 
