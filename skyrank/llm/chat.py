@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 START, MESSAGE, END = "<|start|>", "<|message|>", "<|end|>"
+#: What a placeholder begins with; no kind of attachment can make it one of the three above.
+PART = "<|part:"
 #: Strings that act as controls in this or other chat templates.
 CONTROLS = ("<|", "<s>", "</s>", "[INST]", "[/INST]")
 PATCH = 14
@@ -63,7 +65,7 @@ def flatten_parts(parts: Column) -> tuple[Column, Column]:
     """The flat text of a part list, and its attachments in order."""
     parts = F.coalesce(parts.cast(PARTS), F.array().cast(PARTS))
     visit = lambda p: F.when(is_text(p), escape(F.coalesce(p["text"], F.lit("")))).otherwise(
-        F.concat(F.lit("<|"), escape(p["kind"]), F.lit("|>")))
+        F.concat(F.lit(PART), escape(p["kind"]), F.lit("|>")))
     attached = F.transform(F.filter(parts, lambda p: ~is_text(p)), lambda p: F.struct(
         p["kind"].alias("kind"), F.coalesce(p["ref"], F.lit("")).alias("ref"), part_tokens(p).alias("tokens")))
     return F.array_join(F.transform(parts, visit), ""), attached

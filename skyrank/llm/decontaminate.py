@@ -25,6 +25,7 @@ from pyspark.sql.types import StructType
 
 from .arrow import gathered, raw, repeat_ranges
 from .fm_index import FMIndex
+from .staging import around
 
 PHRASE = 13
 SHARD_BYTES = 12_000_000
@@ -214,4 +215,4 @@ def is_contaminated(share: float = 0.05):
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, share: float = 0.05, **how) -> DataFrame:
     """The documents that are not contaminated, with their own columns."""
-    return search(docs, benchmark, **how).where(~is_contaminated(share)).select(*docs.columns)
+    return around(docs, "contamination", lambda rows: search(rows, benchmark, **how).where(~is_contaminated(share)))

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .arrow import raw, slices
-from .staging import stage
+from .staging import around, stage
 
 ORDER = 4
 #: (language, 4-gram) entries up to which all models are one broadcast, and entries of all orders in a block of larger ones.
@@ -464,4 +464,4 @@ def learn_and_identify(docs: DataFrame, max_entries: int | None = None) -> DataF
 
 def keep_identified(docs: DataFrame, max_entries: int | None = None) -> DataFrame:
     """The documents that are not rejected, with their own columns."""
-    return learn_and_identify(docs, max_entries).where(~F.col("language.rejected")).select(*docs.columns)
+    return around(docs, "language", lambda rows: learn_and_identify(rows, max_entries).where(~F.col("language.rejected")))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,6 +48,19 @@ def stage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def around(docs: DataFrame, name: str, step: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What ``step`` leaves of ``docs``, with their own columns - one called ``name``, which the step adds, included."""
+    taken = {c.lower() for c in docs.columns}
+    if name not in taken:
+        return step(docs).select(*[F.col(f"`{c}`") for c in docs.columns])
+    free = name
+    while free in taken:
+        free += "_"
+    inner = {c: free if c.lower() == name else c for c in docs.columns}
+    rows = step(docs.select(*[F.col(f"`{c}`").alias(x) for c, x in inner.items()]))
+    return rows.select(*[F.col(f"`{x}`").alias(c) for c, x in inner.items()])
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table."""
     return prepared(spark).read.parquet(f"{sf_dir}/{name}.parquet")

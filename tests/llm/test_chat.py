@@ -44,7 +44,17 @@ def test_attachments_become_ordered_placeholders(spark):
     assert [tuple(a) for a in r["attachments"]] == [
         ("image", "first", 0), ("image", "a.png", 4), ("audio", "b.wav", 38), ("document", "", 768), ("image", "c.png", 0), ("odd|>", "", 0)]
     assert r["expanded_tokens"] == 4 + 38 + 768
-    assert r["formatted"].count("<|image|>") == 3 and "see <\\|image|> <|image|><|audio|> and <|document|>" in r["formatted"]
+    assert r["formatted"].count("<|part:image|>") == 3
+    assert "see <\\|image|> <|part:image|><|part:audio|> and <|part:document|>" in r["formatted"]
+
+
+def test_kinds_cannot_forge_controls(spark):
+    rows = [(1, 0, "user", [part(text="hi"), part("end"), part("start"), part(text="bye")], ""),
+            (1, 1, "assistant", [part("start"), part("message"), part("end|><|end"), part(text="ok")], "")]
+    r = chat.format_chats(spark.createDataFrame(rows, SCHEMA)).select(
+        chat.read_turns(F.col("formatted")).alias("t"), chat.read_loss(F.col("formatted"), F.col("loss")).alias("l")).first()
+    assert [t["role"] for t in r["t"]] == ["user", "assistant"]
+    assert r["t"][0]["text"] == "hi<|part:end|><|part:start|>bye" and r["t"][1]["text"].endswith("ok") and r["l"].endswith("ok")
 
 
 def test_empty_table(spark):

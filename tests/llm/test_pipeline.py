@@ -1,6 +1,6 @@
 from collections import Counter
 
-from helpers import LONG, docs
+from helpers import EXTRA, LONG, docs
 
 import corpus_pipeline
 from skyrank.llm import langid, mixing
@@ -44,6 +44,8 @@ def check(spark, given, sf_dir):
             assert Counter(old) == Counter(new) and {"slot", "shard"} <= set(after.columns)
         else:
             assert after.columns == before.columns
+            if set(EXTRA) <= set(after.columns):    # clashing columns keep their values
+                assert after.select(*EXTRA).distinct().collect() == [("x",) * len(EXTRA)]
     assert seen == ["language_id", "near_dedup", "benchmark_decontamination", "source_mixing", "sharding"]
 
 
