@@ -193,6 +193,17 @@ def publish_points(events: DataFrame, every: int = 25) -> DataFrame:
         "competition_id", "sequence", (F.col("type") == "competition.status").alias("on_status"))
 
 
+def due_snapshots(events: DataFrame, every: int = 25) -> DataFrame:
+    """(competition_id, sequence, status) of the competitions for which a batch of events makes a snapshot due.
+
+    It stands for the last sequence at which one was due; ``status`` is that of the last status event, null without one.
+    """
+    named = F.when(F.col("type") == "competition.status", F.get_json_object("data", "$.status"))
+    due = (F.col("sequence") % every == 0) | (F.col("type") == "competition.status")
+    return events.where(due).withColumn("named", named).groupBy("competition_id").agg(
+        F.max("sequence").alias("sequence"), F.max_by("named", F.when(F.col("named").isNotNull(), F.col("sequence"))).alias("status"))
+
+
 def snapshot_upsert(snapshots: DataFrame, history: int = 10) -> DataFrame:
     """One payload per (competition, sequence), last write wins; ``place`` 1 is the latest, N kept."""
     one = snapshots.groupBy("competition_id", "sequence").agg(F.max_by("payload", "id").alias("payload"))

@@ -65,20 +65,37 @@ def test_late_rows_and_late_setup_arrive_in_the_end(spark, tmp_path):
     assert sorted(json.loads(r.value)["sequence"] for r in letters) == [9, 10, 12]
 
 
-def test_a_stream_publishes_the_tasks_it_touches(spark, tmp_path):
+def test_a_stream_publishes_on_cadence_and_on_status(spark, tmp_path):
+    """Documents on disk at the last 25th sequence of a batch and at the final status, equal to a batch run's board."""
     from skyrank.fixtures import Views
+    from skyrank.operators.ranking import final_ranking
+    from skyrank.operators.tracks import first_reports
+    from skyrank.plans.scoring import Scoring
     v = Views(spark, "/root/testdata/sf0.001")
     task = v.task_rows().orderBy("task_id").first()["task_id"]
-    some = v.raw_fixes().where(F.col("task_id") == task)
-    fixes = some.select(F.col("task_id").alias("competition_id"), F.col("ord").alias("sequence"), "pilot_id", "t", "lat", "lon",
-                        F.col("alt_gps").cast("int").alias("alt_gps"), F.col("alt_baro").cast("int").alias("alt_baro"))
+    mine = lambda d: d.where(F.col("task_id") == task)
+    tasks, waypoints = mine(v.task_rows()), mine(v.waypoint_rows())
+    some = [r.pilot_id for r in mine(v.pilots()).orderBy("pilot_id").limit(4).collect()]
+    fixes = first_reports(mine(v.raw_fixes())).where(F.col("pilot_id").isin(some) & (F.col("t") % 7 == 0)).withColumns(
+        {c: F.col(c).cast("int") for c in ("alt_gps", "alt_baro")}).checkpoint()
+    pilots = mine(v.pilots()).where(F.col("pilot_id").isin(some)).join(tasks.select("task_id", "midnight"), "task_id")
+    lines = ev.envelope(ev.export_log(tasks, pilots, fixes)).select(F.col("sequence").alias("arrival"), "value").checkpoint()
+    n = lines.count()
+    cut = n // 2
     tables = live.LiveTables(spark, str(tmp_path / "tables"))
-    tables.write(fixes, "fixes", 0)
-    publish = live.publish_touched(tables, v.task_rows(), v.waypoint_rows(), str(tmp_path / "out"))
-    publish(fixes.select("competition_id", "pilot_id").distinct(), 0)
+    publish = live.publish_due(tables, tasks, waypoints, str(tmp_path / "out"))
+    for part in (lines.where(F.col("arrival") <= cut), lines.where(F.col("arrival") > cut)):
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "log"))
+        live.run_available(ev.read_offset_log(spark, str(tmp_path / "log")), tables, str(tmp_path / "checkpoint"), on_due=publish)
     docs = [json.loads(r.value) for r in spark.read.text(str(tmp_path / "out" / "versions")).collect()]
-    assert docs and {d["competition_id"] for d in docs} == {task}
-    assert sum(len(d["results"]) for d in docs) == fixes.select("pilot_id").distinct().count()
+    assert sorted((d["source_sequence"], d["status"], d["provisional"]) for d in docs) == [
+        (cut // 25 * 25, "open", True), (n, "final", False)]
+    run = Scoring(fixes, tasks, waypoints)
+    want = sorted((r.rank, r.pilot_id, r.state, r.total_points) for r in final_ranking(run.scores).collect())
+    (last,) = [d for d in docs if d["status"] == "final"]
+    assert sorted((r["rank"], r["pilot"], r["state"], r["total_points"]) for r in last["results"]) == want and want
+    (latest,) = [json.loads(r.value) for r in spark.read.text(str(tmp_path / "out" / "latest")).collect()]
+    assert latest == last
 
 
 def test_ids_and_sequences_are_remembered_over_batches_and_restarts(spark, tmp_path):
