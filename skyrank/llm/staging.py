@@ -28,14 +28,14 @@ def new_folder(spark: SparkSession, kind: str) -> str:
     return f"{ensure_checkpoint_dir(prepared(spark))}/{kind}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
+def stage(df: DataFrame, path: str | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder, or the new folder ``path`` in it, and read it back.
 
     This cuts the lineage: a lost executor re-reads files.  The size of the table is known to
     the plans that follow.
     """
     spark = prepared(df.sparkSession)
-    path = new_folder(spark, "stage")
+    path = path or new_folder(spark, "stage")
     before = spark.conf.get(RELEASE_SHUFFLES, None)
     spark.conf.set(RELEASE_SHUFFLES, "true")
     try:
@@ -48,6 +48,14 @@ def stage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, folders: list[str]) -> None:
+    """Delete written tables that nothing reads any more, and forget their names."""
+    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+    while folders:
+        path = jvm.org.apache.hadoop.fs.Path(folders.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def around(docs: DataFrame, name: str, step: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """What ``step`` leaves of ``docs``, with their own columns - one called ``name``, which the step adds, included."""
     taken = {c.lower() for c in docs.columns}

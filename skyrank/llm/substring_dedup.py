@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from .fm_index import FMIndex
-from .repeats import GROUP_LIMIT, Words, covered, remove_repeats
+from .repeats import Words, covered, remove_repeats
 
 SHARD_BYTES = 2_000_000
 SCHEMA = "n_words long, n_removed long, kept_sha256 string"
@@ -78,6 +78,6 @@ def kept_words(text: bytes, gone: list[dict] | None) -> tuple[int, int, str]:
     return len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()
 
 
-def deduplicate(docs: DataFrame, shard_bytes: int = SHARD_BYTES, group_limit: int = GROUP_LIMIT) -> DataFrame:
+def deduplicate(docs: DataFrame, shard_bytes: int = SHARD_BYTES, group_bytes: int | None = None) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) of every document."""
-    return remove_repeats(docs, Words(), earlier_windows, True, shard_bytes, kept_words, SCHEMA, group_limit)
+    return remove_repeats(docs, Words(), earlier_windows, True, shard_bytes, kept_words, SCHEMA, group_bytes)

@@ -67,18 +67,18 @@ def corpus(seed, n=60):
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-@pytest.mark.parametrize("limit", [repeats.GROUP_LIMIT, 1])
+@pytest.mark.parametrize("limit", [None, 400, 1])
 def test_words_against_brute_force(spark, seed, limit):
     rows = corpus(seed)
-    found = substring_dedup.deduplicate(docs(spark, rows, extra=True).repartition(5), shard_bytes=3000, group_limit=limit)
+    found = substring_dedup.deduplicate(docs(spark, rows, extra=True).repartition(5), shard_bytes=3000, group_bytes=limit)
     assert tuples(found) == slow_words(rows)
 
 
 @pytest.mark.parametrize("seed", [3, 4])
-@pytest.mark.parametrize("limit", [repeats.GROUP_LIMIT, 1])
+@pytest.mark.parametrize("limit", [None, 400, 1])
 def test_bytes_against_brute_force(spark, seed, limit):
     rows = corpus(seed)
-    found = suffix_dedup.deduplicate(docs(spark, rows, extra=True).repartition(5), shard_bytes=3000, group_limit=limit)
+    found = suffix_dedup.deduplicate(docs(spark, rows, extra=True).repartition(5), shard_bytes=3000, group_bytes=limit)
     assert tuples(found) == slow_bytes(rows)
 
 
