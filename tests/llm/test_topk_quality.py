@@ -40,6 +40,18 @@ def test_topk_against_brute_force(spark, bits):
     assert tuples(topk.top_k(topk.quantised(df), F.col("vec_id") % 50 == 0, bits=bits)) == slow_topk(rows)
 
 
+@pytest.mark.parametrize("bits", [2, 6, 8])
+def test_topk_of_large_components(spark, bits):
+    rng = np.random.default_rng(bits)
+    rows = [(0, [1.0, 0.5]), (1, [5e6, 1.0]), (2, [1.0, 1.0]), (50, [-3e8, 3e8]), (100, [2.0 ** 26, -2.0 ** 26 + 4])]
+    rows += [(i, [float(np.float32(x)) for x in rng.normal(0, 10.0 ** rng.integers(0, 8), 2)]) for i in range(3, 300) if i % 50]
+    rows += [(350, [1e30, -1.0]), (351, [-1e30, 2.0]), (352, [1e30, 2.0]), (353, [1e30, 2.0 ** 70])]
+    rows = [(*r, 0, "v", "c", "d") for r in rows]
+    found = topk.top_k(topk.quantised(spark.createDataFrame(rows, VECTORS).repartition(4)), F.col("vec_id") % 50 == 0, bits=bits)
+    clipped = [(q, n, i, min(max(s, topk.LEAST), topk.MOST)) for q, n, i, s in slow_topk(rows)]
+    assert tuples(found) == sorted(clipped, key=lambda r: tuple((x is not None, str(x)) for x in r))
+
+
 def test_topk_in_blocks(spark):
     rows = vectors(3)
     df = spark.createDataFrame(rows, VECTORS)
