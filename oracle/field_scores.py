@@ -22,9 +22,12 @@ cte("penalised", """select *, a1 + a2 as penalty_points, round(greatest(0e0, tot
     select *, round(greatest(0e0, total_points - a1), 1) as total1 from (
     select *, total_points * o1 / 100 + 1000 * task_validity * k1 / 100 + f1 as a1 from pen_1)))""")
 cte("stops", """select task_id, gate + 4500 as stop_t, gate, gate2, start_type from task_rows where task_no % 2 = 1""")
-cte("reduced", """select b.*, k.stop_t, case when p.pilots_goal > 0 and p.best_time is not null then greatest(0e0, p.available_time *
-    case when k.stop_t - k.gate <= p.best_time then 1e0 else greatest(0e0, 1 - pow((k.stop_t - k.gate - p.best_time) / 3600
-    / sqrt(p.best_time / 3600), 5e0 / 6)) end) else 0e0 end as reduction from points_rows b join stops k using (task_id) join pots p using (task_id)""")
+cte("goal_by_stop", """select b.task_id, bool_or(coalesce(b.goal_t <= k.stop_t, false)) any_goal,
+    min(b.ess_t - b.start_t) filter (b.ess_t <= k.stop_t and (b.goal_t is null or b.goal_t > k.stop_t)) between_s
+    from points_rows b join stops k using (task_id) group by b.task_id""")
+cte("reduced", """select b.*, k.stop_t, g.any_goal, case when g.any_goal and p.best_time is not null then greatest(0e0, p.available_time *
+    case when coalesce(g.between_s, k.stop_t - k.gate) <= p.best_time then 1e0 else greatest(0e0, 1 - pow((coalesce(g.between_s, k.stop_t - k.gate) - p.best_time) / 3600
+    / sqrt(p.best_time / 3600), 5e0 / 6)) end) else 0e0 end as reduction from points_rows b join stops k using (task_id) join pots p using (task_id) join goal_by_stop g using (task_id)""")
 cte("at_stop", f"""select p.task_id, p.pilot_id, arg_max(p.alt_gps, p.t) alt, arg_max(p.rem, p.t) rem, any_value(p.total_m) total_m
     from pb_played p join pb_best b using (task_id, pilot_id, cand_ix) join stops k on k.task_id = p.task_id
     where p.fix_ix > cand_ix and p.t <= stop_t group by 1, 2""")
@@ -93,11 +96,12 @@ SQL = {
         count(*) filter (takeoff_t is not null) launched, max(distance_m) filter (takeoff_t is not null) best_m, avg(distance_m) filter (takeoff_t is not null) mean_m,
         any_value(s.total_m) - any_value(ess_rem) len_ess from pstate s join stops k using (task_id) join (select task_id, ess_rem from tasks) using (task_id)
         group by k.task_id, stop_t, gate, gate2, start_type)""",
-    "stopped_points": f"""select {PT}, round(reduction, 4) reduction, case when goal_t is not null then round(greatest(0e0, time_points - reduction), 1)
-        else time_points end stopped_time_points, round(least(distance_m / best_distance, 1e0) * (available_distance + reduction), 1) stopped_distance_points from reduced""",
+    "stopped_points": f"""select {PT}, round(reduction, 4) reduction, case when not any_goal or ess_t is null or ess_t > stop_t then 0e0
+        when goal_t <= stop_t then round(greatest(0e0, time_points - reduction), 1) else time_points end stopped_time_points, round(least(distance_m / best_distance, 1e0) * (available_distance + reduction), 1) stopped_distance_points from reduced""",
     "altitude_bonus": f"""select task_id, pilot_id, round(bonus, 2) bonus_m, round(bd, 2) bonus_distance_m, round(greatest(distance_m, bd), 2) stopped_distance_m from (
-        select a.task_id, a.pilot_id, bonus, least(a.total_m, a.total_m - rem + bonus) bd, distance_m from (
-        select *, greatest(0e0, alt - 950e0) * 5e0 bonus from at_stop) a join pstate using (task_id, pilot_id))""",
+        select a.task_id, a.pilot_id, case when down then 0e0 else bonus end bonus, case when not down then least(a.total_m, a.total_m - rem + bonus) end bd,
+        distance_m from (select *, greatest(0e0, alt - 950e0) * 5e0 bonus from at_stop) a join (select p.task_id, p.pilot_id, p.distance_m,
+        coalesce(p.goal_t <= k.stop_t, false) or coalesce(p.landing_t <= k.stop_t, false) down from pstate p join stops k using (task_id)) using (task_id, pilot_id))""",
 }
 cte("lcs_code", CTES["lcs"].replace("p.max_time,", "greatest(least(p.last_ess, cast(p.deadline - p.first_gate as double)), s.last_task_time) as max_time,"))
 SQL["max_time_by_pilot"] = f"select {PT}, round(lc, 6) lc from lcs_code"

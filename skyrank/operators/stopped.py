@@ -55,18 +55,24 @@ def stopped_validity(state: DataFrame, stops: DataFrame, course: DataFrame) -> D
 def stopped_points(scores: DataFrame, tasks: DataFrame, stops: DataFrame) -> DataFrame:
     """Move the time points nobody still flying could have kept into the distance pot.
 
-    The reference time is that of the slowest pilot in goal by the stop, or the time
-    to the stop; goal pilots lose the reduction, never below zero.
+    With nobody in goal by the stop there are no time points and nothing moves.  Otherwise the reference
+    is the fastest of those between ESS and goal at the stop, or a notional pilot who reaches ESS at the stop;
+    pilots in goal lose the reduction, never below zero.  An ESS after the stop earns no time points.
     """
     t = tasks.select("task_id", "pilots_goal", "best_time", "best_distance", "available_time",
                      "available_distance", "first_gate")
     rows = scores.join(t, "task_id").join(stop_times(stops), "task_id")
-    reference = (F.col("stop_t") - F.col("first_gate")).cast("double")
-    cut = gap.time_points_reduction(F.col("pilots_goal") > 0, F.col("best_time"), reference, F.col("available_time"))
+    by_stop = lambda c: F.coalesce(F.col(c) <= F.col("stop_t"), F.lit(False))
+    at_stop = rows.groupBy("task_id").agg(
+        F.max(by_stop("goal_t")).alias("any_goal"),
+        F.min(F.when(by_stop("ess_t") & ~by_stop("goal_t"), F.col("ess_t") - F.col("start_t"))).alias("between_s"))
+    rows = rows.join(at_stop, "task_id")
+    reference = F.coalesce("between_s", F.col("stop_t") - F.col("first_gate")).cast("double")
+    cut = gap.time_points_reduction(F.col("any_goal"), F.col("best_time"), reference, F.col("available_time"))
     rows = rows.withColumn("reduction", cut)
-    in_goal = F.col("goal_t").isNotNull()
+    in_goal = by_stop("goal_t")
     return rows.withColumns({
-        "stopped_time_points": F.when(in_goal, gap.round1(
+        "stopped_time_points": F.when(~F.col("any_goal") | ~by_stop("ess_t"), F.lit(0.0)).when(in_goal, gap.round1(
             F.greatest(F.lit(0.0), F.col("time_points") - F.col("reduction")))).otherwise(F.col("time_points")),
         "stopped_distance_points": gap.distance_points(
             F.col("distance_m"), F.col("best_distance"), F.col("available_distance") + F.col("reduction"))})
@@ -74,17 +80,18 @@ def stopped_points(scores: DataFrame, tasks: DataFrame, stops: DataFrame) -> Dat
 
 def altitude_bonuses(track: DataFrame, remaining: DataFrame, state: DataFrame, stops: DataFrame,
                      course: DataFrame) -> DataFrame:
-    """Distance a pilot's height above goal was worth at the stop; the larger value counts.
+    """Distance the height above goal of a pilot still flying was worth at the stop; the larger value counts.
 
     ``remaining`` is the distance to goal per fix of the scored run.
     """
     fixes = remaining.join(track.select(*KEY, "fix_ix", "alt_gps"), [*KEY, "fix_ix"])
     at_stop = fixes.join(stop_times(stops).select("task_id", "stop_t", "glide_ratio"), "task_id").where(
-        F.col("t") <= F.col("stop_t")).groupBy(*KEY, "glide_ratio").agg(
+        F.col("t") <= F.col("stop_t")).groupBy(*KEY, "stop_t", "glide_ratio").agg(
         F.max_by("alt_gps", "t").alias("alt"), F.max_by("remaining", "t").alias("rem"))
-    rows = at_stop.join(state.select(*KEY, "distance_m", "goal_t"), KEY).join(
+    rows = at_stop.join(state.select(*KEY, "distance_m", "goal_t", "landing_t"), KEY).join(
         course.select("task_id", "total_m", F.get("wps", F.col("goal_ix"))["alt"].alias("goal_alt")), "task_id")
-    bonus = gap.altitude_bonus(F.col("alt"), F.col("goal_alt"), F.col("glide_ratio"))
-    with_bonus = F.least(F.col("total_m"), F.col("total_m") - F.col("rem") + bonus)
+    flying = ~F.coalesce(F.least("goal_t", "landing_t") <= F.col("stop_t"), F.lit(False))
+    bonus = F.when(flying, gap.altitude_bonus(F.col("alt"), F.col("goal_alt"), F.col("glide_ratio"))).otherwise(F.lit(0.0))
+    with_bonus = F.when(flying, F.least(F.col("total_m"), F.col("total_m") - F.col("rem") + bonus))
     return rows.withColumns({"bonus_m": bonus, "bonus_distance_m": with_bonus}).withColumn(
         "stopped_distance_m", F.greatest("distance_m", "bonus_distance_m"))
