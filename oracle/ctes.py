@@ -37,6 +37,16 @@ def at_moment(name: str, seconds: int) -> str:
     return f"{name}_at{seconds}"
 
 
+def with_fixes(name: str, suffix: str, raw_fixes: str) -> str:
+    """Define ``name`` and what leads to it once more over other fixes; what does not read fixes is shared."""
+    reads = {n for n in needed(name) if "raw_fixes" in needed(n) + [n]}
+    tag = lambda text: re.sub(r"[a-z_][a-z0-9_]*", lambda m: m[0] + suffix if m[0] in reads else m[0], text)
+    for n in needed(name) + [name]:
+        if n in reads | {name} and n + suffix not in CTES:
+            CTES[n + suffix] = raw_fixes if n == "raw_fixes" else tag(CTES[n])
+    return name + suffix
+
+
 def compose(sql: str) -> str:
     """Prefix ``sql`` with the building blocks it needs, in definition order."""
     parts = [f"{n} as materialized ({CTES[n]})" for n in needed(sql)]

@@ -1,6 +1,6 @@
 """Oracle SQL for field scoring, special cases and ranking."""
 
-from .ctes import CTES, cte, hav
+from .ctes import CTES, cte, hav, with_fixes
 
 PT = "task_id, pilot_id"
 cte("pen_match", """select p.*, case when n1 > 0 then case when n1 = 1 then id1 end when n2 > 0 then case when n2 = 1 then id2 end
@@ -22,15 +22,38 @@ cte("penalised", """select *, a1 + a2 as penalty_points, round(greatest(0e0, tot
     select *, round(greatest(0e0, total_points - a1), 1) as total1 from (
     select *, total_points * o1 / 100 + 1000 * task_validity * k1 / 100 + f1 as a1 from pen_1)))""")
 cte("stops", """select task_id, gate + 4500 as stop_t, gate, gate2, start_type from task_rows where task_no % 2 = 1""")
-cte("goal_by_stop", """select b.task_id, bool_or(coalesce(b.goal_t <= k.stop_t, false)) any_goal,
-    min(b.ess_t - b.start_t) filter (b.ess_t <= k.stop_t and (b.goal_t is null or b.goal_t > k.stop_t)) between_s
-    from points_rows b join stops k using (task_id) group by b.task_id""")
-cte("reduced", """select b.*, k.stop_t, g.any_goal, case when g.any_goal and p.best_time is not null then greatest(0e0, p.available_time *
-    case when coalesce(g.between_s, k.stop_t - k.gate) <= p.best_time then 1e0 else greatest(0e0, 1 - pow((coalesce(g.between_s, k.stop_t - k.gate) - p.best_time) / 3600
-    / sqrt(p.best_time / 3600), 5e0 / 6)) end) else 0e0 end as reduction from points_rows b join stops k using (task_id) join pots p using (task_id) join goal_by_stop g using (task_id)""")
-cte("at_stop", f"""select p.task_id, p.pilot_id, arg_max(p.alt_gps, p.t) alt, arg_max(p.rem, p.t) rem, any_value(p.total_m) total_m
-    from pb_played p join pb_best b using (task_id, pilot_id, cand_ix) join stops k on k.task_id = p.task_id
-    where p.fix_ix > cand_ix and p.t <= stop_t group by 1, 2""")
+cte("started", "select task_id, pilot_id, case when start_type <> 'RACE' then cand_t when gate2 <= cand_t then gate2 else gate end as start_t from pb_best join task_rows using (task_id)")
+with_fixes("started", "_ka", "select f.* from raw_fixes f join stops k using (task_id) where f.t <= k.stop_t")
+cte("stop_spans", """select k.*, k.stop_t - coalesce(from_all, last_s) as span_s from (select *, case when gate2 is null and start_type = 'RACE' then gate end as from_all from stops) k
+    left join (select task_id, max(start_t) last_s from started_ka group by 1) using (task_id)""")
+cte("stop_windows", f"select {PT}, coalesce(from_all, start_t) as from_t, coalesce(from_all, start_t) + span_s as to_t from started_ka join stop_spans using (task_id)")
+KB = """select f.* from raw_fixes f join stops k using (task_id) left join stop_windows w on w.task_id = f.task_id and w.pilot_id = f.pilot_id
+    where f.t <= least(k.stop_t, coalesce(w.to_t, k.stop_t))"""
+with_fixes("pstate", "_kb", KB)
+cte("down", f"select s.task_id, s.pilot_id, coalesce(least(s.landing_t, l.landing_t) <= stop_t, false) as is_down from pstate_kb s join stops using (task_id) left join landings l on l.task_id = s.task_id and l.pilot_id = s.pilot_id")
+cte("stop_factor", """select *, coalesce(case when reached_ess > 0 then 1e0 when duration_s >= 3600 then
+    least(1e0, case when len_ess - best_m + 1 <= 0 then 0e0 else sqrt(greatest(0e0, (best_m - mean_m) / (len_ess - best_m + 1))) end
+    + case when launched <= 0 then 0e0 else pow(landed / launched, 3) end) else 0e0 end, 0e0) as factor from (
+    select s.task_id, any_value(k.stop_t) stop_t, any_value(span_s) duration_s, count(ess_t) reached_ess, count(*) filter (takeoff_t is not null and is_down) landed,
+    count(*) filter (takeoff_t is not null) launched, max(distance_m) filter (takeoff_t is not null) best_m, avg(distance_m) filter (takeoff_t is not null) mean_m,
+    any_value(s.total_m) - any_value(t.ess_rem) len_ess from pstate_kb s join down using (task_id, pilot_id) join stop_spans k on k.task_id = s.task_id join tasks t on t.task_id = s.task_id group by 1)""")
+with_fixes("validity", "_kb", KB)
+CTES["validity_kb"] = f"select v.* replace (task_validity * factor as task_validity) from ({CTES['validity_kb']}) v join stop_factor using (task_id)"
+with_fixes("points_rows", "_kb", KB)
+cte("last_kb", f"select f.task_id, f.pilot_id, max(f.t) t, arg_max(alt_gps, f.t) alt from track_kb f group by 1, 2")
+cte("bonuses", f"""select *, greatest(distance_m, bd) as scored_m from (select task_id, pilot_id, distance_m, case when flying then bonus else 0e0 end bonus,
+    case when flying then least(total_m, total_m - d + bonus) end bd from (
+    select s.task_id, s.pilot_id, s.distance_m, s.total_m, g.d, s.goal_t is null and g.d is not null and not is_down as flying, greatest(0e0, alt - 950e0) * 5e0 as bonus
+    from pstate_kb s join down using (task_id, pilot_id) join last_kb l using (task_id, pilot_id)
+    left join exact_goal_kb g on g.task_id = s.task_id and g.pilot_id = s.pilot_id and g.t = l.t))""")
+cte("reduced", f"""select *, case when n_goal > 0 and best_time is not null then greatest(0e0, available_time * case when ref_s <= best_time then 1e0 else
+    greatest(0e0, 1 - pow((ref_s - best_time) / 3600 / sqrt(best_time / 3600), 5e0 / 6)) end) else 0e0 end as reduction from (
+    select b.*, z.scored_m, count(goal_t) over (partition by b.task_id) n_goal, max(z.scored_m) over (partition by b.task_id) best_scored,
+    coalesce(min(section_s) filter (ess_t is not null and goal_t is null and not is_down) over (partition by b.task_id), span_s) as ref_s
+    from points_rows_kb b join bonuses z using (task_id, pilot_id) join down using (task_id, pilot_id) join stop_spans using (task_id))""")
+cte("stop_points", """select *, round(t_points + d_points + leading_points, 1) as total from (select *, case when n_goal = 0 then 0e0
+    when goal_t is not null then round(greatest(0e0, time_points - reduction), 1) else time_points end as t_points,
+    case when best_scored <= 0 then 0e0 else round(least(scored_m / best_scored, 1e0) * (available_distance + reduction), 1) end as d_points from reduced)""")
 NXT = "case when cand_ix is null then 0 else 2 + (g2 is not null)::int + (g3 is not null)::int + (g4 is not null)::int + (g5 is not null)::int end"
 cte("lastpos", "select s.task_id, s.pilot_id, f.lat last_lat, f.lon last_lon from pstate s join track f on f.task_id = s.task_id and f.pilot_id = s.pilot_id and f.fix_ix = s.last_ix")
 cte("aged", f"""select *, first_gate + 9000 - last_t as age_s, takeoff_t is not null and start_t is null as dns,
@@ -85,23 +108,13 @@ SQL = {
         count(*) filter (dns) n_no_start, count(*) filter (ess_t is null and not dns and age_s > 900) n_landed,
         count(*) filter (ess_t is null and not dns and age_s > 120 and age_s <= 900) n_lost, count(*) filter (ess_t is null and not dns and age_s <= 120) n_flying,
         count(*) filter (start_t is not null) n_started, count(*) filter (takeoff_t is not null) n_launched from aged group by 1""",
-    "stopped_window": f"""select {PT}, case when gate2 is null and start_type = 'RACE' then gate else start_t end from_t,
-        case when gate2 is null and start_type = 'RACE' then stop_t else start_t + stop_t - last_s end to_t from (
-        select s.task_id, s.pilot_id, start_t, k.*, max(start_t) over (partition by s.task_id) last_s from pstate s join stops k using (task_id)) where start_t is not null""",
-    "stopped_task": """select task_id, stop_t, duration_s, reached_ess, landed, launched, round(case when reached_ess > 0 then 1e0 when duration_s >= 3600 then
-        least(1e0, case when len_ess - best_m + 1 <= 0 then 0e0 else sqrt(greatest(0e0, (best_m - mean_m) / (len_ess - best_m + 1))) end
-        + case when launched <= 0 then 0e0 else pow(landed / launched, 3) end) else 0e0 end, 6) stopped_validity from (
-        select k.task_id, stop_t, stop_t - case when gate2 is null and start_type = 'RACE' then gate else max(start_t) end duration_s,
-        count(*) filter (ess_t <= stop_t) reached_ess, count(*) filter (takeoff_t is not null and landing_t <= stop_t) landed,
-        count(*) filter (takeoff_t is not null) launched, max(distance_m) filter (takeoff_t is not null) best_m, avg(distance_m) filter (takeoff_t is not null) mean_m,
-        any_value(s.total_m) - any_value(ess_rem) len_ess from pstate s join stops k using (task_id) join (select task_id, ess_rem from tasks) using (task_id)
-        group by k.task_id, stop_t, gate, gate2, start_type)""",
-    "stopped_points": f"""select {PT}, round(reduction, 4) reduction, case when not any_goal or ess_t is null or ess_t > stop_t then 0e0
-        when goal_t <= stop_t then round(greatest(0e0, time_points - reduction), 1) else time_points end stopped_time_points, round(least(distance_m / best_distance, 1e0) * (available_distance + reduction), 1) stopped_distance_points from reduced""",
-    "altitude_bonus": f"""select task_id, pilot_id, round(bonus, 2) bonus_m, round(bd, 2) bonus_distance_m, round(greatest(distance_m, bd), 2) stopped_distance_m from (
-        select a.task_id, a.pilot_id, case when down then 0e0 else bonus end bonus, case when not down then least(a.total_m, a.total_m - rem + bonus) end bd,
-        distance_m from (select *, greatest(0e0, alt - 950e0) * 5e0 bonus from at_stop) a join (select p.task_id, p.pilot_id, p.distance_m,
-        coalesce(p.goal_t <= k.stop_t, false) or coalesce(p.landing_t <= k.stop_t, false) down from pstate p join stops k using (task_id)) using (task_id, pilot_id))""",
+    "stopped_window": f"select {PT}, from_t, to_t from stop_windows",
+    "stopped_task": """select task_id, stop_t, duration_s, reached_ess, landed, launched, round(best_m, 2) best_m, round(mean_m, 2) mean_m,
+        round(factor, 6) stopped_validity from stop_factor""",
+    "stopped_points": f"""select {PT}, round(reduction, 4) reduction, t_points stopped_time_points, d_points stopped_distance_points, leading_points from stop_points""",
+    "altitude_bonus": f"select {PT}, round(bonus, 2) bonus_m, round(bd, 2) bonus_distance_m, round(scored_m, 2) stopped_distance_m from bonuses",
+    "stopped_board": f"""select {PT}, row_number() over (partition by task_id order by total desc, scored_m desc, pilot_id) as rank, state,
+        round(scored_m, 2) distance_m, total total_points from stop_points""",
 }
 cte("lcs_code", CTES["lcs"].replace("p.max_time,", "greatest(least(p.last_ess, cast(p.deadline - p.first_gate as double)), s.last_task_time) as max_time,"))
 SQL["max_time_by_pilot"] = f"select {PT}, round(lc, 6) lc from lcs_code"

@@ -42,9 +42,12 @@ def field_totals(state: DataFrame, course: DataFrame) -> DataFrame:
         *[F.first(f"c.{x}").alias(x) for x in [*PARAMS, *TASK_FACTS]])
 
 
-def task_validity(totals: DataFrame, integer_pots: bool = False,
-                  roster: DataFrame | None = None) -> DataFrame:
-    """Validity, weights, pots and the leading clock of each task."""
+def task_validity(totals: DataFrame, integer_pots: bool = False, roster: DataFrame | None = None,
+                  factor: DataFrame | None = None) -> DataFrame:
+    """Validity, weights, pots and the leading clock of each task.
+
+    ``factor`` (task_id, factor), where given, scales the validity of the tasks it names.
+    """
     rows = totals
     if roster is not None:
         rows = rows.join(roster.groupBy("task_id").agg(F.count("*").alias("roster_size")), "task_id", "left")
@@ -65,6 +68,9 @@ def task_validity(totals: DataFrame, integer_pots: bool = False,
         "deadline_time": (c("deadline") - c("first_gate")).cast("double")})
     rows = rows.withColumn("task_validity",
                            c("launch_validity") * c("distance_validity") * c("time_validity"))
+    if factor is not None:
+        rows = rows.join(factor, "task_id", "left").withColumn(
+            "task_validity", c("task_validity") * F.coalesce("factor", F.lit(1.0))).drop("factor")
     rows = rows.withColumn("distance_weight", gap.distance_weight(c("goal_ratio")))
     rows = rows.withColumn("leading_weight", gap.leading_weight(
         c("distance_weight"), c("leading_time_ratio"), c("goal_ratio")))
@@ -128,10 +134,11 @@ def pilot_points(pilots: DataFrame, least: DataFrame) -> DataFrame:
 
 
 def score_field(state: DataFrame, course: DataFrame, max_time_rule: str = "field",
-                integer_pots: bool = False, roster: DataFrame | None = None, stage=lambda df: df):
+                integer_pots: bool = False, roster: DataFrame | None = None, stage=lambda df: df,
+                factor: DataFrame | None = None):
     """(pilot rows with points, task rows) for a table of pilot states."""
     state = with_course(state, course)
-    tasks = stage(task_validity(field_totals(state, course), integer_pots, roster))
+    tasks = stage(task_validity(field_totals(state, course), integer_pots, roster, factor))
     pilots = leading_coefficients(state, tasks, max_time_rule)
     least = least_coefficients(pilots)
     return pilot_points(pilots, least), tasks.join(least, "task_id")

@@ -6,7 +6,7 @@ glide_ratio); a task without a row is not affected.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import gap
@@ -17,81 +17,111 @@ def stop_times(stops: DataFrame) -> DataFrame:
     return stops.withColumn("stop_t", F.col("announced_t") - F.col("score_back_s"))
 
 
-def scored_windows(state: DataFrame, stops: DataFrame, course: DataFrame) -> DataFrame:
+def is_single_gate() -> Column:
+    return (F.size("gates") == 1) & F.upper("start_type").startswith("RACE")
+
+
+def scored_spans(starts: DataFrame, stops: DataFrame, course: DataFrame) -> DataFrame:
+    """Per stopped task the seconds everybody is scored over, and from when if that is one moment for all.
+
+    ``starts`` (task_id, pilot_id, start_t) knows nothing after the stop, so the last start is one that
+    somebody took by then.  With nobody started a task without a common start has no span.
+    """
+    last = starts.groupBy("task_id").agg(F.max("start_t").alias("last_start_t"))
+    rows = stop_times(stops).join(course.select("task_id", "first_gate", "start_type", "gates"), "task_id").join(
+        last, "task_id", "left")
+    return rows.select(
+        "task_id", "stop_t", "minimum_time_s", "glide_ratio",
+        F.when(is_single_gate(), F.col("first_gate")).alias("common_from_t"),
+        (F.col("stop_t") - F.when(is_single_gate(), F.col("first_gate")).otherwise(F.col("last_start_t"))).alias("span_s"))
+
+
+def scored_windows(starts: DataFrame, spans: DataFrame) -> DataFrame:
     """(from_t, to_t) each started pilot is scored over: one common window for a single-gate
     race, otherwise the length left to the last starter for everybody."""
-    last = state.groupBy("task_id").agg(F.max("start_t").alias("last_start_t"))
-    rows = (state.where("start_t is not null").select(*KEY, "start_t")
-            .join(stop_times(stops), "task_id").join(last, "task_id")
-            .join(course.select("task_id", "first_gate", "start_type", "gates"), "task_id"))
-    single = (F.size("gates") == 1) & F.upper("start_type").startswith("RACE")
-    return rows.select(
-        *KEY, F.when(single, F.col("first_gate")).otherwise(F.col("start_t")).alias("from_t"),
-        F.when(single, F.col("stop_t")).otherwise(
-            F.col("start_t") + F.col("stop_t") - F.col("last_start_t")).alias("to_t"))
+    begin = F.coalesce("common_from_t", "start_t")
+    return starts.where("start_t is not null").select(*KEY, "start_t").join(spans, "task_id").select(
+        *KEY, begin.alias("from_t"), (begin + F.col("span_s")).alias("to_t"))
+
+
+def within_windows(fixes: DataFrame, windows: DataFrame, stops: DataFrame) -> DataFrame:
+    """The fixes that count: up to the end of the pilot's window, or to the stop for who has not started."""
+    bounds = stop_times(stops).select("task_id", "stop_t")
+    rows = fixes.join(bounds, "task_id").where(F.col("t") <= F.col("stop_t"))
+    return rows.join(windows.select(*KEY, "to_t"), KEY, "left").where(
+        F.col("to_t").isNull() | (F.col("t") <= F.col("to_t"))).drop("stop_t", "to_t")
+
 
+def with_down(flown: DataFrame, down: DataFrame) -> DataFrame:
+    """Add ``down_t``: the landing inside the window, or else that of the whole flight (``down``)."""
+    rows = flown.join(down.select(*KEY, F.col("landing_t").alias("whole_t")), KEY, "left")
+    return rows.withColumn("down_t", F.least("landing_t", "whole_t")).drop("whole_t")
 
-def stopped_validity(state: DataFrame, stops: DataFrame, course: DataFrame) -> DataFrame:
-    """The validity factor of a stopped task, one row per stopped task."""
+
+def stopped_validity(flown: DataFrame, down: DataFrame, spans: DataFrame, course: DataFrame) -> DataFrame:
+    """The validity factor of a stopped task, one row per stopped task.
+
+    ``flown`` is the state inside the windows: distances and ESS count up to there.  ``down`` (task_id,
+    pilot_id, landing_t) are the landings of whole flights, since one just before the stop shows only after it.
+    """
     launched = F.col("takeoff_t").isNotNull()
-    rows = state.join(stop_times(stops), "task_id")
-    facts = rows.groupBy("task_id", "stop_t", "minimum_time_s").agg(
-        F.count_if(F.col("ess_t") <= F.col("stop_t")).alias("reached_ess"),
+    rows = with_down(flown.select(*KEY, "takeoff_t", "ess_t", "distance_m", "landing_t"), down).join(spans, "task_id")
+    facts = rows.groupBy("task_id", "stop_t", "minimum_time_s", "span_s").agg(
+        F.count("ess_t").alias("reached_ess"),
         F.max(F.when(launched, F.col("distance_m"))).alias("best_m"),
         F.avg(F.when(launched, F.col("distance_m"))).alias("mean_m"),
-        F.count_if(launched & (F.col("landing_t") <= F.col("stop_t"))).alias("landed"),
-        F.count_if(launched).alias("launched"), F.max("start_t").alias("last_start_t"))
-    rows = facts.join(course.select("task_id", "first_gate", "gates", "start_type", "total_m",
-                                    F.get("wps", F.col("ess_ix"))["remaining"].alias("ess_rem")), "task_id")
-    single = (F.size("gates") == 1) & F.upper("start_type").startswith("RACE")
-    duration = F.col("stop_t") - F.when(single, F.col("first_gate")).otherwise(F.col("last_start_t"))
+        F.count_if(launched & (F.col("down_t") <= F.col("stop_t"))).alias("landed"),
+        F.count_if(launched).alias("launched"))
+    rows = facts.join(course.select("task_id", "total_m", F.get("wps", F.col("ess_ix"))["remaining"].alias("ess_rem")),
+                      "task_id")
     factor = gap.stopped_validity(
-        F.col("reached_ess"), duration, F.col("minimum_time_s"), F.col("best_m"), F.col("mean_m"),
+        F.col("reached_ess"), F.col("span_s"), F.col("minimum_time_s"), F.col("best_m"), F.col("mean_m"),
         F.col("total_m") - F.col("ess_rem"), F.col("landed"), F.col("launched"))
-    return rows.select("task_id", "stop_t", duration.alias("duration_s"), "reached_ess", "landed",
-                       "launched", "best_m", "mean_m", factor.alias("stopped_validity"))
+    return rows.select("task_id", "stop_t", F.col("span_s").alias("duration_s"), "reached_ess", "landed",
+                       "launched", "best_m", "mean_m", F.coalesce(factor, F.lit(0.0)).alias("stopped_validity"))
 
 
-def stopped_points(scores: DataFrame, tasks: DataFrame, stops: DataFrame) -> DataFrame:
-    """Move the time points nobody still flying could have kept into the distance pot.
+def altitude_bonuses(flown: DataFrame, last_remaining: DataFrame, down: DataFrame, spans: DataFrame,
+                     course: DataFrame) -> DataFrame:
+    """Distance the height above goal was worth to pilots still flying at the stop; the larger value counts.
 
-    With nobody in goal by the stop there are no time points and nothing moves.  Otherwise the reference
-    is the fastest of those between ESS and goal at the stop, or a notional pilot who reaches ESS at the stop;
-    pilots in goal lose the reduction, never below zero.  An ESS after the stop earns no time points.
+    ``last_remaining`` (task_id, pilot_id, d) is the distance to goal from the last point of the window.  Who is in
+    goal, down by the stop, or has not started has no bonus.
     """
-    t = tasks.select("task_id", "pilots_goal", "best_time", "best_distance", "available_time",
-                     "available_distance", "first_gate")
-    rows = scores.join(t, "task_id").join(stop_times(stops), "task_id")
-    by_stop = lambda c: F.coalesce(F.col(c) <= F.col("stop_t"), F.lit(False))
-    at_stop = rows.groupBy("task_id").agg(
-        F.max(by_stop("goal_t")).alias("any_goal"),
-        F.min(F.when(by_stop("ess_t") & ~by_stop("goal_t"), F.col("ess_t") - F.col("start_t"))).alias("between_s"))
-    rows = rows.join(at_stop, "task_id")
-    reference = F.coalesce("between_s", F.col("stop_t") - F.col("first_gate")).cast("double")
-    cut = gap.time_points_reduction(F.col("any_goal"), F.col("best_time"), reference, F.col("available_time"))
-    rows = rows.withColumn("reduction", cut)
-    in_goal = by_stop("goal_t")
-    return rows.withColumns({
-        "stopped_time_points": F.when(~F.col("any_goal") | ~by_stop("ess_t"), F.lit(0.0)).when(in_goal, gap.round1(
-            F.greatest(F.lit(0.0), F.col("time_points") - F.col("reduction")))).otherwise(F.col("time_points")),
-        "stopped_distance_points": gap.distance_points(
-            F.col("distance_m"), F.col("best_distance"), F.col("available_distance") + F.col("reduction"))})
+    rows = with_down(flown.select(*KEY, "distance_m", "goal_t", "last_alt", "landing_t"), down).join(
+        last_remaining, KEY, "left").join(spans.select("task_id", "stop_t", "glide_ratio"), "task_id").join(
+        course.select("task_id", "total_m", F.get("wps", F.col("goal_ix"))["alt"].alias("goal_alt")), "task_id")
+    flying = F.col("goal_t").isNull() & F.col("d").isNotNull() & ~F.coalesce(F.col("down_t") <= F.col("stop_t"), F.lit(False))
+    bonus = F.when(flying, gap.altitude_bonus(F.col("last_alt"), F.col("goal_alt"), F.col("glide_ratio"))).otherwise(F.lit(0.0))
+    with_bonus = F.when(flying, F.least(F.col("total_m"), F.col("total_m") - F.col("d") + bonus))
+    rows = rows.withColumns({"bonus_m": bonus, "bonus_distance_m": with_bonus})
+    return rows.select(*KEY, "bonus_m", "bonus_distance_m",
+                       F.greatest("distance_m", "bonus_distance_m").alias("stopped_distance_m"))
 
 
-def altitude_bonuses(track: DataFrame, remaining: DataFrame, state: DataFrame, stops: DataFrame,
-                     course: DataFrame) -> DataFrame:
-    """Distance the height above goal of a pilot still flying was worth at the stop; the larger value counts.
+def stopped_points(scores: DataFrame, tasks: DataFrame, spans: DataFrame, down: DataFrame, bonuses: DataFrame) -> DataFrame:
+    """Points of a stopped task; time points nobody still flying could have kept move into the distance pot.
 
-    ``remaining`` is the distance to goal per fix of the scored run.
+    ``scores`` and ``tasks`` score the flights inside their windows.  With nobody in goal there are no time points
+    and nothing moves.  Otherwise the reference is the fastest of those between ESS and goal at the stop (not who
+    landed there), or a notional pilot who needs the whole span to ESS; pilots in goal lose the reduction, never
+    below zero.  Distance points are shares of the best distance with bonus; leading points stay.
     """
-    fixes = remaining.join(track.select(*KEY, "fix_ix", "alt_gps"), [*KEY, "fix_ix"])
-    at_stop = fixes.join(stop_times(stops).select("task_id", "stop_t", "glide_ratio"), "task_id").where(
-        F.col("t") <= F.col("stop_t")).groupBy(*KEY, "stop_t", "glide_ratio").agg(
-        F.max_by("alt_gps", "t").alias("alt"), F.max_by("remaining", "t").alias("rem"))
-    rows = at_stop.join(state.select(*KEY, "distance_m", "goal_t", "landing_t"), KEY).join(
-        course.select("task_id", "total_m", F.get("wps", F.col("goal_ix"))["alt"].alias("goal_alt")), "task_id")
-    flying = ~F.coalesce(F.least("goal_t", "landing_t") <= F.col("stop_t"), F.lit(False))
-    bonus = F.when(flying, gap.altitude_bonus(F.col("alt"), F.col("goal_alt"), F.col("glide_ratio"))).otherwise(F.lit(0.0))
-    with_bonus = F.when(flying, F.least(F.col("total_m"), F.col("total_m") - F.col("rem") + bonus))
-    return rows.withColumns({"bonus_m": bonus, "bonus_distance_m": with_bonus}).withColumn(
-        "stopped_distance_m", F.greatest("distance_m", "bonus_distance_m"))
+    t = tasks.select("task_id", "pilots_goal", "best_time", "available_time", "available_distance")
+    rows = with_down(scores, down).join(t, "task_id").join(
+        spans.select("task_id", "stop_t", "span_s"), "task_id").join(bonuses, KEY)
+    in_goal, any_goal = F.col("goal_t").isNotNull(), F.col("pilots_goal") > 0
+    between = F.col("ess_t").isNotNull() & ~in_goal & ~F.coalesce(F.col("down_t") <= F.col("stop_t"), F.lit(False))
+    field = rows.groupBy("task_id").agg(F.min(F.when(between, F.col("section_s"))).alias("between_s"),
+                                        F.max("stopped_distance_m").alias("best_stopped_m"))
+    rows = rows.join(field, "task_id")
+    reference = F.coalesce("between_s", "span_s").cast("double")
+    rows = rows.withColumn("reduction", gap.time_points_reduction(
+        any_goal, F.col("best_time"), reference, F.col("available_time")))
+    rows = rows.withColumns({
+        "stopped_time_points": F.when(~any_goal, F.lit(0.0)).when(in_goal, gap.round1(
+            F.greatest(F.lit(0.0), F.col("time_points") - F.col("reduction")))).otherwise(F.col("time_points")),
+        "stopped_distance_points": gap.distance_points(
+            F.col("stopped_distance_m"), F.col("best_stopped_m"), F.col("available_distance") + F.col("reduction"))})
+    return rows.withColumn("stopped_total", gap.round1(
+        F.col("stopped_distance_points") + F.col("stopped_time_points") + F.col("leading_points")))

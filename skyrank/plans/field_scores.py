@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import gap
-from ..operators import field, penalties, ranking, starts, stopped
+from ..operators import field, penalties, ranking
 from ..operators.tracks import KEY
 from .race import Race, big, r
 
@@ -115,26 +115,29 @@ def _stops(c: Race) -> DataFrame:
 
 
 def stopped_task(c: Race) -> DataFrame:
-    return stopped.stopped_validity(c.s.pilot_state, _stops(c), c.s.course).select(
-        "task_id", "stop_t", big("duration_s"), "reached_ess", "landed", "launched",
+    return c.stopped(_stops(c)).validity.select(
+        "task_id", "stop_t", big("duration_s"), "reached_ess", "landed", "launched", r("best_m", 2), r("mean_m", 2),
         r("stopped_validity", 6))
 
 
 def stopped_window(c: Race) -> DataFrame:
-    return stopped.scored_windows(c.s.pilot_state, _stops(c), c.s.course)
+    return c.stopped(_stops(c)).windows
 
 
 def stopped_points(c: Race) -> DataFrame:
-    return stopped.stopped_points(c.s.scores, c.s.task_scores, _stops(c)).select(
-        *KEY, r("reduction", 4), r("stopped_time_points", 1), r("stopped_distance_points", 1))
+    return c.stopped(_stops(c)).points.select(
+        *KEY, r("reduction", 4), r("stopped_time_points", 1), r("stopped_distance_points", 1), r("leading_points", 1))
 
 
 def altitude_bonus(c: Race) -> DataFrame:
-    remaining = starts.remaining_by_fix(c.s.track, c.s.scored_start, c.s.cut_evidence)
-    return stopped.altitude_bonuses(c.s.track, remaining, c.s.pilot_state, _stops(c), c.s.course).select(
+    return c.stopped(_stops(c)).bonuses.select(
         *KEY, r("bonus_m", 2), r("bonus_distance_m", 2), r("stopped_distance_m", 2))
 
 
+def stopped_board(c: Race) -> DataFrame:
+    return c.stopped(_stops(c)).board.select(*KEY, "rank", "state", r("distance_m", 2), r("total_points", 1))
+
+
 def final_ranking(c: Race) -> DataFrame:
     return ranking.final_ranking(_penalised(c)).select(
         *KEY, "rank", "state", r("distance_m", 2), r("total_points", 1))
@@ -172,5 +175,5 @@ QUERIES = {name: globals()[name] for name in (
     "field_counts best_time launch_validity distance_validity time_validity task_validity allocation max_time "
     "max_time_by_pilot leading_coefficient distance_points time_points leading_points goal_altitude_factor "
     "ess_no_goal_factor task_total score_field scored_distance per_task_overrides penalty_match penalties_apply "
-    "stopped_task stopped_window stopped_points altitude_bonus final_ranking progress_ranking classification top_n "
+    "stopped_task stopped_window stopped_points altitude_bonus stopped_board final_ranking progress_ranking classification top_n "
     "tracking_status board_counts").split()}

@@ -15,6 +15,7 @@ from ..operators import quality, starts, tasks, tracks
 from ..operators.tracks import KEY
 from ..session import ensure_checkpoint_dir, tune
 from .scoring import Scoring
+from .stopping import StoppedScoring
 
 
 def r(col, digits: int, name: str | None = None) -> Column:
@@ -36,12 +37,19 @@ class Race:
         tune(spark)
         ensure_checkpoint_dir(spark)
         self.spark, self.sf_dir, self.views = spark, sf_dir, Views(spark, sf_dir)
+        self._stopped = None
 
     @cached_property
     def s(self) -> Scoring:
         v = self.views
         return Scoring(v.raw_fixes(), v.task_rows(), v.waypoint_rows())
 
+    def stopped(self, stops: DataFrame) -> StoppedScoring:
+        """The run of the stopped tasks; built for the first ``stops`` table it is asked for."""
+        if self._stopped is None:
+            self._stopped = StoppedScoring(self.s, stops)
+        return self._stopped
+
     @cached_property
     def replayed(self) -> Scoring:
         """A second run from the raw reports, dealt out by arrival instead of by file."""

@@ -33,6 +33,18 @@ class Scoring:
         self._stage, self._small, self._integer_pots, self._rule = stage, small, integer_pots, max_time_rule
         self._roster, self._early = roster, early_policy
 
+    @property
+    def task_rows(self) -> DataFrame:
+        return self._tasks
+
+    @property
+    def waypoint_rows(self) -> DataFrame:
+        return self._waypoints
+
+    def small(self, df: DataFrame) -> DataFrame:
+        """Keep a table of tasks or pilots the way this run keeps its own."""
+        return self._small(df)
+
     @cached_property
     def course(self) -> DataFrame:
         return self._small(compile_courses(self._tasks, self._waypoints, self._ellipsoid))
@@ -130,7 +142,11 @@ class Scoring:
 
     @cached_property
     def distances(self) -> DataFrame:
-        return self._stage(ex.exact_distances(self.samples, self._small(ex.rim_blocks(self.course))))
+        return self._stage(ex.exact_distances(self.samples, self.rims))
+
+    @cached_property
+    def rims(self) -> DataFrame:
+        return self._small(ex.rim_blocks(self.course))
 
     @cached_property
     def lead_samples(self) -> DataFrame:
