@@ -77,7 +77,7 @@ class StoppedScoring:
         run = self.flights
         last = run.track.join(run.pilot_state.select(*KEY, F.col("last_ix").alias("fix_ix")), [*KEY, "fix_ix"], "left_semi")
         started = run.timing.where(F.col("start_fix").isNotNull())
-        far = ex.exact_distances(ex.sampled_fixes(last, started), run.rims)
+        far = self._run.small(ex.exact_distances(ex.sampled_fixes(last, started), run.rims))
         return far.where(F.col("target") == "goal").select(*KEY, "d")
 
     @cached_property
