@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from ..session import table
 from .ranking import spread_row_number
 from .tracks import KEY
 
@@ -83,11 +84,11 @@ def unique_zones(course: DataFrame, smallest: bool = False) -> DataFrame:
 
 def first_entries(track: DataFrame, zones: DataFrame) -> DataFrame:
     """First time each pilot is inside each zone (an inward crossing ends inside it)."""
-    lists = zones.groupBy("task_id").agg(F.collect_list("z").alias("zs"))
+    lists = zones.groupBy("task_id").agg(F.collect_list(F.struct("z.wp_ix", "z.x", "z.y", "z.outer")).alias("zs"))
+    inside = F.filter("zs", lambda z: geo.in_zone(F.col("x"), F.col("y"), z["x"], z["y"], z["outer"]))
     rows = track.where("fix_ix > 0").select(*KEY, "t", "x", "y").join(lists, "task_id").select(
-        *KEY, "t", "x", "y", F.explode("zs").alias("z"))
-    inside = geo.in_zone(F.col("x"), F.col("y"), F.col("z.x"), F.col("z.y"), F.col("z.outer"))
-    return rows.where(inside).groupBy(*KEY, F.col("z.wp_ix").alias("wp_ix")).agg(F.min("t").alias("entry_t"))
+        *KEY, "t", F.explode(inside).alias("z"))
+    return rows.groupBy(*KEY, F.col("z.wp_ix").alias("wp_ix")).agg(F.min("t").alias("entry_t"))
 
 
 def _in_order(times: Column) -> Column:
@@ -186,7 +187,7 @@ def last_exits(events: DataFrame, before: DataFrame) -> DataFrame:
 def reconstruct(track: DataFrame, course: DataFrame, sizes: DataFrame) -> DataFrame:
     """A task document inferred from the tracks: zones enough pilots entered, in flown order."""
     zones = unique_zones(course, smallest=True)
-    entries = first_entries(track, zones)
+    entries = table(first_entries(track, zones))    # read three times below
     # entry times are whole seconds of one day, so the median's state is bounded
     reach = entries.groupBy("task_id", "wp_ix").agg(F.count("*").alias("n"), F.median("entry_t").alias("mid_t")).join(
         sizes, "task_id").where(F.col("n") / F.col("pilots") >= MIN_REACH)
@@ -199,8 +200,8 @@ def reconstruct(track: DataFrame, course: DataFrame, sizes: DataFrame) -> DataFr
     route = order.where(F.array_contains(F.slice("seq", F.lit(2), F.size("seq")), F.col("goal_wp"))).select(
         "task_id", F.concat(F.filter(F.slice("seq", F.lit(2), F.size("seq")), lambda i: i != F.col("goal_wp")), F.array("goal_wp")).alias("ixs"),
         F.col("seq")[0].alias("takeoff_wp"))
-    best = longest_subroute(entries, route.select("task_id", "ixs"), sizes).join(
-        route.select("task_id", "takeoff_wp"), "task_id")
+    best = table(longest_subroute(entries, route.select("task_id", "ixs"), sizes).join(
+        route.select("task_id", "takeoff_wp"), "task_id"))
     wps = course.select("task_id", "wps", "midnight")
     enter = entries.join(best.select("task_id", F.col("ixs")[0].alias("mid_wp"), "takeoff_wp"), "task_id")
     before = enter.where(F.col("wp_ix") == F.col("mid_wp")).select(*KEY, F.col("entry_t").alias("before_t"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import matching as m
 from ..operators.tracks import KEY
+from ..session import table
 from .race import Race, big, r
 
 
@@ -30,7 +31,7 @@ def _scored_route(c: Race) -> DataFrame:
 
 def task_completers(c: Race) -> DataFrame:
     route, sizes = _scored_route(c), m.field_sizes(c.s.track)
-    entries = m.first_entries(c.s.track, m.unique_zones(c.s.course))
+    entries = table(m.first_entries(c.s.track, m.unique_zones(c.s.course)))
     part = m.longest_subroute(entries, route, sizes).select("task_id", F.col("completed").alias("part"))
     rows = sizes.join(m.completers(entries, route), "task_id", "left").join(part, "task_id", "left")
     full = F.coalesce("completed", F.lit(0))
