@@ -150,3 +150,21 @@ def test_a_task_of_more_than_fifteen_zones_is_matched(spark):
     sizes = spark.createDataFrame([("T", 70)], "task_id string, pilots bigint")
     got = [tuple(r) for r in matching.longest_subroute(entries, route, sizes).collect()]
     assert got == [("T", zones - 2, 30, [z for z in range(zones) if z not in (5, 9)])]
+
+
+def test_rims_of_tasks_leave_one_task_at_a_time_on_all_reducers(spark):
+    import pyarrow as pa
+    from skyrank.operators.tasks import route_values
+    one = ([0.0, 9000.0, 30000.0], [0.0, 500.0 , 2000.0], [0.0, 2005.0, 405.0], 2)
+    rows = [(f"T{i}", *one) for i in range(40)]
+    names = ["task_id", "x", "y", "rr", "goal_ix"]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names)
+    out = list(route.value_rows(iter([batch])))
+    assert [set(b.column(0).to_pylist()) for b in out] == [{f"T{i}"} for i in range(40)]
+    value, _, _ = route._values(route._layers(*one[:3])[1], *(np.asarray(v) for v in one[:3]))
+    assert out[0].to_pandas().query("wp_ix == 1")["v"].tolist() == value[1].tolist()
+    course = spark.createDataFrame(rows, "task_id string, x array<double>, y array<double>, rr array<double>, goal_ix int").select(
+        "task_id", F.arrays_zip("x", "y").alias("wps"), "rr", "goal_ix").coalesce(1)
+    got = route_values(course)
+    assert got.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert got.groupBy("task_id").count().where(F.col("count") == sum(b.num_rows for b in out) // 40).count() == 40
