@@ -77,20 +77,27 @@ def first_of_sequence(events: DataFrame) -> DataFrame:
 REMEMBERED = "value string, arrival bigint, " + ENVELOPE[7:-1].replace(":", " ").replace(",", ", ") + ", reason string, repeated boolean"
 
 
+#: Groups the event ids are dealt to.  A Python call marks all lines of a group, so their number does not grow with the log.
+ID_GROUPS = 1024
+
+
 def _remember(ttl_s: int):
-    """One state row per event id: the id was met.  It is forgotten ``ttl_s`` after its last arrival."""
+    """The state of a group of event ids: each id with its last arrival, forgotten ``ttl_s`` after that."""
 
     def step(key, batches, state):
         if state.hasTimedOut:
             state.remove()
             return
         rows = pd.concat(list(batches)).sort_values(ORDER, kind="stable")
-        rows["repeated"] = True
-        if not state.exists:
-            rows.iloc[0, rows.columns.get_loc("repeated")] = False
-        state.update((1,))
-        state.setTimeoutTimestamp(max(int(rows.pop("heard").max().timestamp() * 1000), state.getCurrentWatermarkMs()) + ttl_s * 1000)
-        yield rows.drop(columns=["key_competition", "key_event"])[[c.split()[0] for c in REMEMBERED.split(", ")]]
+        now = int(rows["heard"].max().timestamp() * 1000)
+        known = {i: t for i, t in zip(*state.get) if t + ttl_s * 1000 > now} if state.exists else {}
+        named = rows["id"].notna()
+        rows["repeated"] = named & (rows["id"].isin(known.keys()) | rows["id"].duplicated())
+        known.update(dict.fromkeys(rows["id"][named], now))
+        if known:
+            state.update((list(known), list(known.values())))
+            state.setTimeoutTimestamp(max(max(known.values()), state.getCurrentWatermarkMs()) + ttl_s * 1000)
+        yield rows[[c.split()[0] for c in REMEMBERED.split(", ")]]
 
     return step
 
@@ -98,15 +105,20 @@ def _remember(ttl_s: int):
 def remember_ids(lines: DataFrame, ttl_s: int = 86_400) -> DataFrame:
     """A stream of lines, checked, with ``repeated`` set where an event id was met in this batch or an earlier one.
 
-    Ids live in keyed state, one group each, in the checkpoint; the clock that forgets them is that of arrival, so
-    no event is ever too late.  A malformed line has no id and is a group of its own.
+    Ids live in keyed state, dealt to :data:`ID_GROUPS` groups, in the checkpoint; the clock that forgets them is that
+    of arrival, so no event is ever too late.  A malformed line has no id and leaves no state.
     """
+    competition, event = F.coalesce("competition_id", F.lit("")), F.coalesce("event_id", F.lit(""))
+    good = F.col("reason").isNull()
     rows = checked(lines).withColumns({
-        "key_competition": F.coalesce("competition_id", F.lit("")),
-        "key_event": F.when(F.col("reason").isNull(), F.coalesce("event_id", F.lit(""))).otherwise(F.concat(F.lit("?"), F.sha2("value", 256))),
+        "id": F.when(good, F.concat(F.length(competition).cast("string"), F.lit(":"), competition, event)),
         "heard": F.current_timestamp()})
-    return rows.withWatermark("heard", "1 second").groupBy("key_competition", "key_event").applyInPandasWithState(
-        _remember(ttl_s), REMEMBERED, "met int", "append", "EventTimeTimeout")
+    rows = rows.withColumns({
+        # a null would turn the whole numbers of other lines into doubles in pandas
+        "sequence": F.coalesce("sequence", F.lit(0)),
+        "id_group": F.pmod(F.xxhash64(F.coalesce("id", "value")), F.lit(ID_GROUPS))})
+    return rows.withWatermark("heard", "1 second").groupBy("id_group").applyInPandasWithState(
+        _remember(ttl_s), REMEMBERED, "ids array<string>, heard array<bigint>", "append", "EventTimeTimeout")
 
 
 TAKEN = "competition_id string, low bigint, high bigint"

@@ -157,3 +157,31 @@ def test_partitioned_writers_replace_only_their_tasks(spark, tmp_path):
     exports.write_task_partitions(rows("A", 2), path)
     got = {r.task_id: r["count"] for r in spark.read.parquet(path).groupBy("task_id").count().collect()}
     assert got == {"A": 2, "B": 3}
+
+
+def test_ids_are_marked_by_groups_and_forgotten_after_their_last_arrival():
+    """One Python call marks all lines of a group; what lies in its state is an id with its last arrival."""
+    import pandas as pd
+
+    class State:
+        hasTimedOut, get, until = False, None, None
+        exists = property(lambda self: self.get is not None)
+        update = lambda self, value: setattr(self, "get", value)
+        setTimeoutTimestamp = lambda self, ms: setattr(self, "until", ms)
+        getCurrentWatermarkMs = lambda self: 0
+
+    columns = [c.split()[0] for c in ev.REMEMBERED.split(", ") if not c.startswith("repeated")]
+    step, state = ev._remember(60), State()
+
+    def feed(now, *rows):
+        d = pd.DataFrame([{**dict.fromkeys(columns), "value": f"{i}/{a}", "arrival": a, "sequence": 2 ** 60 + a, "id": i, "heard": pd.Timestamp(now, unit="s", tz="UTC")}
+                          for i, a in rows])
+        (out,) = step((0,), [d], state)
+        assert (out["sequence"] == 2 ** 60 + out["arrival"]).all()
+        return dict(zip(out["value"], out["repeated"].tolist()))
+
+    assert feed(1000, ("x", 2), ("y", 3), ("x", 1), (None, 4), (None, 5)) == {
+        "x/1": False, "x/2": True, "y/3": False, "None/4": False, "None/5": False}
+    assert feed(1050, ("x", 6), ("z", 7)) == {"x/6": True, "z/7": False}
+    assert feed(1070, ("x", 8), ("y", 9)) == {"x/8": True, "y/9": False}
+    assert sorted(state.get[0]) == ["x", "y", "z"] and state.until == 1_130_000
