@@ -169,7 +169,8 @@ def longest_subroute(entries: DataFrame, route: DataFrame, sizes: DataFrame) ->
     def search(rows: pd.DataFrame) -> pd.DataFrame:
         found = longest_chain(np.stack(rows["order"].to_numpy()).astype(np.int64), rows["n"].to_numpy(), int(rows["least"].iloc[0]))
         if found is None:
-            return pd.DataFrame({"task_id": [], "length": [], "completed": [], "ixs": []})
+            # objects: an empty column of numbers cannot become one of arrays
+            return pd.DataFrame(columns=["task_id", "length", "completed", "ixs"], dtype=object)
         length, completed, picked = found
         return pd.DataFrame({"task_id": rows["task_id"].iloc[:1].tolist(), "length": [length], "completed": [completed],
                              "ixs": [[int(rows["ixs"].iloc[0][i]) for i in picked]]})

@@ -152,6 +152,15 @@ def test_a_task_of_more_than_fifteen_zones_is_matched(spark):
     assert got == [("T", zones - 2, 30, [z for z in range(zones) if z not in (5, 9)])]
 
 
+def test_a_task_too_few_pilots_finished_has_no_subroute(spark):
+    """Two of ten in goal are fewer than three: no row, beside a task that has one."""
+    rows = [(task, p, z, 10 * z) for task, pilots in (("A", 2), ("B", 5)) for p in range(pilots) for z in range(3)]
+    entries = spark.createDataFrame(rows, "task_id string, pilot_id int, wp_ix int, entry_t bigint")
+    route = spark.createDataFrame([("A", [0, 1, 2]), ("B", [0, 1, 2])], "task_id string, ixs array<int>")
+    sizes = spark.createDataFrame([("A", 10), ("B", 10)], "task_id string, pilots bigint")
+    assert [tuple(r) for r in matching.longest_subroute(entries, route, sizes).collect()] == [("B", 3, 5, [0, 1, 2])]
+
+
 def test_rims_of_tasks_leave_one_task_at_a_time_on_all_reducers(spark):
     import pyarrow as pa
     from skyrank.operators.tasks import route_values
