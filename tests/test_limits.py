@@ -9,7 +9,7 @@ import pytest
 
 from pyspark.sql import functions as F
 from skyrank.functions import route
-from skyrank.operators import audit, exact, ingest, matching, ranking, starts, tracks
+from skyrank.operators import audit, exact, ingest, landing, matching, ranking, starts, tracks
 from skyrank.session import ensure_checkpoint_dir
 from skyrank.sources import igc, pages
 
@@ -161,6 +161,20 @@ def test_a_task_too_few_pilots_finished_has_no_subroute(spark):
     assert [tuple(r) for r in matching.longest_subroute(entries, route, sizes).collect()] == [("B", 3, 5, [0, 1, 2])]
 
 
+def test_a_landing_is_found_without_a_pilots_anchors_on_every_fix(spark):
+    """Fixes every 3 s, anchors from 30 s on: the walk of at least 5 s meets every second fix, 30 s first."""
+    rows = [("T", p, i, 3 * i, 42.0 + i, 1.0, 500 + i) for p in ("a", "b") for i in range(40)]
+    track = spark.createDataFrame(rows, "task_id string, pilot_id string, fix_ix int, t bigint, lat double, lon double, alt_gps int")
+    anchors = spark.createDataFrame([("T", p, 3 * i, 3 * i + 180) for p, first in (("a", 10), ("b", 11)) for i in range(first, 40)],
+                                    "task_id string, pilot_id string, t bigint, close_t bigint")
+    search = spark.createDataFrame([("T", p, 6, 1000, None) for p in ("a", "b", "c")],
+                                   "task_id string, pilot_id string, after_t bigint, before_t bigint, goal_fix int")
+    found = landing.landings(track, search, anchors)
+    got = {r["pilot_id"]: (r["landing_t"], r["landing_ix"], tuple(r["landing_at"]), r["goal_fix"]) for r in found.collect()}
+    assert got == {"a": (30, 10, (52.0, 1.0, 510), None), "b": (36, 12, (54.0, 1.0, 512), None)}
+    assert "first(held" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_rims_of_tasks_leave_one_task_at_a_time_on_all_reducers(spark):
     import pyarrow as pa
     from skyrank.operators.tasks import route_values
