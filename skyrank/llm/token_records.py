@@ -6,8 +6,8 @@ allows it and 4 otherwise; the manifest tells which.  Beside every
 record file lies an index of fixed-width entries (doc_id, whether it is null, offset, ids), so single
 records can be read in any order.
 
-``token_records`` is a Spark data source.  Each task writes files of about ``FILE_BYTES`` under names nobody
-else uses; the commit writes a manifest that lists them in order.  Readers go by the manifest, so files of
+``token_records`` is a Spark data source.  Each task encodes its texts and writes files of about ``FILE_BYTES`` under
+names nobody else uses, so texts reach one Python worker a task and ids none; the commit writes a manifest that lists them in order.  Readers go by the manifest, so files of
 failed or repeated attempts are never seen.  The folder must be one that ``pyarrow.fs`` reaches
 (a path, or file:, hdfs:, s3:, gs:).
 
@@ -35,7 +35,7 @@ from .arrow import gathered, raw, slices
 
 FILE_BYTES = 128_000_000
 READ_BYTES = 8_000_000
-TEXT_BYTES = 8_000_000
+TEXT_BYTES = 4_000_000
 END_ID = 0
 MANIFEST = "manifest.json"
 INDEX = np.dtype([("doc_id", "<i8"), ("is_null", "<i8"), ("offset", "<i8"), ("n_tokens", "<i8")])
@@ -95,9 +95,24 @@ class _Written(WriterCommitMessage):
     width: int
 
 
+def encoded(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, width: int) -> Iterator[pa.RecordBatch]:
+    """(doc_id, ids) of (doc_id, text): the ids of each whole text and the end id, ``width`` bytes each."""
+    memo = tokens.byte_bpe(tokenizer)
+    for part in gathered(batches, TEXT_BYTES):
+        ids, sizes = memo.encode(*raw(part.column("text")))
+        bounds = np.concatenate([[0], np.cumsum(sizes + 1)])
+        last = np.zeros(int(bounds[-1]), bool)
+        last[bounds[1:] - 1] = True
+        ended = np.full(len(last), end_id, f"<u{width}")
+        ended[~last] = ids
+        records = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(bounds * width), pa.py_buffer(ended)])
+        yield pa.RecordBatch.from_arrays([part.column("doc_id"), records.cast(pa.binary())], names=["doc_id", "ids"])
+
+
 class _Writer(DataSourceArrowWriter):
     def __init__(self, options: dict):
         self.root, self.limit, self.width = options["path"], int(options["file_bytes"]), int(options["width"])
+        self.tokenizer, self.end_id = options["tokenizer"], int(options["end_id"])
         self.run = uuid.uuid4().hex
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> _Written:
@@ -115,7 +130,7 @@ class _Writer(DataSourceArrowWriter):
             files[-1][3:] = [len(index), int(index["n_tokens"].sum()), at]
 
         where.create_dir(root, recursive=True)
-        for whole in iterator:
+        for whole in encoded(iterator, self.tokenizer, self.end_id, self.width):
             for batch in slices([whole], min(READ_BYTES, self.limit), "ids"):
                 data = batch.column("ids").to_pylist()
                 pieces, sizes = framed(data)
@@ -220,23 +235,6 @@ class TokenRecords(DataSource):
         return _Writer(self.options)
 
 
-def encoded(docs: DataFrame, tokenizer: str, end_id: int, width: int) -> DataFrame:
-    """(doc_id, ids) of (doc_id, text): the ids of each whole text and the end id, ``width`` bytes each."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = tokens.byte_bpe(tokenizer)
-        for part in gathered(batches, TEXT_BYTES):
-            ids, sizes = memo.encode(*raw(part.column("text")))
-            n = len(sizes)
-            ended = np.full(len(ids) + n, end_id, f"<u{width}")
-            ended[np.arange(len(ids)) + np.repeat(np.arange(n), sizes)] = ids
-            bounds = np.concatenate([[0], np.cumsum(sizes + 1)]) * width
-            records = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(bounds), pa.py_buffer(ended)]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), records], names=["doc_id", "ids"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary")
-
-
 def in_order(docs: DataFrame) -> DataFrame:
     """Rows in ascending doc_id order over all partitions; rows of one doc_id may lie in several."""
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("tie"), F.monotonically_increasing_id().alias("row"))
@@ -248,8 +246,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, file
     """Encode (doc_id, text) and write the record files."""
     docs.sparkSession.dataSource.register(TokenRecords)
     width = 2 if max(tokens.largest_id(tokenizer), end_id) < 1 << 16 else 4
-    encoded(in_order(docs), tokenizer, end_id, width).write.format("token_records").mode("append").options(
-        file_bytes=str(file_bytes), width=str(width)).save(path)
+    in_order(docs).select("doc_id", "text").write.format("token_records").mode("append").options(
+        tokenizer=tokenizer, end_id=str(end_id), file_bytes=str(file_bytes), width=str(width)).save(path)
 
 
 def read(spark: SparkSession, path: str, part: str = "records") -> DataFrame:

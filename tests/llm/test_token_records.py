@@ -1,4 +1,5 @@
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +49,20 @@ def test_files_hold_every_document_in_order(spark, tmp_path, bpe):
     assert [key(r) for r in records.shuffled(spark, path, 5).collect()] == list(map(key, mixed))
 
 
+def test_the_task_that_writes_files_also_encodes_their_texts(tmp_path, bpe, monkeypatch):
+    monkeypatch.setattr(records.TaskContext, "get", lambda: SimpleNamespace(partitionId=lambda: 0, taskAttemptId=lambda: 0))
+    writer = records._Writer({"path": str(tmp_path), "file_bytes": "3000", "width": "2", "tokenizer": BPE, "end_id": "0"})
+    texts = [t for _, t in ROWS]
+    batches = [pa.RecordBatch.from_pydict({"doc_id": [i for i, _ in ROWS[a:a + 50]], "text": texts[a:a + 50]},
+                                          pa.schema([("doc_id", pa.int64()), ("text", pa.string())])) for a in range(0, len(ROWS), 50)]
+    done = writer.write(iter(batches))
+    assert [f[1] for f in done.files] == list(range(len(done.files))) and sum(f[3] for f in done.files) == len(ROWS)
+    writer.commit([done, writer.write(iter([]))])
+    reader = records._Reader({"path": str(tmp_path)})
+    got = [(d, n, ids) for p in reader.partitions() for b in reader.read(p) for d, n, ids in zip(*(b.column(c).to_pylist() for c in ("doc_id", "n_tokens", "ids")))]
+    assert got == [(i, len(ids_of(bpe, t)), np.array(ids_of(bpe, t), "<u4").tobytes()) for i, t in ROWS]
+
+
 def test_a_record_can_be_read_by_the_published_framing(spark, tmp_path, bpe):
     path = str(tmp_path / "records")
     records.write(docs(spark, [(1, "one two"), (2, "")]), path, BPE)
