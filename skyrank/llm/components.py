@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .staging import stage
+from .staging import shuffled, stage
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -24,12 +24,12 @@ def components(links: DataFrame) -> DataFrame:
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(
             now.select(F.col("b").alias("u"), F.col("a").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+        large = shuffled(both).join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         down = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(down, "a").select(
+        small = shuffled(large).join(down, "a").select(
             F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("m").alias("y")),
                               F.struct(F.col("b").alias("x"), F.col("m").alias("y")))).alias("e"))
         after = stage(ordered(small.select("e.x", "e.y"), "x", "y"))
-        if after.count() == now.count() and after.join(now, ["a", "b"], "left_anti").isEmpty():
+        if after.count() == now.count() and shuffled(after).join(now, ["a", "b"], "left_anti").isEmpty():
             return after.select(F.col("a").alias("node"), F.col("b").alias("root"))
         now = after

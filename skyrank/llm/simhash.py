@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .arrow import raw
 from .components import components
-from .staging import stage
+from .staging import shuffled, stage
 
 SEED = 42
 #: A bucket with more fingerprints than this is linked by midpoints, in any number of tasks.
@@ -124,16 +124,21 @@ def midpoint_links(fps: DataFrame, radius: int, bits: int = 64) -> DataFrame:
             "bit > last or bit = 0").select(
             "fp", F.expr("mid ^ if(bit = 0, 0L, shiftleft(1L, bit - 1))").alias("mid"), F.col("bit").alias("last"))
     least = rows.groupBy("mid").agg(F.min("fp").alias("b"), F.max("fp").alias("top")).where("b < top").select("mid", "b")
-    return rows.join(least, "mid").where("fp > b").select(F.col("fp").alias("a"), "b")
+    return shuffled(rows).join(least, "mid").where("fp > b").select(F.col("fp").alias("a"), "b")
 
 
-def links(fps: DataFrame, radius: int = 4, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
-    """(a, b) links that join all fingerprints within the radius; ``fps`` holds each once."""
+def meetings(fps: DataFrame, radius: int = 4) -> DataFrame:
+    """(table_no, part, fp, n) of every fingerprint in every bucket that holds more than one."""
     tables = F.array(*[F.struct(F.lit(i).alias("table_no"), F.col("fp").bitwiseAND(F.lit(m)).alias("part"))
                        for i, m in enumerate(masks(radius))])
     rows = fps.select("fp", F.explode(tables).alias("t")).select("t.table_no", "t.part", "fp")
     shared = rows.groupBy("table_no", "part").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = stage(rows.join(shared, ["table_no", "part"]))
+    return shuffled(rows).join(shared, ["table_no", "part"])
+
+
+def links(fps: DataFrame, radius: int = 4, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
+    """(a, b) links that join all fingerprints within the radius; ``fps`` holds each once."""
+    members = stage(meetings(fps, radius))
     found = bucket_links(members.where(F.col("n") <= bucket_limit), radius)
     large = members.where(F.col("n") > bucket_limit).select("fp").distinct()
     if not large.isEmpty():
@@ -148,17 +153,17 @@ def classes(prints: DataFrame, radius: int = 4, bucket_limit: int = BUCKET_LIMIT
     """
     firsts = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = components(links(firsts.select("fp"), radius, bucket_limit))
-    named = firsts.join(roots, firsts["fp"] == roots["node"], "left").select(
+    named = shuffled(firsts).join(roots, firsts["fp"] == roots["node"], "left").select(
         "fp", "first", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    return named.join(least, "root").select("fp", "root", "component_id")
+    return shuffled(named).join(least, "root").select("fp", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, radius: int = 4, width: int = 4,
                     bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every document."""
     prints = stage(fingerprints(docs, width))
-    return prints.join(classes(prints, radius, bucket_limit), "fp").select(
+    return shuffled(prints).join(classes(prints, radius, bucket_limit), "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -169,7 +174,7 @@ def keep_first(docs: DataFrame, radius: int = 4, width: int = 4, bucket_limit: i
     """
     row_hash = F.xxhash64(*[F.col(c) for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind])
     prints = stage(fingerprints(docs, width, row_hash))
-    named = prints.join(classes(prints, radius, bucket_limit), "fp")
+    named = shuffled(prints).join(classes(prints, radius, bucket_limit), "fp")
     rows = named.groupBy("root", "doc_id", "row_hash").agg(F.count(F.lit(1)).alias("n"))
     key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_hash", "n")
     kept = stage(rows.groupBy("root").agg(F.min(key).alias("k")).select(

@@ -48,6 +48,15 @@ def stage(df: DataFrame, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df`` for a join that grows with the input: neither side of it goes through the driver.
+
+    Spark takes an exploded table for no larger than what it was made of, and a packed file for
+    no more than its bytes, so by their sizes it would broadcast tables that the driver cannot hold.
+    """
+    return df.hint("merge")
+
+
 def discard(spark: SparkSession, folders: list[str]) -> None:
     """Delete written tables that nothing reads any more, and forget their names."""
     jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()

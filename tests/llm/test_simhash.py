@@ -4,6 +4,7 @@ import numpy as np
 import xxhash
 from helpers import LONG, docs, tuples
 
+from skyrank.llm import components as graph
 from skyrank.llm import simhash
 from skyrank.llm.components import components
 
@@ -107,3 +108,19 @@ def test_one_document_of_each_group_stays(spark):
 def test_components_of_a_long_chain(spark):
     chain = spark.range(1, 200).selectExpr("id as a", "id - 1 as b")
     assert tuples(components(chain)) == sorted(((i, 0) for i in range(1, 200)), key=lambda r: (True, str(r[0])))
+
+
+def test_no_join_goes_through_the_driver(spark, monkeypatch):
+    plans, stage = [], simhash.stage
+
+    def noted(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return stage(df)
+
+    monkeypatch.setattr(simhash, "stage", noted)
+    monkeypatch.setattr(graph, "stage", noted)
+    rows = near_copies(30)
+    for df in (simhash.near_duplicates(docs(spark, rows)), simhash.near_duplicates(docs(spark, rows), bucket_limit=2)):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+    assert sum("SortMergeJoin" in p for p in plans) >= 6
+    assert not [p for p in plans if "Broadcast" in p]
