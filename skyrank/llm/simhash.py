@@ -182,7 +182,7 @@ def keep_first(docs: DataFrame, radius: int = 4, width: int = 4, bucket_limit: i
     again = kept.where("kept_n > 1")
 
     def rows_of(some: DataFrame) -> DataFrame:
-        return docs.join(some, docs["doc_id"].cast("long").eqNullSafe(some["kept_id"]) & (row_hash == some["kept_hash"]), "left_semi")
+        return shuffled(docs).join(some, docs["doc_id"].cast("long").eqNullSafe(some["kept_id"]) & (row_hash == some["kept_hash"]), "left_semi")
 
     once = rows_of(kept.where("kept_n = 1"))
     return once if again.isEmpty() else once.unionByName(rows_of(again).dropDuplicates())

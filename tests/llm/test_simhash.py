@@ -120,7 +120,8 @@ def test_no_join_goes_through_the_driver(spark, monkeypatch):
     monkeypatch.setattr(simhash, "stage", noted)
     monkeypatch.setattr(graph, "stage", noted)
     rows = near_copies(30)
-    for df in (simhash.near_duplicates(docs(spark, rows)), simhash.near_duplicates(docs(spark, rows), bucket_limit=2)):
+    for df in (simhash.near_duplicates(docs(spark, rows)), simhash.near_duplicates(docs(spark, rows), bucket_limit=2),
+               simhash.keep_first(docs(spark, rows))):
         plans.append(df._jdf.queryExecution().executedPlan().toString())
     assert sum("SortMergeJoin" in p for p in plans) >= 6
     assert not [p for p in plans if "Broadcast" in p]
