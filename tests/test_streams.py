@@ -185,3 +185,19 @@ def test_ids_are_marked_by_groups_and_forgotten_after_their_last_arrival():
     assert feed(1050, ("x", 6), ("z", 7)) == {"x/6": True, "z/7": False}
     assert feed(1070, ("x", 8), ("y", 9)) == {"x/8": True, "y/9": False}
     assert sorted(state.get[0]) == ["x", "y", "z"] and state.until == 1_130_000
+
+
+def test_the_batch_side_parses_lines_once(spark, log):
+    """What is left of the plan after the events are kept no longer holds the envelope of a line."""
+    batch = live.batch_tables(spark.createDataFrame([(x,) for x in log[1]], "value string"))
+    assert "json_object_keys" not in batch._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(r.t for r in batch.collect()) == [100, 101, 103]
+
+
+def test_surplus_counts_what_except_all_leaves(spark):
+    rows = [("a", 1, 1.0), ("a", 1, 1.0), ("a", 1, 1.0), (None, 2, None), (None, 2, None), ("b", None, 0.5)]
+    others = [("a", 1, 1.0), (None, 2, None), (None, 2, None), (None, 2, None), ("c", 3, 2.0), ("c", 3, 2.0)]
+    frame = lambda some: spark.createDataFrame(some, "k string, n int, x double")
+    for left, right in ((rows, others), (others, rows), (rows, rows), (rows, []), ([], [])):
+        a, b = frame(left), frame(right)
+        assert tuple(live.surplus(a, b).first()) == (a.exceptAll(b).count(), b.exceptAll(a).count())
