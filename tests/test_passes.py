@@ -1,11 +1,15 @@
 """What the scoring run does once, it does not do again."""
 
+from types import SimpleNamespace
+
 import pytest
 from pyspark.sql import functions as F
 
 from skyrank.operators import starts, tracks
+from skyrank.plans.race import Race
 from skyrank.plans.scoring import Scoring
 from skyrank.session import cut, cut_dealt, spread
+from skyrank.streaming import live
 
 
 def plan(df):
@@ -38,3 +42,35 @@ def test_the_track_of_a_run_is_dealt_by_pilot(spark, fixes):
     run.__dict__["fixes"] = fixes
     assert "Exchange" not in plan(tracks.track_facts(run.track))
     assert starts.track_facts(run.track).count() == fixes.select(*tracks.KEY).distinct().count()
+
+
+@pytest.fixture()
+def race(spark, tmp_path):
+    spark.createDataFrame([(11,), (12,), (25,)], "s_suppkey long").write.parquet(f"{tmp_path}/supplier.parquet")
+    reports = [(k, s, 1 + i % 7, 0, 10.0 + i, 26.0) for k in (11, 25) for i, s in enumerate((0, 0, 100, 5400, 6000, 9000))]
+    spark.createDataFrame(reports, "l_suppkey long, l_orderkey long, l_linenumber long, l_partkey long, l_extendedprice double, l_quantity double"
+                          ).write.parquet(f"{tmp_path}/lineitem.parquet")
+    c = Race(spark, str(tmp_path))
+    c.__dict__["s"] = SimpleNamespace(
+        course=c.views.task_rows(), rims=c.views.task_rows().select("task_id", F.lit(3).alias("wp_ix")),
+        board=c.views.task_rows().select("task_id", F.lit(1).alias("rank")))
+    return c
+
+
+def test_a_moment_is_scored_without_the_others(race):
+    run = race.as_of(4500)
+    assert sorted(r.task_id for r in run.task_rows.collect()) == ["T1@4500", "T2@4500"]
+    assert race.as_of(4500) is run
+    assert sorted((r.task_id, r.wp_ix) for r in run.rims.collect()) == [("T1@4500", 3), ("T2@4500", 3)]
+    assert {r.now - r.gate for r in run.course.collect()} == {4500}
+    ladder = race.ladder
+    assert race.as_of(1800) is ladder
+    assert {r.now - r.gate for r in ladder.course.collect()} == {1800, 4500, 7200}
+
+
+def test_pairs_hear_what_was_reported_up_to_their_moment(race):
+    """The same fixes as tagging all reports, settling each second and leaving out what is later."""
+    one = tracks.first_reports(race.views.raw_fixes()).join(race.views.task_rows().select("task_id", "gate"), "task_id")
+    want = {(f"{r.task_id}@{m}", r.pilot_id, r.t, r.lat) for r in one.collect() for m in (1800, 4500, 7200) if r.t <= r.gate + m}
+    rows = [(r.task_id, r.pilot_id, r.t, r.lat) for r in race.ladder._fixes.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == want and want
