@@ -74,3 +74,24 @@ def test_pairs_hear_what_was_reported_up_to_their_moment(race):
     want = {(f"{r.task_id}@{m}", r.pilot_id, r.t, r.lat) for r in one.collect() for m in (1800, 4500, 7200) if r.t <= r.gate + m}
     rows = [(r.task_id, r.pilot_id, r.t, r.lat) for r in race.ladder._fixes.collect()]
     assert len(rows) == len(set(rows)) and set(rows) == want and want
+
+
+def test_a_run_takes_the_course_and_rims_it_is_given(spark, monkeypatch):
+    course, rims = spark.range(1), spark.range(2)
+    run = Scoring(None, None, None, course=course, rims=rims)
+    assert run.course is course and run.rims is rims
+    seen = {}
+
+    def scoring(fixes, tasks, waypoints, **given):
+        seen.update(given, fixes=fixes)
+        state = fixes.select("task_id", "pilot_id", F.lit("again").alias("state"))
+        return SimpleNamespace(staged_state=state, course=given["course"])
+
+    monkeypatch.setattr(live, "Scoring", scoring)
+    monkeypatch.setattr(live, "score_field", lambda state, course: (state, course))
+    old = spark.createDataFrame([("T", "a", "old"), ("T", "b", "old"), (None, "c", "old")], "task_id string, pilot_id string, state string")
+    late = spark.createDataFrame([("T", "a"), ("T", "a"), (None, "c")], "task_id string, pilot_id string")
+    state, given = live.rescore_touched(old, late, old.drop("state"), None, None, course, rims)
+    assert given is course and seen["rims"] is rims
+    assert "Exchange hashpartitioning" not in plan(seen["fixes"])
+    assert sorted(tuple(r) for r in state.select("pilot_id", "state").collect()) == [("a", "again"), ("b", "old"), ("c", "old")]
