@@ -95,3 +95,8 @@ def test_a_run_takes_the_course_and_rims_it_is_given(spark, monkeypatch):
     assert given is course and seen["rims"] is rims
     assert "Exchange hashpartitioning" not in plan(seen["fixes"])
     assert sorted(tuple(r) for r in state.select("pilot_id", "state").collect()) == [("a", "again"), ("b", "old"), ("c", "old")]
+
+
+def test_a_board_read_twice_is_written_once(race):
+    assert race.board is race.board and "FileScan parquet" in plan(race.board)
+    assert sorted(r.task_id for r in race.board.collect()) == ["T1", "T2"]
